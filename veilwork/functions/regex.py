@@ -85,6 +85,23 @@ TERM_BREAK_JAVA = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|,"
 IMAGE_REFERENCE_JAVA = rf"\[Image:[{SPACE}]*([^\n]*?)\]|!\[([^\n]*?)\]"
 
 
+def _case_key(char: str) -> str:
+    """Equal for two characters exactly when they match each other without regard to case."""
+    upper = char.upper()
+    return (upper if len(upper) == 1 else char).lower()[0]
+
+
 def alternation(terms) -> str:
-    """Case-insensitive pattern: the first listed term that fits wins, no word boundaries."""
-    return "(?iu)" + "|".join(re.escape(t) for t in terms)
+    """Case-insensitive pattern: the first listed term that fits wins, no word boundaries.
+
+    Terms are grouped by their first character. Terms of different groups never fit at the same
+    place, so only the order within a group matters and that is kept; a place in the text is tried
+    against the one group that can fit instead of every term.
+    """
+    groups: dict[str, list[str]] = {}
+    for term in terms:
+        groups.setdefault(_case_key(term[0]), []).append(term)
+    firsts = [re.escape(group[0][0]) for group in groups.values()]
+    bodies = ["|".join(re.escape(term[1:]) for term in group) for group in groups.values()]
+    branches = "|".join(f"{first}(?:{body})" for first, body in zip(firsts, bodies))
+    return f"(?iu)(?=[{''.join(firsts)}])(?:{branches})"

@@ -67,14 +67,13 @@ def json_record(
     images: DataFrame | None = None,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """(id, json): one record per document that has a text.
+    """(id, json): one record per document; NULL for a document without a text.
 
     Needs (id, filename, file_type, text, file_size); ``file_size`` is that of the input. Fields a
     table or image does not have are left out of it. Children are arrays by the time they meet the
     text, so the text moves at most once per kind of child and not at all without children.
     """
-    docs = df.where(F.col("text").isNotNull())
-    docs = docs.join(table_arrays(tables, id_col), id_col, "left") if tables is not None else docs.withColumn("_tables", F.lit(None))
+    docs = df.join(table_arrays(tables, id_col), id_col, "left") if tables is not None else df.withColumn("_tables", F.lit(None))
     docs = docs.join(image_arrays(images, id_col), id_col, "left") if images is not None else docs.withColumn("_images", F.lit(None))
     filled = docs.withColumns(
         {
@@ -100,12 +99,12 @@ def json_record(
             F.lit(opts.extract_json).alias("extracted_to_json"),
         ).alias("processing_info"),
     )
-    return filled.select(id_col, F.to_json(record).alias("json"))
+    return filled.select(id_col, F.when(F.col("text").isNotNull(), F.to_json(record)).alias("json"))
 
 
 def write_json_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One record per line, in UTF-8 as it is."""
-    records.select(F.col("json").alias("value")).write.mode(mode).text(path)
+    records.where("json IS NOT NULL").select(F.col("json").alias("value")).write.mode(mode).text(path)
 
 
 def output_route(df: DataFrame, opts: RedactOptions) -> DataFrame:

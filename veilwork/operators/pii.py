@@ -13,8 +13,7 @@ from veilwork.functions import regex
 KINDS = tuple(patterns.PII_PATTERNS)
 
 
-def remove_kind_column(c: Column, kind: str) -> Column:
-    """Replace the matches of one kind. ``c`` is named several times: give a column, not a formula."""
+def _guarded(c: Column, kind: str) -> Column:
     cleaned = F.regexp_replace(c, regex.PII_JAVA[kind], patterns.PII_MARKER)
     if kind == "email":
         return F.when(c.contains("@"), cleaned).otherwise(c)
@@ -23,16 +22,18 @@ def remove_kind_column(c: Column, kind: str) -> Column:
     return cleaned
 
 
-def remove_pii_column(c: Column) -> Column:
-    """All kinds in their fixed order on any expression, such as an element of an array.
+def remove_kind_column(c: Column, kind: str) -> Column:
+    """Replace the matches of one kind.
 
-    Each stage is bound to a lambda variable so that the next can name it more than once.
+    The guard names its input more than once, so it is bound to a lambda variable: however the
+    optimizer moves the expression, what it is applied to is evaluated once.
     """
+    return F.get(F.transform(F.array(c), lambda x: _guarded(x, kind)), F.lit(0))
 
-    def bound(value: Column, kind: str) -> Column:
-        return F.get(F.transform(F.array(value), lambda x: remove_kind_column(x, kind)), F.lit(0))
 
-    return reduce(bound, KINDS, c)
+def remove_pii_column(c: Column) -> Column:
+    """All kinds in their fixed order, each on the output of the one before."""
+    return reduce(remove_kind_column, KINDS, c)
 
 
 def _remove_kind(kind: str):
@@ -52,10 +53,7 @@ pii_iban = _remove_kind("iban")
 
 
 def remove_pii_regex(df: DataFrame, col: str = "text") -> DataFrame:
-    """All kinds in their fixed order, each on the output of the one before; one narrow stage."""
-    for kind in KINDS:
-        df = df.withColumn(col, remove_kind_column(F.col(col), kind))
-    return df
+    return df.withColumn(col, remove_pii_column(F.col(col)))
 
 
 def _stages(df: DataFrame, col: str, *keep: str) -> DataFrame:

@@ -60,6 +60,31 @@ def anonymize(df: DataFrame, terms: Sequence[str], replacement: str = "", col: s
     return df.withColumn(col, anonymize_column(F.col(col), terms, replacement))
 
 
+def _alternation_column(terms: Column) -> Column:
+    """``regex.alternation`` for a column that holds an array of terms."""
+
+    def key(term: Column) -> Column:
+        first = F.left(term, F.lit(1))
+        upper = F.upper(first)
+        return F.left(F.lower(F.when(F.char_length(upper) == 1, upper).otherwise(first)), F.lit(1))
+
+    def group(k: Column) -> Column:
+        return F.filter(terms, lambda t: key(t) == k)
+
+    def first(k: Column) -> Column:
+        return text.escape_pattern_column(F.left(F.get(group(k), F.lit(0)), F.lit(1)))
+
+    def branch(k: Column) -> Column:
+        rests = F.transform(group(k), lambda t: text.escape_pattern_column(F.substr(t, F.lit(2))))
+        return F.concat(first(k), F.lit("(?:"), F.array_join(rests, "|"), F.lit(")"))
+
+    keys = F.array_distinct(F.transform(terms, key))
+    start = F.array_join(F.transform(keys, first), "")
+    return F.concat(
+        F.lit("(?iu)(?=["), start, F.lit("])(?:"), F.array_join(F.transform(keys, branch), "|"), F.lit(")")
+    )
+
+
 def group_patterns(terms_df: DataFrame, key: str) -> DataFrame:
     """One pattern and replacement per key from (key, pos, term[, replacement]) rows.
 
@@ -76,9 +101,7 @@ def group_patterns(terms_df: DataFrame, key: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("_terms"),
         F.min_by("replacement", "pos").alias("_replacement"),
     )
-    pattern = F.concat(
-        F.lit("(?iu)"), F.array_join(F.transform("_terms", lambda t: text.escape_pattern_column(t["term"])), "|")
-    )
+    pattern = _alternation_column(F.transform("_terms", lambda t: t["term"]))
     replacement = F.when(F.coalesce("_replacement", F.lit("")) == "", F.lit(" ")).otherwise(F.col("_replacement"))
     return listed.select(
         key, pattern.alias("_pattern"), text.literal_replacement_column(replacement).alias("_replacement")

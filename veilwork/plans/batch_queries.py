@@ -256,7 +256,9 @@ def _drained(spark, df, name: str):
 
 @query("stream_redact", f"SELECT doc_id, {sql_remove(sql_anonymize('text'))} AS text FROM documents")
 def _(spark, folder):
+    # The given table is one small file; a folder of many would need no spreading.
     docs = _stream_of(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return _drained(spark, jobs.stream_redact(docs, OPTS), "redact")
 
 

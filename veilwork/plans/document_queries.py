@@ -6,8 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from veilwork import patterns
-from veilwork.functions import text
 from veilwork.operators import images, output, pages, tables
 from veilwork.options import RedactOptions
 from veilwork.plans import inputs

@@ -74,7 +74,8 @@ def process_documents(
     if opts.scope == "all":
         tables = redact_tables(tables, opts) if tables is not None else None
         images = redact_image_texts(images, opts) if images is not None else None
-    return Processed(done, output.json_record(done, opts, as_of, tables, images))
+    # Only documents that were accepted; their texts are not looked at to tell.
+    return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, images))
 
 
 def redact_structures(structures: DataFrame, opts: RedactOptions) -> DataFrame:
@@ -105,7 +106,7 @@ def process_docx(files: DataFrame, opts: RedactOptions, as_of: datetime) -> Proc
     if not opts.extract_json:
         return Processed(done, None)
     tables = pages.docx_tables(structures)
-    return Processed(done, output.json_record(done, opts, as_of, tables, docx.docx_images(files)))
+    return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, docx.docx_images(files)))
 
 
 def redact_docx_fragments(files: DataFrame, opts: RedactOptions, tagger: spans.Tagger | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from veilwork.functions import regex, text
 from veilwork.operators import dedup, fragments, pii, spans, terms
 from veilwork.options import RedactOptions
 from veilwork.patterns import PII_MARKER, PII_PATTERNS
@@ -33,7 +34,7 @@ def sql_remove(expr: str, *kinds: str) -> str:
 
 
 def sql_anonymize(expr: str, opts: RedactOptions = OPTS) -> str:
-    pattern = regex.alternation(opts.terms).removeprefix("(?iu)")
+    pattern = "|".join(map(re.escape, opts.terms))
     return f"regexp_replace({expr}, {_literal(pattern)}, {_literal(opts.replacement.replace(chr(92), chr(92) * 2))}, 'gi')"
 
 

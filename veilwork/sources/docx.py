@@ -24,6 +24,7 @@ BODY_PART = "word/document.xml"
 RELATIONS_PART = "word/_rels/document.xml.rels"
 # --- end of fixed values ------------------------------------------------------------------------
 
+ROWS_PER_FRAME = 4096
 FRAGMENTS = "doc_id long, part string, seq int, text string, error string"
 STRUCTURES = "doc_id long, kind string, idx int, row_idx int, pieces array<array<string>>, n_cols int, error string"
 IMAGES = "doc_id long, idx int, type string, description string, image_data binary, extracted_text string, ocr_applied boolean"
@@ -115,16 +116,20 @@ def _images(doc_id: int, content: bytes) -> Iterator[tuple]:
 
 
 def _per_file(read: Callable[[int, bytes], Iterator[tuple]], broken: Callable[[int, str], tuple], columns: list[str]):
-    """Task function: the rows of each file, in frames of bounded size."""
+    """Task function: the rows of each file, sent on whenever enough have come together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for frame in frames:
             for doc_id, content in zip(frame["doc_id"], frame["content"]):
                 try:
-                    rows = list(read(doc_id, content))
+                    rows += list(read(doc_id, content))
                 except Exception as exc:
-                    rows = [broken(doc_id, f"Cannot read office file: {exc}")]
-                yield pd.DataFrame(rows, columns=columns)
+                    rows.append(broken(doc_id, f"Cannot read office file: {exc}"))
+                if len(rows) >= ROWS_PER_FRAME:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
