@@ -52,12 +52,12 @@ def redact_spans(
 ) -> DataFrame:
     """Redact from span rows (id, start, end, label); documents without spans pass unchanged.
 
-    Only offsets are gathered per document (repeats merged first), bounded by the one text they
-    point into; the text itself moves once, for the join on the unique id.
+    Only offsets are gathered per document, as a set that is merged before the shuffle and bounded
+    by the one text it points into; the text itself moves once, for the join on the unique id.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    distinct = spans.where(F.col("label").isin(*labels)).select(*ids, "start", "end", "label").distinct()
-    listed = distinct.groupBy(*ids).agg(F.collect_list(F.struct("start", "end", "label")).alias("_spans"))
+    wanted = spans.where(F.col("label").isin(*labels))
+    listed = wanted.groupBy(*ids).agg(F.collect_set(F.struct("start", "end", "label")).alias("_spans"))
     return (
         df.join(listed, ids, "left")
         .withColumn(col, redact_span_array(F.col(col), F.col("_spans"), labels))
