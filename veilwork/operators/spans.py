@@ -22,12 +22,11 @@ def redact_span_array(c: Column, spans: Column, labels: Sequence[str] = patterns
     Offsets count code points from 0, the end is exclusive. A span that starts before the end of
     the one before it is skipped.
     """
-    wanted = F.sort_array(
-        F.transform(
-            F.filter(spans, lambda s: s["label"].isin(*labels)),
-            lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")),
-        )
+    offsets = F.transform(
+        F.filter(spans, lambda s: s["label"].isin(*labels)),
+        lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")),
     )
+    wanted = F.sort_array(F.array_distinct(offsets))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("last"))
 
     def step(acc, s):
