@@ -61,12 +61,15 @@ def assemble_docx_text(structures: DataFrame, id_col: str = "doc_id") -> DataFra
     """Text of an office document: paragraphs, then every table row with its cells joined by ' | '.
 
     ``structures`` holds (id, kind, idx, row_idx, text, cells) with kind 'paragraph' or 'table'.
+    Where it tells of errors too, they come along in ``error``.
     """
     line = F.when(F.col("kind") == "table", F.concat_ws(" | ", "cells")).otherwise(F.coalesce("text", F.lit("")))
     at = F.struct((F.col("kind") == "table").alias("table"), "idx", "row_idx", line.alias("line"))
     kept = F.when(F.col("kind").isin("paragraph", "table"), at)
     ordered = F.sort_array(F.collect_list(kept))
-    return structures.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text"))
+    text_of = F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text")
+    errors = [F.max("error").alias("error")] if "error" in structures.columns else []
+    return structures.groupBy(id_col).agg(text_of, *errors)
 
 
 def docx_tables(structures: DataFrame, id_col: str = "doc_id") -> DataFrame:

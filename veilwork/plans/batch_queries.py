@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import batch, images, output, status
 from veilwork.plans import inputs
-from veilwork.plans.document_queries import _CAPPED, _GATE
+from veilwork.plans.batch_run import run_batch
+from veilwork.plans.document_queries import _CAPPED, _GATE, AS_OF
 from veilwork.plans.inputs import with_inputs
 from veilwork.plans.redaction_queries import OPTS, _literal, sql_anonymize, sql_remove
 from veilwork.session import checkpoint_dir
@@ -239,6 +240,42 @@ def _(spark, folder):
     )
 
 
+# --- a whole batch -------------------------------------------------------------------------------
+
+
+def _uploaded(spark, folder):
+    """Documents as uploaded bytes: those named as office files are not, so each batch has failures."""
+    docs = inputs.documents(spark, folder)
+    return docs.select(
+        F.col("source").alias("batch_id"), F.col("doc_id").alias("ord"), "doc_id", "filename",
+        F.col("text").cast("binary").alias("content"),
+    )
+
+
+_BATCH = """upload AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10)"""
+
+
+@query(
+    "batch_results",
+    with_inputs("", "docs").strip()
+    + f""", {_BATCH} SELECT source AS batch_id, doc_id AS ord, 'doc_' || doc_id || '_processed.pdf' AS name, filename AS original_name,
+        '.pdf' AS file_extension, {sql_remove(sql_anonymize('text'))} AS content FROM upload WHERE filename LIKE '%.txt'""",
+)
+def _(spark, folder):
+    results = run_batch(_uploaded(spark, folder), OPTS, AS_OF).results
+    return results.select("batch_id", "ord", "name", "original_name", "file_extension", F.col("content").cast("string").alias("content"))
+
+
+@query(
+    "batch_status",
+    with_inputs("", "docs").strip()
+    + f""", {_BATCH} SELECT source AS batch_id, doc_id AS idx, filename AS file, CASE WHEN filename LIKE '%.txt' THEN 'Done' ELSE 'Error' END AS status,
+        CASE WHEN filename LIKE '%.txt' THEN 100 ELSE 0 END AS progress FROM upload""",
+)
+def _(spark, folder):
+    return run_batch(_uploaded(spark, folder), OPTS, AS_OF).status
+
+
 # --- streams: drained over a given table into the shared folder, and read back -------------------
 
 

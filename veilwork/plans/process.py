@@ -93,14 +93,10 @@ def process_docx(files: DataFrame, opts: RedactOptions, as_of: datetime) -> Proc
     """
     validate_options(opts)
     structures = docx.structure_text(redact_structures(docx.docx_structures(files), opts))
-    failed = structures.where("kind = 'error'").select("doc_id", "error")
-    bodies = pages.assemble_docx_text(structures.where("kind <> 'error'"))
-    named = files.select("doc_id", "filename", F.octet_length("content").alias("file_size"))
+    named = files.withColumn("file_size", F.octet_length("content")).drop("content")
     # A readable file with an empty body has no structure rows; its text is ''.
-    docs = (
-        named.join(bodies, "doc_id", "left")
-        .join(failed, "doc_id", "left")
-        .withColumn("text", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))))
+    docs = named.join(pages.assemble_docx_text(structures), "doc_id", "left").withColumn(
+        "text", F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))
     )
     done = output.output_name(output.output_route(route_format(docs), opts), opts)
     if not opts.extract_json:

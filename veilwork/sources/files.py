@@ -9,7 +9,10 @@ from veilwork import patterns
 
 
 def read_binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, filename, content, file_size) of the files below ``path``."""
+    """(path, filename, content, file_size) of the files below ``path``.
+
+    Spark's file reader leaves out files of no bytes; they have no text to process.
+    """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
