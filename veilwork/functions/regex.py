@@ -55,10 +55,20 @@ PII_JAVA = {
     ),
 }
 
-# Part of every match of a kind, quick to rule out; a text without it is left alone.
+# Part of every match of a kind, quick to rule out; a text without it is left as it is.
 PII_NEEDS = {
+    "email": r"@",
     "phone": rf"{DIGIT}{{3}}[{SPACE}.\-]?{DIGIT}{{4}}",
+    "ssn": rf"{DIGIT}{{3}}-{DIGIT}{{2}}-",
+    "credit_card": rf"{DIGIT}{{4}}[- ]?{DIGIT}{{4}}",
+    "iban": rf"[A-Z]{{2}}{DIGIT}{{2}}",
 }
+# Part of every match of any kind but e-mail, in one look: the digits of a phone, social security
+# or card number, or two digits after two capitals. A year or a price is none of these.
+PII_DIGITS_NEED = (
+    rf"{DIGIT}{{2}}(?:{DIGIT}(?:[{SPACE}.\-]?{DIGIT}{{4}}|-{DIGIT}{{2}}-|{DIGIT}[- ]?{DIGIT}{{4}})"
+    rf"|(?<=[A-Z]{{2}}{DIGIT}{{2}}))"
+)
 
 # Only the presence of a match matters here, so each pattern is the shortest one that matches
 # somewhere exactly when the full one does; none of them backtracks over long prose.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,27 +14,36 @@ from veilwork.functions import regex
 KINDS = tuple(patterns.PII_PATTERNS)
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` bound to a lambda variable.
+
+    A guard names its input more than once. Bound like this the input is evaluated once, however
+    the optimizer moves the expression.
+    """
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _guarded(c: Column, kind: str) -> Column:
-    cleaned = F.regexp_replace(c, regex.PII_JAVA[kind], patterns.PII_MARKER)
-    if kind == "email":
-        return F.when(c.contains("@"), cleaned).otherwise(c)
-    if kind in regex.PII_NEEDS:
-        return F.when(c.rlike(regex.PII_NEEDS[kind]), cleaned).otherwise(c)
-    return cleaned
+    present = c.contains("@") if kind == "email" else c.rlike(regex.PII_NEEDS[kind])
+    return F.when(present, F.regexp_replace(c, regex.PII_JAVA[kind], patterns.PII_MARKER)).otherwise(c)
 
 
-def remove_kind_column(c: Column, kind: str) -> Column:
-    """Replace the matches of one kind.
+def may_hold_pii(c: Column) -> Column:
+    """False only for text without a match of any kind. The marker itself brings no new match."""
+    return c.contains("@") | c.rlike(regex.PII_DIGITS_NEED)
 
-    The guard names its input more than once, so it is bound to a lambda variable: however the
-    optimizer moves the expression, what it is applied to is evaluated once.
-    """
-    return F.get(F.transform(F.array(c), lambda x: _guarded(x, kind)), F.lit(0))
+
+def remove_kind_column(c: Column, kind: str) -> Column:
+    """Replace the matches of one kind."""
+    return _bound(c, lambda x: _guarded(x, kind))
 
 
 def remove_pii_column(c: Column) -> Column:
-    """All kinds in their fixed order, each on the output of the one before."""
-    return reduce(remove_kind_column, KINDS, c)
+    """All kinds in their fixed order, each on the output of the one before.
+
+    Most text holds nothing to remove; one look for digits and an at sign passes it on unread.
+    """
+    return _bound(c, lambda x: F.when(may_hold_pii(x), reduce(remove_kind_column, KINDS, x)).otherwise(x))
 
 
 def _remove_kind(kind: str):
@@ -58,15 +68,19 @@ def remove_pii_regex(df: DataFrame, col: str = "text") -> DataFrame:
 
 def _stages(df: DataFrame, col: str, *keep: str) -> DataFrame:
     """``_s0`` (input) to ``_s5`` (all kinds removed), each its own projection so none is redone."""
-    staged = df.select(*keep, F.col(col).alias("_s0"))
+    staged = df.select(*keep, F.col(col).alias("_s0")).withColumn("_may", may_hold_pii(F.col("_s0")))
     for i, kind in enumerate(KINDS):
-        staged = staged.withColumn(f"_s{i + 1}", remove_kind_column(F.col(f"_s{i}"), kind))
+        before = F.col(f"_s{i}")
+        staged = staged.withColumn(
+            f"_s{i + 1}", F.when(F.col("_may"), remove_kind_column(before, kind)).otherwise(before)
+        )
     return staged
 
 
 def _hits(i: int, measure: Column, none: Column) -> Column:
     """``measure`` of stage ``i`` only where the stage changed the text, i.e. where it has a match."""
-    return F.when(F.col(f"_s{i}") != F.col(f"_s{i + 1}"), measure).otherwise(none)
+    changed = F.col("_may") & (F.col(f"_s{i}") != F.col(f"_s{i + 1}"))
+    return F.when(changed, measure).otherwise(none)
 
 
 def pii_findings(df: DataFrame, id_col: str = "doc_id", col: str = "text") -> DataFrame:
