@@ -36,7 +36,7 @@ _PHONE_LEAD = rf"+\-.({SPACE}"
 PII_JAVA = {
     "email": (
         rf"(?:{_starts_at('A-Za-z0-9_')}|(?=[.%+\-]){AFTER_WORD})"
-        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
+        r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
         rf"(?:(?<=[A-Za-z]){NOT_BEFORE_WORD}|(?<=\|){BEFORE_WORD})"
     ),
     # At most four characters come between the start and the first digit.
