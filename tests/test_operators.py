@@ -140,6 +140,12 @@ def test_number_tables_skips_empty_ones(spark):
     assert [r.cells for r in preview] == [["a", "b"], ["c", ""], ["x"], []]
 
 
+def test_gate_table_pages(spark):
+    df = spark.createDataFrame([("| a |",), ("plain",), (None,), ("",)], "text string")
+    assert [r.text for r in tables.gate_table_pages(df).collect()] == ["| a |"]
+    assert tables.gate_table_pages(df, throughput=True).count() == 0
+
+
 def test_preview_limits(spark):
     wide = [["x" * 60] + [None] * 8 for _ in range(12)]
     df = spark.createDataFrame([(1, 0, wide)], "doc_id long, table_index int, data array<array<string>>")
@@ -262,6 +268,8 @@ def test_json_record_round_trip(spark):
         ("unknown", "pic"), ("referenced_image", "logo"), ("referenced_image", "new"),
     ]
     assert "image_format" not in record["content"]["images"][1]
+    parsed = output.parse_records(process_documents(docs, opts, AS_OF, found, pics).records).where("doc_id = 1").first().record
+    assert parsed.content.tables[1].data == [["c", None]] and parsed.document_metadata.filename == "a.pdf"
     everything = RedactOptions(remove_pii=True, extract_json=True, scope="all")
     record = json.loads(process_documents(docs, everything, AS_OF, found, pics).records.where("doc_id = 1").first().json)
     assert record["content"]["tables"][0]["data"] == [["call[PII_REMOVED]"]]

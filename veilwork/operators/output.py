@@ -107,6 +107,18 @@ def write_json_records(records: DataFrame, path: str, mode: str = "errorifexists
     records.where("json IS NOT NULL").select(F.col("json").alias("value")).write.mode(mode).text(path)
 
 
+RECORD_TYPE = (
+    "document_metadata struct<filename:string,file_type:string,processing_date:string,file_size:long>, "
+    f"content struct<text:string,tables:{_TABLE_TYPE},images:{_IMAGE_TYPE}>, "
+    "processing_info struct<anonymized:boolean,pii_removed:boolean,extracted_to_json:boolean>"
+)
+
+
+def parse_records(records: DataFrame, col: str = "json") -> DataFrame:
+    """Add ``record``: the record as a struct of the declared type; nothing is inferred."""
+    return records.withColumn("record", F.from_json(col, RECORD_TYPE))
+
+
 def output_route(df: DataFrame, opts: RedactOptions) -> DataFrame:
     """Add ``output_ext``: what kind of file a document becomes; NULL for types that are refused."""
     redacted = opts.anonymize or opts.remove_pii

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from veilwork.options import RedactOptions
 from veilwork.plans import inputs
 from veilwork.plans.inputs import with_inputs
 from veilwork.plans.process import process_documents
+from veilwork.session import checkpoint_dir
 from veilwork.plans.redaction_queries import OPTS, REPLACEMENT, STRIP, TERMS, sql_anonymize, sql_remove
 
 AS_OF = datetime(2024, 5, 6, 7, 8, 9)
@@ -385,6 +387,37 @@ def _(spark, folder):
     return process_documents(inputs.documents(spark, folder), JSON_OPTS, AS_OF).records
 
 
+_DOCUMENT_RECORDS = with_inputs(
+    "SELECT "
+    + _sql_record("done", "text", '{"anonymized":true,"pii_removed":true,"extracted_to_json":true}')
+    + f" FROM (SELECT *, {sql_remove(sql_anonymize('text'))} AS done FROM docs) WHERE {_FILE_TYPE} IN ('.txt', '.pdf', '.docx')",
+    "docs",
+)
+
+
+@query("write_json_records", _DOCUMENT_RECORDS)
+def _(spark, folder):
+    path = f"{checkpoint_dir(spark)}/outputs/records_{uuid.uuid4().hex}"
+    output.write_json_records(process_documents(inputs.documents(spark, folder), JSON_OPTS, AS_OF).records, path)
+    return spark.read.text(path).withColumnRenamed("value", "json")
+
+
+@query(
+    "parse_records",
+    with_inputs(
+        f"""SELECT doc_id, filename, {_FILE_TYPE} AS file_type, CAST(strlen(text) AS bigint) AS file_size,
+            {sql_remove(sql_anonymize('text'))} AS text, true AS pii_removed FROM docs WHERE {_FILE_TYPE} IN ('.txt', '.pdf', '.docx')""",
+        "docs",
+    ),
+)
+def _(spark, folder):
+    records = process_documents(inputs.documents(spark, folder), JSON_OPTS, AS_OF).records
+    return output.parse_records(records).select(
+        "doc_id", "record.document_metadata.filename", "record.document_metadata.file_type",
+        "record.document_metadata.file_size", "record.content.text", "record.processing_info.pii_removed",
+    )
+
+
 @query(
     "output_route",
     with_inputs(

@@ -5,9 +5,13 @@ Every function has a twin in ``SQL``, the same projection for the SQL check.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.operators.images import image_text_likelihood, pixel_stats
+from veilwork.plans import packing
 from veilwork.sources.tables import load_documents, read_table, spread
 
 SQL: dict[str, str] = {}
@@ -205,8 +209,6 @@ SQL["images"] = """SELECT vec_id // 20 AS doc_id, CAST(vec_id % 20 AS integer) A
 
 def measured_images(spark: SparkSession, folder: str) -> DataFrame:
     """Images with the statistics a text test needs; those of unknown size were not measured."""
-    from veilwork.operators.images import image_text_likelihood, pixel_stats
-
     known = F.col("width").isNotNull()
     stats = pixel_stats(images(spark, folder))
     stats = stats.withColumns({c: F.when(known, F.col(c)) for c in ("stddev", "dark_share")})
@@ -297,23 +299,9 @@ SQL["steps"] = "SELECT user_id AS doc_id, concat('step_', event_type) AS step, v
 def office_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed as office files in the tasks: a paragraph per line, a table of the words of
     the first three lines, a header, a footnote part, and one image present and one missing."""
-    import pandas as pd
-
-    def pack(frames):
-        from veilwork.plans.packing import office_file
-
-        for frame in frames:
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "filename": frame["filename"],
-                    "content": [office_file(i, t) for i, t in zip(frame["doc_id"], frame["text"])],
-                }
-            )
-
     docs = documents(spark, folder).select("doc_id", "filename", "text")
     named = docs.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".docx")))
-    return named.mapInPandas(pack, "doc_id long, filename string, content binary")
+    return named.mapInPandas(packing.pack, "doc_id long, filename string, content binary")
 
 
 def fragments(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,8 +322,6 @@ SQL["fragments"] = """SELECT conv_id AS doc_id, (['word/document.xml', 'word/hea
 
 
 def _dependencies(name: str, seen: list[str]) -> list[str]:
-    import re
-
     for other in SQL:
         if other != name and re.search(rf"\b(?:FROM|JOIN) {other}\b", SQL[name]) and other not in seen:
             _dependencies(other, seen)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from xml.sax.saxutils import escape
 
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 PIXEL = bytes.fromhex("89504E470D0A1A0A") + b"pixel"
 
@@ -46,3 +51,10 @@ def office_file(doc_id: int, text: str) -> bytes:
         for name, content in members.items():
             archive.writestr(name, content)
     return buffer.getvalue()
+
+
+def pack(frames):
+    """Task function: (doc_id, filename, text) rows to (doc_id, filename, content)."""
+    for frame in frames:
+        frame["content"] = [office_file(i, t) for i, t in zip(frame["doc_id"], frame["text"])]
+        yield frame.drop(columns="text")

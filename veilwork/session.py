@@ -1,4 +1,4 @@
-"""Session settings the operators expect; a cluster's own settings always win."""
+"""Session settings the operators rely on; everything else is left to the cluster."""
 
 from __future__ import annotations
 

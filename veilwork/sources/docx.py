@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import io
 import posixpath
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.operators.images import image_format
 
+# Tasks carry the functions below with them; executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values: names inside an office file ---------------------------------------------------
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BODY_PART = "word/document.xml"
