@@ -41,7 +41,7 @@ PII_JAVA = {
     ),
     # At most four characters come between the start and the first digit.
     "phone": (
-        rf"(?=[{_PHONE_LEAD}]{{0,4}}{DIGIT})(?:{_starts_at(DIGIT)}|(?!{DIGIT}){AFTER_WORD})"
+        rf"(?![a-zA-Z])(?=[{_PHONE_LEAD}]{{0,4}}{DIGIT})(?:{_starts_at(DIGIT)}|(?!{DIGIT}){AFTER_WORD})"
         rf"(?:\+{DIGIT}{{1,2}}[{SPACE}]?)?1?-?\.?[{SPACE}]?"
         rf"\(?{DIGIT}{{3}}\)?[{SPACE}.\-]?{DIGIT}{{3}}[{SPACE}.\-]?{DIGIT}{{4}}{NOT_BEFORE_WORD}"
     ),
@@ -55,14 +55,8 @@ PII_JAVA = {
     ),
 }
 
-# Part of every match of a kind, quick to rule out; a text without it is left as it is.
-PII_NEEDS = {
-    "email": r"@",
-    "phone": rf"{DIGIT}{{3}}[{SPACE}.\-]?{DIGIT}{{4}}",
-    "ssn": rf"{DIGIT}{{3}}-{DIGIT}{{2}}-",
-    "credit_card": rf"{DIGIT}{{4}}[- ]?{DIGIT}{{4}}",
-    "iban": rf"[A-Z]{{2}}{DIGIT}{{2}}",
-}
+# Part of every phone match, quick to rule out; a text without it is left as it is.
+PHONE_NEED = rf"{DIGIT}{{3}}[{SPACE}.\-]?{DIGIT}{{4}}"
 # Part of every match of any kind but e-mail, in one look: the digits of a phone, social security
 # or card number, or two digits after two capitals. A year or a price is none of these.
 PII_DIGITS_NEED = (
