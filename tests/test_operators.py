@@ -40,6 +40,11 @@ def test_running_sum_over_buckets_is_the_plain_one(spark, bucket):
     assert got == sorted(expected)
 
 
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, at long")
+    assert sorted(r.n for r in scale.number_rows(df, ["k"], ["at"], "n").collect()) == [0, 0, 1]
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_lookup_join_gives_the_same_on_both_ways(spark, limit):
     left = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("k"))
@@ -394,7 +399,9 @@ def test_process_once_with_a_hot_content(spark, salts):
         calls.add(unique.count())
         return redact_document(unique, opts)
 
-    got = {r.doc_id: r for r in dedup.process_once(df, once, opts, salts=salts).collect()}
+    unread = spark.createDataFrame([(900, "u", None), (901, "v", None)], df.schema)
+    got = {r.doc_id: r for r in dedup.process_once(df.union(unread), once, opts, salts=salts).collect()}
+    assert [(got[i].text, got[i].cache_hit) for i in (900, 901)] == [(None, False)] * 2 and len(got) == 122
     seen = set()
     for i, name, text in data:
         assert (got[i].filename, got[i].cache_hit) == (name, text in seen)

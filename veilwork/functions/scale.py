@@ -29,6 +29,7 @@ def running_before(
     position column into buckets instead; each bucket is summed on its own, the bucket totals
     (one small row each, combined before the shuffle) get a running sum, and both are added. The
     wide rows are shuffled once, on ``(keys, bucket)``, and the join reuses that partitioning.
+    Positions are numbers and unique within a key.
     """
     at = bucket_of or order_by[0]
     cut = df.withColumn("_bucket", F.floor(F.col(at) / F.lit(bucket)).cast("long")).withColumn("_value", value)
@@ -43,8 +44,8 @@ def running_before(
         .drop("_total")
     )
     return (
-        local.join(offsets, parts)
-        .withColumn(name, F.col("_local") + F.col("_offset"))
+        local.join(offsets, parts, "left")
+        .withColumn(name, F.col("_local") + F.coalesce("_offset", F.lit(0)))
         .drop("_bucket", "_value", "_local", "_offset")
     )
 

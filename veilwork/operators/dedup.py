@@ -12,7 +12,7 @@ from veilwork.options import RedactOptions
 
 
 def fingerprint_column(content: Column, opts: RedactOptions) -> Column:
-    """sha256 over the content bytes, then the options as sorted JSON."""
+    """sha256 over the content bytes, then the options as sorted JSON; NULL without a content."""
     return F.sha2(F.concat(content.cast("binary"), F.lit(opts.as_json()).cast("binary")), 256)
 
 
@@ -32,7 +32,8 @@ def process_once(
     """Apply ``fn`` to every distinct content once and give each row its result.
 
     Adds ``fp`` and ``cache_hit`` (true for all but the first row of a content in ``order``); rows
-    keep their own name. ``fn`` gets (fp, content, ...) and must keep the columns it does not know.
+    keep their own name, and rows without a content stay as they are. ``fn`` gets (fp, content, ...)
+    and must keep the columns it does not know.
 
     Copies collapse before the shuffle. For the way back a content is repeated once for each of
     the ``salts`` that its copies fall into: once for a content without copies, and for one that
@@ -41,13 +42,13 @@ def process_once(
     keyed = fingerprint(df, opts, content).withColumn(
         "_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
     )
-    unique = keyed.groupBy("fp").agg(
+    unique = keyed.where(F.col(content).isNotNull()).groupBy("fp").agg(
         F.any_value(content).alias(content), F.min(order).alias("_first"), F.collect_set("_salt").alias("_salts")
     )
     done = fn(unique).withColumn("_salt", F.explode("_salts")).drop("_salts")
     rows = keyed.drop(content)
     return (
-        rows.join(done, ["fp", "_salt"])
-        .withColumn("cache_hit", F.col(order) > F.col("_first"))
+        rows.join(done, ["fp", "_salt"], "left")
+        .withColumn("cache_hit", F.coalesce(F.col(order) > F.col("_first"), F.lit(False)))
         .drop("_salt", "_first")
     )

@@ -24,9 +24,13 @@ def stream_redact(documents: DataFrame, opts: RedactOptions, tagger: Tagger | No
 def stream_process_once(
     documents: DataFrame, opts: RedactOptions, arrived: str = "arrived", horizon: str = "1 hour", content: str = "text"
 ) -> DataFrame:
-    """Drop content seen before within ``horizon``; state is one fingerprint per content in it."""
+    """Drop content seen before within ``horizon``; state is one fingerprint per content in it.
+
+    Rows without a content are no repeats of each other and all pass.
+    """
     timed = documents.withColumn(arrived, F.col(arrived).cast("timestamp"))
-    return fingerprint(timed, opts, content).withWatermark(arrived, horizon).dropDuplicatesWithinWatermark(["fp"])
+    keyed = fingerprint(timed, opts, content).withColumn("_key", F.coalesce("fp", F.expr("uuid()")))
+    return keyed.withWatermark(arrived, horizon).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def stream_status(messages: DataFrame) -> DataFrame:
