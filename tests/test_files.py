@@ -8,8 +8,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.operators import fragments, pages, spans
+from veilwork.operators import batch, fragments, pages, spans, status
 from veilwork.options import RedactOptions
+from veilwork.plans.batch_run import run_batch
 from veilwork.plans.process import process_docx, process_documents, redact_docx_fragments
 from veilwork.sources import docx
 from veilwork.sources.files import read_binary_files, read_text_files
@@ -129,3 +130,33 @@ def test_office_requests_fail_closed(office):
     assert set(records) == {1, 4, 5}
     assert records[1]["content"]["tables"][0]["data"][0] == ["[PII_REMOVED]", "b"]
     assert records[1]["document_metadata"]["file_size"] == len(package())
+
+
+def test_office_requests_with_a_tagger(office):
+    opts = RedactOptions(remove_pii=True, extract_json=True)
+    plain = process_docx(office, opts, AS_OF)
+    tagger = spans.dictionary_tagger({"ann": "PERSON", "wide": "ORG", "top": "DATE"})
+    tagged = process_docx(office, opts, AS_OF, tagger)
+    texts = [{r.doc_id: r.text for r in p.documents.collect()} for p in (plain, tagged)]
+    expected = {
+        i: t and t.replace("Ann", "[PII_REMOVED]").replace("wide", "[PII_REMOVED]") for i, t in texts[0].items()
+    }
+    assert texts[1] == expected and "[PII_REMOVED] | [PII_REMOVED]\ntop | x" in texts[1][1]
+    assert {r.doc_id for r in tagged.records.where("json IS NOT NULL").collect()} == {1, 4, 5}
+
+
+def test_batch_run(spark):
+    data = [("a", 0, 1, "x.txt", b"a@b.co"), ("a", 1, 2, "y.docx", package()), ("a", 2, 3, "z.docx", b"no zip"),
+            ("a", 3, 4, "w.csv", b""), ("a", 4, 5, "v.txt", b"\xff"), ("a", 5, 6, "u.pdf", b"%PDF"), ("big", 0, 7, "t.txt", b"x" * 200)]
+    uploads = spark.createDataFrame(data, "batch_id string, ord long, doc_id long, filename string, content binary")
+    done = run_batch(uploads, RedactOptions(remove_pii=True, extract_json=True), AS_OF)
+    assert [r.original_name for r in batch.ordered_results(done.results).collect()] == ["x.txt", "y.docx", "t.txt"]
+    record = json.loads(done.results.where("name = 'x.json'").first().content)
+    assert record["content"]["text"] == "[PII_REMOVED]" and record["document_metadata"]["file_size"] == 6
+    assert {r.file: r.status for r in done.status.where("batch_id = 'a'").collect()} == {
+        "x.txt": "Done", "y.docx": "Done", "z.docx": "Error", "w.csv": "Error", "v.txt": "Error", "u.pdf": "Error",
+    }
+    assert {r.message.split(":")[0] for r in status.error_log(done.messages).collect()} == {
+        f"Error processing {n}" for n in ("z.docx", "w.csv", "v.txt", "u.pdf")
+    }
+    assert batch.processing_summary(done.results).count() == 3

@@ -54,7 +54,7 @@ def run_batch(
     columns = ("batch_id", "ord", "doc_id", "filename", "output_name", "output_ext", "content", "error")
     finished = (
         _content(process_documents(texts, opts, as_of, tagger=tagger)).select(*columns)
-        .unionByName(_content(process_docx(admitted.where(office), opts, as_of)).select(*columns))
+        .unionByName(_content(process_docx(admitted.where(office), opts, as_of, tagger)).select(*columns))
     )
     ops = F.struct(
         F.lit(opts.anonymize).alias("anonymize"),

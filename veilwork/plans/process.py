@@ -85,14 +85,41 @@ def redact_structures(structures: DataFrame, opts: RedactOptions) -> DataFrame:
     )
 
 
-def process_docx(files: DataFrame, opts: RedactOptions, as_of: datetime) -> Processed:
+def tag_structures(structures: DataFrame, tagger: spans.Tagger) -> DataFrame:
+    """Office text pieces with the spans of a tagger redacted, each piece on its own.
+
+    Pieces become rows for the tagger and go back into their paragraph or table row, which is the
+    largest group there is.
+    """
+    keys = ("doc_id", "kind", "idx", "row_idx", "n_cols")
+    cells = structures.where("kind <> 'error'").select(*keys, F.posexplode_outer("pieces").alias("cell", "_p"))
+    rows = cells.select(*keys, "cell", F.posexplode_outer("_p").alias("seq", "text"))
+    tagged = spans.remove_pii(rows, tagger, id_col=("doc_id", "kind", "idx", "row_idx", "cell", "seq"))
+    listed = tagged.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("cell", "seq", "text"))).alias("_all"), F.max("cell").alias("_last")
+    )
+
+    def cell(at: Column) -> Column:
+        mine = F.filter("_all", lambda x: (x["cell"] == at) & x["text"].isNotNull())
+        return F.transform(mine, lambda x: x["text"])
+
+    rebuilt = listed.withColumn("pieces", F.transform(F.sequence(F.lit(0), "_last"), cell)).drop("_all", "_last")
+    return rebuilt.unionByName(structures.where("kind = 'error'"), allowMissingColumns=True)
+
+
+def process_docx(
+    files: DataFrame, opts: RedactOptions, as_of: datetime, tagger: spans.Tagger | None = None
+) -> Processed:
     """Office documents: pieces are redacted in the task that read them, then assembled.
 
     ``files`` has (doc_id, filename, content). Tables are taken after redaction. A file that cannot
     be read keeps its error and has no text.
     """
     validate_options(opts)
-    structures = docx.structure_text(redact_structures(docx.docx_structures(files), opts))
+    pieces = redact_structures(docx.docx_structures(files), opts)
+    if opts.remove_pii and tagger is not None and not opts.throughput:
+        pieces = tag_structures(pieces, tagger)
+    structures = docx.structure_text(pieces)
     named = files.withColumn("file_size", F.octet_length("content")).drop("content")
     # A readable file with an empty body has no structure rows; its text is ''.
     docs = named.join(pages.assemble_docx_text(structures), "doc_id", "left").withColumn(
