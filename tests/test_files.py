@@ -129,6 +129,8 @@ def test_office_requests_fail_closed(office):
     records = {r.doc_id: json.loads(r.json) for r in done.records.collect()}
     assert set(records) == {1, 4, 5}
     assert records[1]["content"]["tables"][0]["data"][0] == ["[PII_REMOVED]", "b"]
+    assert records[1]["content"]["tables"][0]["cols"] == 2
+    assert [i["extracted_text"] for i in records[1]["content"]["images"]] == ["", "[OCR skipped: no image data]"]
     assert records[1]["document_metadata"]["file_size"] == len(package())
 
 

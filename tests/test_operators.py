@@ -185,6 +185,19 @@ def test_ocr_gate(spark, bucket, monkeypatch):
     assert counts == {d: (used.get(d, 0), 25 - used.get(d, 0)) for d in range(4)}
 
 
+def test_ocr_apply(spark):
+    data = [(1, 0, b"x", True), (1, 1, b"", True), (1, 2, b"x", False), (1, 3, b"x", None), (1, 4, b"x", True)]
+    df = spark.createDataFrame(data, "doc_id long, idx int, image_data binary, likely boolean")
+    read = spark.createDataFrame([(1, 0, "zero"), (1, 4, "late")], "doc_id long, idx int, extracted_text string")
+    done = images.ocr_apply(df, RedactOptions(max_images=2), read).orderBy("idx").collect()
+    reasons = patterns.OCR_REASONS
+    assert [(r.extracted_text, r.ocr_applied) for r in done] == [
+        ("zero", True), (reasons["no_data"], False), (reasons["unlikely"], False), ("", False), (reasons["cap"], False),
+    ]
+    off = images.ocr_apply(df, RedactOptions(ocr_enabled=False), read).collect()
+    assert {(r.extracted_text, r.ocr_applied) for r in off} == {(reasons["disabled"], False)}
+
+
 def test_ocr_modes(spark):
     df = spark.createDataFrame([(1, 0, True, True)], "doc_id long, idx int, has_data boolean, likely boolean")
     for opts, reason in (

@@ -109,6 +109,33 @@ def ocr_gate(images: DataFrame, opts: RedactOptions = RedactOptions(), id_col: s
     )
 
 
+def ocr_apply(
+    images: DataFrame, opts: RedactOptions = RedactOptions(), recognised: DataFrame | None = None, id_col: str = "doc_id"
+) -> DataFrame:
+    """Images with the text read from them, or the reason why none was.
+
+    ``recognised`` holds (id, idx, extracted_text) for images a recogniser was given. Only places and
+    flags are numbered by the gate; payloads travel in the last join if they are used after it.
+    """
+    likely = F.coalesce("likely", F.lit(True)) if "likely" in images.columns else F.lit(True)
+    flags = images.select(
+        id_col, "idx", (F.coalesce(F.octet_length("image_data"), F.lit(0)) > 0).alias("has_data"), likely.alias("likely")
+    )
+    gated = ocr_gate(flags, opts, id_col).select(id_col, "idx", "eligible", F.col("extracted_text").alias("_reason"))
+    if recognised is None:
+        read = gated.withColumn("_read", F.lit(None).cast("string"))
+    else:
+        texts = recognised.select(id_col, "idx", F.col("extracted_text").alias("_read"))
+        read = gated.join(texts, [id_col, "idx"], "left")
+    return (
+        images.drop("extracted_text", "ocr_applied")
+        .join(read, [id_col, "idx"], "left")
+        .withColumn("extracted_text", F.coalesce("_reason", "_read", F.lit("")))
+        .withColumn("ocr_applied", F.col("eligible") & F.col("_read").isNotNull())
+        .drop("_reason", "_read", "eligible")
+    )
+
+
 def ocr_join_text(lines: DataFrame, *keys: str) -> DataFrame:
     """Recognised lines of an image (keys, pos, line[, error]) as one clean text, or why there is none."""
     keys = keys or ("doc_id", "idx")

@@ -73,14 +73,22 @@ def assemble_docx_text(structures: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def docx_tables(structures: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, table_index, data, rows, cols) from the table rows of ``structures``."""
+    """(id, table_index, data, rows, cols) from the table rows of ``structures``.
+
+    ``cols`` is the width of the table's grid (``n_cols``) where it is told, else of the first row.
+    """
     rows = F.sort_array(F.collect_list(F.struct("row_idx", "cells")))
+    grid = F.max("n_cols") if "n_cols" in structures.columns else F.lit(None).cast("int")
     return (
         structures.where("kind = 'table'")
         .groupBy(id_col, F.col("idx").alias("table_index"))
-        .agg(F.transform(rows, lambda r: r["cells"]).alias("data"))
+        .agg(F.transform(rows, lambda r: r["cells"]).alias("data"), grid.alias("_grid"))
         .select(
-            id_col, "table_index", "data", F.size("data").alias("rows"), F.size(F.get("data", F.lit(0))).alias("cols")
+            id_col,
+            "table_index",
+            "data",
+            F.size("data").alias("rows"),
+            F.coalesce("_grid", F.size(F.get("data", F.lit(0)))).alias("cols"),
         )
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import fragments as frag
 from veilwork.operators import output, pages, pii, spans, terms
+from veilwork.operators.images import ocr_apply
 from veilwork.options import RedactOptions, validate_options
 from veilwork.sources import docx
 from veilwork.sources.files import route_format
@@ -108,12 +109,16 @@ def tag_structures(structures: DataFrame, tagger: spans.Tagger) -> DataFrame:
 
 
 def process_docx(
-    files: DataFrame, opts: RedactOptions, as_of: datetime, tagger: spans.Tagger | None = None
+    files: DataFrame,
+    opts: RedactOptions,
+    as_of: datetime,
+    tagger: spans.Tagger | None = None,
+    recognised: DataFrame | None = None,
 ) -> Processed:
     """Office documents: pieces are redacted in the task that read them, then assembled.
 
-    ``files`` has (doc_id, filename, content). Tables are taken after redaction. A file that cannot
-    be read keeps its error and has no text.
+    ``files`` has (doc_id, filename, content); ``recognised`` the texts read from images, if any.
+    Tables are taken after redaction. A file that cannot be read keeps its error and has no text.
     """
     validate_options(opts)
     pieces = redact_structures(docx.docx_structures(files), opts)
@@ -129,7 +134,10 @@ def process_docx(
     if not opts.extract_json:
         return Processed(done, None)
     tables = pages.docx_tables(structures)
-    return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, docx.docx_images(files)))
+    pictures = ocr_apply(docx.docx_images(files), opts, recognised)
+    if opts.scope == "all":
+        pictures = redact_image_texts(pictures, opts)
+    return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, pictures))
 
 
 def redact_docx_fragments(files: DataFrame, opts: RedactOptions, tagger: spans.Tagger | None = None) -> DataFrame:
