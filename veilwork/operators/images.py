@@ -180,6 +180,18 @@ def thumbnail_eligible(df: DataFrame, col: str = "image_data") -> DataFrame:
     )
 
 
+def mentioned_images(c: Column) -> Column:
+    """Alternative texts of the image references in a text, each once, in order of first mention."""
+    pattern = F.lit(regex.IMAGE_REFERENCE_JAVA)
+    groups = F.zip_with(
+        F.regexp_extract_all(c, pattern, F.lit(1)),
+        F.regexp_extract_all(c, pattern, F.lit(2)),
+        lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b),
+    )
+    found = F.array_distinct(F.filter(groups, lambda a: a != ""))
+    return F.when(c.contains("["), found).otherwise(F.array().cast("array<string>"))
+
+
 def referenced_images(
     docs: DataFrame, images: DataFrame | None = None, id_col: str = "doc_id", col: str = "text"
 ) -> DataFrame:
@@ -188,14 +200,7 @@ def referenced_images(
     Repeats are dropped inside the row, so the anti join has at most one row per alternative text;
     its other side is reduced to distinct descriptions before it is shuffled.
     """
-    pattern = F.lit(regex.IMAGE_REFERENCE_JAVA)
-    groups = F.zip_with(
-        F.regexp_extract_all(col, pattern, F.lit(1)),
-        F.regexp_extract_all(col, pattern, F.lit(2)),
-        lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b),
-    )
-    mentioned = F.array_distinct(F.filter(groups, lambda a: a != ""))
-    refs = docs.select(id_col, F.posexplode(mentioned).alias("pos", "description"))
+    refs = docs.select(id_col, F.posexplode(mentioned_images(F.col(col))).alias("pos", "description"))
     if images is not None:
         known = images.select(id_col, F.coalesce("description", F.lit("")).alias("description")).distinct()
         refs = refs.join(known, [id_col, "description"], "left_anti")

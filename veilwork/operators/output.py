@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork import patterns
-from veilwork.functions import regex, text
+from veilwork.functions import text
 from veilwork.functions.scale import number_rows
-from veilwork.operators.images import IMAGE_BUCKET, drop_logo_images, fit_image_width, image_info
+from veilwork.operators.images import IMAGE_BUCKET, drop_logo_images, fit_image_width, image_info, mentioned_images
 from veilwork.options import RedactOptions
 
 _TABLE_FIELDS = ("table_index", "data", "rows", "cols", "page", "extraction_method")
@@ -38,14 +38,8 @@ def image_arrays(images: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def _with_references(images: Column, doc_text: Column) -> Column:
     """Image entries, then the images the text names and no entry describes, without logos."""
-    pattern = F.lit(regex.IMAGE_REFERENCE_JAVA)
-    named = F.zip_with(
-        F.regexp_extract_all(doc_text, pattern, F.lit(1)),
-        F.regexp_extract_all(doc_text, pattern, F.lit(2)),
-        lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b),
-    )
     described = F.transform(images, lambda i: i["description"])
-    fresh = F.array_except(F.filter(named, lambda a: a != ""), described)
+    fresh = F.array_except(mentioned_images(doc_text), described)
     refs = F.transform(
         fresh,
         lambda a: F.struct(
