@@ -13,7 +13,7 @@ from veilwork.plans.document_queries import _CAPPED, _GATE, AS_OF
 from veilwork.plans.inputs import with_inputs
 from veilwork.plans.redaction_queries import OPTS, _literal, sql_anonymize, sql_remove
 from veilwork.session import checkpoint_dir
-from veilwork.sources.tables import read_table
+from veilwork.sources.tables import read_table, stream_table
 from veilwork.streaming import jobs
 
 QUERIES = {}
@@ -279,11 +279,6 @@ def _(spark, folder):
 # --- streams: drained over a given table into the shared folder, and read back -------------------
 
 
-def _stream_of(spark, folder: str, table: str):
-    schema = read_table(spark, folder, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
-
-
 def _drained(spark, df, name: str):
     run = f"{name}_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/outputs/{run}"
@@ -294,7 +289,7 @@ def _drained(spark, df, name: str):
 @query("stream_redact", f"SELECT doc_id, {sql_remove(sql_anonymize('text'))} AS text FROM documents")
 def _(spark, folder):
     # The given table is one small file; a folder of many would need no spreading.
-    docs = _stream_of(spark, folder, "documents").select("doc_id", "text")
+    docs = stream_table(spark, folder, "documents").select("doc_id", "text")
     docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return _drained(spark, jobs.stream_redact(docs, OPTS), "redact")
 
@@ -304,7 +299,7 @@ def _(spark, folder):
     f"SELECT DISTINCT sha256(props || {_literal(OPTS.as_json())}) AS fp FROM events",
 )
 def _(spark, folder):
-    rows = _stream_of(spark, folder, "events").select(F.col("ts").alias("arrived"), F.col("props").alias("text"))
+    rows = stream_table(spark, folder, "events").select(F.col("ts").alias("arrived"), F.col("props").alias("text"))
     once = jobs.stream_process_once(rows, OPTS, horizon="3650 days")
     return _drained(spark, once.select("fp"), "once")
 
@@ -318,5 +313,5 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    messages = inputs.messages_from(_stream_of(spark, folder, "events")).where("idx IS NOT NULL")
+    messages = inputs.messages_from(stream_table(spark, folder, "events")).where("idx IS NOT NULL")
     return jobs.drain_latest(jobs.stream_status(messages), "status")

@@ -10,6 +10,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files, whether it is one file or a folder of many.
+
+    A file stream takes a pattern or a folder but no single file, hence the one-letter class.
+    """
+    schema = read_table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core work when the source has fewer splits than there are cores.
 
