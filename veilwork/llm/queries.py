@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilwork.llm import jaccard_join, substring_dedup
+from veilwork.llm import jaccard_join, source_mixing, substring_dedup
 from veilwork.llm.tables import documents
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
+    "op4_source_mixing": lambda spark, folder: source_mixing.taken(documents(spark, folder)),
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
 }
 
