@@ -6,12 +6,14 @@ starts in a document with a smaller doc_id. Windows are judged on the input.
 1. Every task sketches its windows. A window stands under the smallest hash among its runs of ``run`` words,
    which neighbouring windows mostly share, so that one entry stands for several windows. Equal windows have
    equal entries; a cell counts at least once for every document that holds the window, so cells overestimate.
-2. Partition sketches are merged by ranges of cells; all that is kept is whether a cell was hit twice or more.
-3. A second pass writes the windows whose cells all were hit twice, under 128 bits of their words, finds the
+2. Partition sketches are merged by ranges of cells; what is kept is whether a cell was hit twice or more, and
+   whether it was hit so often that windows under it are spread over salts.
+3. A second pass takes the windows whose cells all were hit twice, under 80 bits of their words, finds the
    smallest doc_id of each, and joins it back. Windows that occur in two documents are never lost.
 
-Cells grow with the number of words up to ``max_cells`` (2 bitmaps of 16 MB, the only broadcast). Beyond that
-the sketch lets more windows through, and the second pass groups them; results stay the same.
+Cells grow with the number of words up to ``max_cells`` (4 bitmaps of 16 MB, the only broadcast). Beyond that
+the sketch lets more windows through, and the second pass groups them; results stay the same. Documents go over
+the windows twice in that pass, as writing them out would take more disk than hashing them again takes time.
 
 Defined cases: a null text has no words; documents shorter than a window are kept as they are; rows with null
 doc_id neither remove nor lose words; equal rows count as one document; of different texts under one doc_id
@@ -28,19 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.tables import SPACE, n_words, written
+from veilwork.llm.tables import SPACE, n_words
 from veilwork.llm.words import Words, chunks, int64, mix, runs
 
 WINDOW = 13
 RUN = 8
-ROWS = 2
+ROWS = 3
+HOT = 1000  # hits of a cell from which on its windows are salted
+SALTS = 64
 MAX_CELLS = 1 << 27
 RANGES = 64
 FLUSH = 1 << 20
-TWICE = np.uint32(1 << 31)
 _PIECE = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
-_MERGED = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
-_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())])
+_MERGED = pa.schema([("part", pa.int32()), ("twice", pa.binary()), ("hot", pa.binary())])
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int16()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())])
 
 
 def _entries(words: Words, hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,9 +75,9 @@ def _sketch(bits: int, window: int, run: int):
             for r in range(RANGES):
                 own = cells[cuts[r] : cuts[r + 1]]
                 if len(own):
-                    steps = np.diff(own, prepend=np.uint32(r << (bits - 6))) | np.where(times[cuts[r] : cuts[r + 1]] > 1, TWICE, np.uint32(0))
+                    steps = np.diff(own, prepend=np.uint32(r << (bits - 6)))
                     parts.append(row * RANGES + r)
-                    data.append(zlib.compress(steps.astype(np.uint32).tobytes(), 1))
+                    data.append(zlib.compress(steps.tobytes() + np.minimum(times[cuts[r] : cuts[r + 1]], 65535).astype(np.uint16).tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], schema=_PIECE)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,26 +98,28 @@ def _sketch(bits: int, window: int, run: int):
 
 
 def _merge(bits: int):
-    """Task: one bitmap for each range of cells it is dealt: set where pieces together hit a cell twice."""
+    """Task: two bitmaps for each range of cells it is dealt: cells hit twice or more, and cells hit very often."""
     width = 1 << (bits - 6)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                have = counts.setdefault(part, np.zeros(width, np.uint8))
-                steps = np.frombuffer(zlib.decompress(data), np.uint32)
-                cells = np.cumsum(steps & ~TWICE, dtype=np.int64)
-                have[cells] = np.minimum(have[cells] + 1 + (steps >= TWICE), 2)
+                raw = zlib.decompress(data)
+                n = len(raw) // 6
+                have = counts.setdefault(part, np.zeros(width, np.uint16))
+                cells = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)
+                more = np.frombuffer(raw, np.uint16, n, 4 * n)
+                have[cells] += np.minimum(more, 65535 - have[cells])
         for part, have in counts.items():
-            bitmap = zlib.compress(np.packbits(have >= 2).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bitmap], pa.binary())], schema=_MERGED)
+            bitmaps = [zlib.compress(np.packbits(have >= least).tobytes(), 1) for least in (2, HOT)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([b], pa.binary()) for b in bitmaps)], schema=_MERGED)
 
     return task
 
 
 def _suspects(bits: int, window: int, run: int, bitmaps):
-    """Task: windows whose cells were all hit twice or more, under 128 bits of their words."""
+    """Task: windows whose cells were all hit twice or more, under 80 bits of their words."""
 
     def hit(row: int, cells: np.ndarray) -> np.ndarray:
         return (bitmaps.value[row][cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & 1
@@ -129,13 +134,15 @@ def _suspects(bits: int, window: int, run: int, bitmaps):
             seen = np.ones(len(entries), np.uint8)
             for row, cells in enumerate(_cells(entries, bits)):
                 seen &= hit(row, cells)
-            start = start[seen[entry] == 1]
+                hot = hit(ROWS, cells) if row == 0 else hot
+            start, entry = start[seen[entry] == 1], entry[seen[entry] == 1]
             if not len(start):
                 continue
             doc = words.doc()[start]
             ids, version = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
             found = [
-                int64(runs(hashes, window)[start]), int64(runs(words.hashes(1), window, 1)[start]), pa.array(ids[doc], pa.int64()),
+                int64(runs(hashes, window)[start]), pa.array(runs(words.hashes(1), window, 1)[start].astype(np.uint16).view(np.int16)),
+                pa.array(hot[entry] == 1), pa.array(ids[doc], pa.int64()),
                 pa.array(version[doc], pa.int64()), pa.array((start - words.first[doc]).astype(np.int32)),
             ]
             yield pa.RecordBatch.from_arrays(found, schema=_FOUND)
@@ -144,7 +151,7 @@ def _suspects(bits: int, window: int, run: int, bitmaps):
 
 
 def suspected_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(k1, k2, doc_id, version, pos): windows that the merged sketch counts twice or more; no repeated one is missing."""
+    """(k1, k2, hot, doc_id, version, pos): windows that the merged sketch counts twice or more; no repeated one is missing."""
     spark = docs.sparkSession
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -153,26 +160,31 @@ def suspected_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, max
     merged = (
         rows.select("text").mapInArrow(_sketch(bits, window, run), "part int, cells binary")
         .repartition("part")
-        .mapInArrow(_merge(bits), "part int, bits binary")
-        .collect()  # 2 bitmaps of max_cells bits at most
+        .mapInArrow(_merge(bits), "part int, twice binary, hot binary")
+        .collect()  # bitmaps of max_cells bits at most
     )
     width = 1 << (bits - 3)
-    bitmaps = [np.zeros(width, np.uint8) for _ in range(ROWS)]
-    for part, data in merged:
+    bitmaps = [np.zeros(width, np.uint8) for _ in range(ROWS + 1)]
+    for part, twice, hot in merged:
         row, r = divmod(part, RANGES)
-        bitmaps[row][r * (width // RANGES) : (r + 1) * (width // RANGES)] = np.frombuffer(zlib.decompress(data), np.uint8)
+        own = slice(r * (width // RANGES), (r + 1) * (width // RANGES))
+        bitmaps[row][own] = np.frombuffer(zlib.decompress(twice), np.uint8)
+        if row == 0:
+            bitmaps[ROWS][own] = np.frombuffer(zlib.decompress(hot), np.uint8)
     shared = spark.sparkContext.broadcast(bitmaps)
-    return rows.mapInArrow(_suspects(bits, window, run, shared), "k1 long, k2 long, doc_id long, version long, pos int")
+    return rows.mapInArrow(_suspects(bits, window, run, shared), "k1 long, k2 short, hot boolean, doc_id long, version long, pos int")
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, **sketch: int) -> DataFrame:
     """(doc_id, version, starts): word positions at which a window starts that a smaller doc_id has too."""
-    suspects = written(suspected_windows(docs, window, **sketch), "suspects")
-    least = suspects.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    # A table of its own, so that the join can split a window with very many documents.
-    least = written(least.where("least < most").drop("most"), "least")
+    suspects = suspected_windows(docs, window, **sketch)
+    least = suspects.groupBy("k1", "k2", "hot").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<tinyint>")
+    least = least.select("k1", "k2", "least", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("byte").alias("salt")
     return (
-        suspects.join(least, ["k1", "k2"])
+        suspects.select("k1", "k2", salt, "doc_id", "version", "pos")
+        .join(least, ["k1", "k2", "salt"])
         .where("doc_id > least")
         .groupBy("doc_id", "version")
         .agg(F.collect_set("pos").alias("starts"))
