@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilwork.llm import jaccard_join, source_mixing, substring_dedup
+from veilwork.llm import jaccard_join, line_quality, source_mixing, substring_dedup
 from veilwork.llm.tables import documents
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
     "op4_source_mixing": lambda spark, folder: source_mixing.taken(documents(spark, folder)),
+    "op7_line_quality": lambda spark, folder: line_quality.judge(documents(spark, folder)).drop("row"),
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
 }
 
@@ -23,4 +24,22 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(js) AS BIGINT) AS n_removed,
  sha256(array_to_string(CASE WHEN len(js) = 0 THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(js, i - 1)) END, ' ')) AS kept_sha256
 FROM t""",
+    "op7_line_quality": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ grams AS (SELECT doc_id, i, ws[i + 1:i + 3] AS g FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 2, 0))) AS i FROM d)),
+ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+ rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM twice) GROUP BY doc_id),
+ cut AS (SELECT doc_id, source, t, string_split(t, chr(10)) AS ls FROM d),
+ ln AS (SELECT doc_id, source, t, generate_subscripts(ls, 1) AS at, unnest(ls) AS line FROM cut),
+ full_ AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+   trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_ GROUP BY doc_id),
+ common AS (SELECT source, norm FROM full_ GROUP BY source, norm HAVING count(DISTINCT t) > 50),
+ gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS words_removed FROM full_ f WHERE EXISTS (SELECT 1 FROM common c WHERE c.norm = f.norm AND c.source IS NOT DISTINCT FROM f.source) GROUP BY doc_id),
+ base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(words_removed, 0) AS words_removed
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= 0.5 * n_words AS kept FROM base""",
 }
