@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veilwork.llm import jaccard_join, line_quality, source_mixing, substring_dedup
-from veilwork.llm.tables import documents
+from veilwork.llm import jaccard_join, line_quality, source_mixing, substring_dedup, toxicity
+from veilwork.llm.tables import documents, labels
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
     "op4_source_mixing": lambda spark, folder: source_mixing.taken(documents(spark, folder)),
     "op7_line_quality": lambda spark, folder: line_quality.judge(documents(spark, folder)).drop("row"),
+    "op8_toxicity": lambda spark, folder: toxicity.digest(documents(spark, folder), labels(spark, folder)),
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
 }
 
