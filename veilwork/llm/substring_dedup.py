@@ -8,12 +8,13 @@ starts in a document with a smaller doc_id. Windows are judged on the input.
    equal entries; a cell counts at least once for every document that holds the window, so cells overestimate.
 2. Partition sketches are merged by ranges of cells; what is kept is whether a cell was hit twice or more, and
    whether it was hit so often that windows under it are spread over salts.
-3. A second pass takes the windows whose cells all were hit twice, under 80 bits of their words, finds the
-   smallest doc_id of each, and joins it back. Windows that occur in two documents are never lost.
+3. A second pass groups the windows whose cells all were hit twice, under 80 bits of their words, by a window
+   function that finds the smallest doc_id; a group has no more rows than its cell has hits. Windows under very
+   often hit cells are aggregated instead, and the result is joined back over salts. Windows that occur in two
+   documents are never lost.
 
 Cells grow with the number of words up to ``max_cells`` (4 bitmaps of 16 MB, the only broadcast). Beyond that
-the sketch lets more windows through, and the second pass groups them; results stay the same. Documents go over
-the windows twice in that pass, as writing them out would take more disk than hashing them again takes time.
+the sketch lets more windows through, and the second pass groups them; results stay the same.
 
 Defined cases: a null text has no words; documents shorter than a window are kept as they are; rows with null
 doc_id neither remove nor lose words; equal rows count as one document; of different texts under one doc_id
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.tables import SPACE, n_words
@@ -43,7 +44,7 @@ RANGES = 64
 FLUSH = 1 << 20
 _PIECE = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
 _MERGED = pa.schema([("part", pa.int32()), ("twice", pa.binary()), ("hot", pa.binary())])
-_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int16()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())])
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int16()), ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())])
 
 
 def _entries(words: Words, hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +119,8 @@ def _merge(bits: int):
     return task
 
 
-def _suspects(bits: int, window: int, run: int, bitmaps):
-    """Task: windows whose cells were all hit twice or more, under 80 bits of their words."""
+def _suspects(bits: int, window: int, run: int, bitmaps, hot: bool):
+    """Task: windows whose cells were all hit twice or more, under 80 bits of their words; those of hot cells or the others."""
 
     def hit(row: int, cells: np.ndarray) -> np.ndarray:
         return (bitmaps.value[row][cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & 1
@@ -134,15 +135,16 @@ def _suspects(bits: int, window: int, run: int, bitmaps):
             seen = np.ones(len(entries), np.uint8)
             for row, cells in enumerate(_cells(entries, bits)):
                 seen &= hit(row, cells)
-                hot = hit(ROWS, cells) if row == 0 else hot
-            start, entry = start[seen[entry] == 1], entry[seen[entry] == 1]
+                if row == 0:
+                    seen &= hit(ROWS, cells) == hot
+            start = start[seen[entry] == 1]
             if not len(start):
                 continue
             doc = words.doc()[start]
             ids, version = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
             found = [
                 int64(runs(hashes, window)[start]), pa.array(runs(words.hashes(1), window, 1)[start].astype(np.uint16).view(np.int16)),
-                pa.array(hot[entry] == 1), pa.array(ids[doc], pa.int64()),
+                pa.array(ids[doc], pa.int64()),
                 pa.array(version[doc], pa.int64()), pa.array((start - words.first[doc]).astype(np.int32)),
             ]
             yield pa.RecordBatch.from_arrays(found, schema=_FOUND)
@@ -150,8 +152,11 @@ def _suspects(bits: int, window: int, run: int, bitmaps):
     return task
 
 
-def suspected_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(k1, k2, hot, doc_id, version, pos): windows that the merged sketch counts twice or more; no repeated one is missing."""
+def suspected_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_cells: int = MAX_CELLS) -> tuple[DataFrame, DataFrame | None]:
+    """(k1, k2, doc_id, version, pos): windows that the merged sketch counts twice or more; no repeated one is missing.
+
+    The second table has those under cells with HOT hits or more, if there are such cells.
+    """
     spark = docs.sparkSession
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -172,23 +177,21 @@ def suspected_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, max
         if row == 0:
             bitmaps[ROWS][own] = np.frombuffer(zlib.decompress(hot), np.uint8)
     shared = spark.sparkContext.broadcast(bitmaps)
-    return rows.mapInArrow(_suspects(bits, window, run, shared), "k1 long, k2 short, hot boolean, doc_id long, version long, pos int")
+    take = lambda hot: rows.mapInArrow(_suspects(bits, window, run, shared, hot), "k1 long, k2 short, doc_id long, version long, pos int")
+    return take(False), take(True) if bitmaps[ROWS].any() else None
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, **sketch: int) -> DataFrame:
     """(doc_id, version, starts): word positions at which a window starts that a smaller doc_id has too."""
-    suspects = suspected_windows(docs, window, **sketch)
-    least = suspects.groupBy("k1", "k2", "hot").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<tinyint>")
-    least = least.select("k1", "k2", "least", F.explode(salts).alias("salt"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("byte").alias("salt")
-    return (
-        suspects.select("k1", "k2", salt, "doc_id", "version", "pos")
-        .join(least, ["k1", "k2", "salt"])
-        .where("doc_id > least")
-        .groupBy("doc_id", "version")
-        .agg(F.collect_set("pos").alias("starts"))
-    )
+    few, many = suspected_windows(docs, window, **sketch)
+    least = F.min("doc_id").over(Window.partitionBy("k1", "k2")).alias("least")
+    later = few.select("doc_id", "version", "pos", least).where("doc_id > least").drop("least")
+    if many is not None:
+        least = many.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        least = least.select("k1", "k2", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(least, ["k1", "k2", "salt"])
+        later = later.union(salted.where("doc_id > least").select("doc_id", "version", "pos"))
+    return later.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("starts"))
 
 
 def _cut(window: int):
