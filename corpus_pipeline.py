@@ -3,10 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilwork.llm.tables import documents, scratch
+from veilwork.llm import jaccard_join, packing, source_mixing, substring_dedup, toxicity
+from veilwork.llm.tables import documents, labels, scratch
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    scored = toxicity.toxicity(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"), labels(spark, sf_dir))
+    return scored.where("predicted = 0").select("doc.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the passages that an earlier document has; documents of which nothing is left go."""
+    cut = substring_dedup.dedup_substrings(docs).where("n_removed = 0 OR n_removed < n_words")
+    n_chars = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
+    return cut.withColumns(n_chars if "n_chars" in docs.columns else {}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares."""
+    return source_mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("substring_dedup", drop_repeats),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 # Later stages draw and learn in ways SQL can't express; tests compare with brute force.
 ORACLE_SQL = None

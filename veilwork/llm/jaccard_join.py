@@ -86,8 +86,8 @@ def _signatures(n: int, bands: int, rows: int):
                     for i in range(band * rows, band * rows + rows):
                         key = mix(key + np.minimum.reduceat((grams * factors[i] + shifts[i]) >> np.uint64(32), at))
                     hashed[band, full] = key
-            out = [batch.column("doc_id"), int64(sets), pa.array(sizes), *map(int64, hashed)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "v", "n_grams", *(f"b{i}" for i in range(bands))])
+            out = [batch.column("doc_id"), batch.column("version"), int64(sets), pa.array(sizes), *map(int64, hashed)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "version", "v", "n_grams", *(f"b{i}" for i in range(bands))])
 
     return task
 
@@ -170,16 +170,16 @@ def _verify(threshold: float):
     return links
 
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, rows: int = BAND_ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copy_id, n_links, n_grams.
+def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, rows: int = BAND_ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, version (hash of its text), class_id, copy_id, n_links, n_grams.
 
     class_id: smallest doc_id that is linked to it, also by way of others; copy_id: smallest with the same set;
     n_links: rows at the threshold or above, copies included.
     """
     bands = band_count(threshold, rows, recall)
     names = [f"b{i}" for i in range(bands)]
-    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, v long, n_grams long, " + ", ".join(f"{b} long" for b in names)
+    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
+    schema = "doc_id long, version long, v long, n_grams long, " + ", ".join(f"{b} long" for b in names)
     signed = written(source.mapInArrow(_signatures(n, bands, rows), schema), "signatures")
 
     kinds = written(
@@ -218,8 +218,20 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
         .select("v", "class_id", F.col("doc_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "told",
     )
-    out = signed.select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.col("v")).alias("v")).join(told, "v", "left")
+    out = signed.select("doc_id", "version", "n_grams", F.when(F.col("n_grams") > 0, F.col("v")).alias("v")).join(told, "v", "left")
     return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        "doc_id", "version", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams",
     )
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    return linked(docs, **options).drop("version")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The first document of each group, as it is; rows with null doc_id all stay."""
+    first = linked(docs, **options).where("doc_id = class_id").groupBy("doc_id").agg(F.min("version").alias("_version"))
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("_version", F.xxhash64("text"))
+    kept = keyed.join(first, ["doc_id", "_version"], "left_semi").dropDuplicates(["doc_id", "_version"])
+    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
