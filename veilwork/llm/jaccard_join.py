@@ -188,8 +188,10 @@ def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, rows:
     )
     banded = kinds.select("v", F.explode(F.array(*names)).alias("band"))
     hubs = written(banded.groupBy("band").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
-    ties = banded.join(hubs, "band").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b"))
-    component = connected_components(ties)
+    # A class and its hubs, as many as bands at most, are tied to the smallest of them: classes with the same hubs add one tie each.
+    near = banded.join(hubs, "band").groupBy("v").agg(F.collect_set("hub").alias("hubs"))
+    near = near.select("v", F.array_union("hubs", F.array("v")).alias("all")).select(F.explode("all").alias("a"), F.array_min("all").alias("b"))
+    component = connected_components(near.where("a <> b"))
 
     # Where each class is compared: components up to one block share tasks, larger ones take a task for each pair of blocks.
     sizes = component.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -197,7 +199,7 @@ def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, rows:
     placed = written(placed.withColumn("own", F.pmod(F.hash("v"), "blocks")), "placed")
     packs = max(1, placed.count() // block)
     sets = (
-        source.join(placed, "doc_id")
+        source.join(placed.hint("merge"), "doc_id")  # the same plan at every size
         .select("v", "label", "copies", "blocks", "own", "text")
         .mapInArrow(_members(n), "v long, label long, copies long, blocks int, own int, grams array<bigint>")
     )
