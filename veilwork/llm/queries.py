@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilwork.llm import jaccard_join, line_quality, packing, source_mixing, substring_dedup, toxicity, wavelet
-from veilwork.llm.tables import documents, labels
+from veilwork.llm import ball_tree, jaccard_join, line_quality, packing, source_mixing, substring_dedup, toxicity, wavelet
+from veilwork.llm.tables import documents, embeddings, labels
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
+    "op3_ball_tree": lambda spark, folder: ball_tree.every_nth(embeddings(spark, folder)),
     "op4_source_mixing": lambda spark, folder: source_mixing.taken(documents(spark, folder)),
     "op7_line_quality": lambda spark, folder: line_quality.judge(documents(spark, folder)).drop("row"),
     "op8_toxicity": lambda spark, folder: toxicity.digest(documents(spark, folder), labels(spark, folder)),
@@ -45,4 +46,11 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(co
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= 0.5 * n_words AS kept FROM base""",
+    "op3_ball_tree": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
