@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import ball_tree, jaccard_join, line_quality, packing, source_mixing, substring_dedup, toxicity, wavelet
+from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, packing, source_mixing, substring_dedup, toxicity, wavelet
 from veilwork.llm.tables import documents, embeddings, labels
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_source_mixing": lambda spark, folder: source_mixing.taken(documents(spark, folder)),
     "op7_line_quality": lambda spark, folder: line_quality.judge(documents(spark, folder)).drop("row"),
     "op8_toxicity": lambda spark, folder: toxicity.digest(documents(spark, folder), labels(spark, folder)),
+    "op5_language_id": lambda spark, folder: language_id.digest(documents(spark, folder)),
     "op6_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
     "op9_wavelet_tokens": lambda spark, folder: wavelet.digest(documents(spark, folder)),
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
