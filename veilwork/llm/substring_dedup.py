@@ -37,7 +37,7 @@ from veilwork.llm.words import Words, chunks, int64, mix, runs
 WINDOW = 13
 RUN = 8
 ROWS = 3
-HOT = 1000  # hits of a cell from which on its windows are salted
+HOT = 60_000  # hits of a cell from which on its windows are salted; below, that many rows of a window meet in a task
 SALTS = 64
 MAX_CELLS = 1 << 27
 RANGES = 64
@@ -65,6 +65,11 @@ def _cells(entries: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(entries + np.uint64(row)) >> np.uint64(64 - bits)).astype(np.uint32) for row in range(ROWS)]
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """First bytes of all values, then all second bytes and so on: the later ones are mostly 0."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T)
+
+
 def _sketch(bits: int, window: int, run: int):
     """Task: the cells its windows hit, sorted, in pieces by row and range of cells."""
 
@@ -78,7 +83,7 @@ def _sketch(bits: int, window: int, run: int):
                 if len(own):
                     steps = np.diff(own, prepend=np.uint32(r << (bits - 6)))
                     parts.append(row * RANGES + r)
-                    data.append(zlib.compress(steps.tobytes() + np.minimum(times[cuts[r] : cuts[r + 1]], 65535).astype(np.uint16).tobytes(), 1))
+                    data.append(zlib.compress(_planes(steps).tobytes() + np.minimum(times[cuts[r] : cuts[r + 1]], 65535).astype(np.uint16).tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], schema=_PIECE)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +114,8 @@ def _merge(bits: int):
                 raw = zlib.decompress(data)
                 n = len(raw) // 6
                 have = counts.setdefault(part, np.zeros(width, np.uint16))
-                cells = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)
+                steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32)
+                cells = np.cumsum(steps, dtype=np.int64)
                 more = np.frombuffer(raw, np.uint16, n, 4 * n)
                 have[cells] += np.minimum(more, 65535 - have[cells])
         for part, have in counts.items():
