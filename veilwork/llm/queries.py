@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, packing, source_mixing, substring_dedup, toxicity, wavelet
+from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, lm_mixing, packing, source_mixing, substring_dedup, toxicity, wavelet
 from veilwork.llm.tables import documents, embeddings, labels
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
+    "op2_lm_mixing": lambda spark, folder: lm_mixing.score(documents(spark, folder)),
     "op3_ball_tree": lambda spark, folder: ball_tree.every_nth(embeddings(spark, folder)),
     "op4_source_mixing": lambda spark, folder: source_mixing.taken(documents(spark, folder)),
     "op7_line_quality": lambda spark, folder: line_quality.judge(documents(spark, folder)).drop("row"),
