@@ -164,7 +164,7 @@ def mix(docs: DataFrame, seed: int = SEED, **options: int) -> DataFrame:
     """
     own = docs.columns
     keyed = docs.select(F.struct(*own).alias("_doc"), F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("row"))
-    shares = spans(plan(docs, seed=seed, **options)).where("passes > 0 OR size(spans) > 0").select("row", "size", "passes", "spans")
+    shares = spans(plan(docs, seed=seed, **options)).where("size > 0 AND (passes > 0 OR size(spans) > 0)").select("row", "size", "passes", "spans")
     shares = written(shares.dropDuplicates(["row"]), "shares")
     words = F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda sum_, s: sum_ + s["b"] - s["a"])
