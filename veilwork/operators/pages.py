@@ -34,27 +34,35 @@ def assemble_pages(pages: DataFrame, id_col: str = "doc_id", order: str = "page"
 
 
 def read_with_fallback(full: DataFrame, text_only: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Full extraction where it worked, else the text-only one, else an error.
+    """Full extraction where it worked, else the text-only one, else an error; one row for every id.
 
     ``full`` and ``text_only`` hold one row (id, text, error) per document; a failed read has an
-    error or no row. ``full`` may carry ``tables`` and ``images`` arrays, which a fallback leaves
-    empty.
+    error or no row, and an id may be missing on either side. ``full`` may carry ``tables`` and
+    ``images`` arrays, which a fallback leaves empty. Full texts stay where they are; of the second
+    reads only those of documents whose first read failed are used.
     """
     extra = [c for c in ("tables", "images") if c in full.columns]
-    first = full.where("error IS NULL AND text IS NOT NULL").select(id_col, F.col("text").alias("_full"), *extra)
-    second = text_only.select(id_col, F.col("text").alias("_plain"), F.col("error").alias("_why"))
-    both = first.join(second, id_col, "full")
-    ok = F.col("_full").isNotNull()
-    plain = F.col("_plain").isNotNull() & F.col("_why").isNull()
-    return both.select(
+    worked = F.col("error").isNull() & F.col("text").isNotNull()
+    empty = [F.array().cast(full.schema[c].dataType).alias(c) for c in extra]
+    none = F.lit(None).cast("string")
+    first = full.where(worked).select(
+        id_col, "text", *extra, F.lit(patterns.PDF_ENGINES[0]).alias("pdf_engine"), none.alias("error")
+    )
+    failed = full.where(~worked).select(id_col, F.col("error").alias("_first"))
+    second = text_only.join(full.where(worked).select(id_col), id_col, "left_anti").select(
+        id_col, F.when(F.col("error").isNull(), F.col("text")).alias("_plain"), F.col("error").alias("_why")
+    )
+    plain = F.col("_plain").isNotNull()
+    rest = failed.join(second, id_col, "full").select(
         id_col,
-        F.when(ok, F.col("_full")).when(plain, F.col("_plain")).alias("text"),
-        *[F.when(ok, F.col(c)).otherwise(F.array().cast(full.schema[c].dataType)).alias(c) for c in extra],
-        F.when(ok, F.lit(patterns.PDF_ENGINES[0])).when(plain, F.lit(patterns.PDF_ENGINES[1])).alias("pdf_engine"),
+        F.col("_plain").alias("text"),
+        *empty,
+        F.when(plain, F.lit(patterns.PDF_ENGINES[1])).alias("pdf_engine"),
         F.when(
-            ~ok & ~plain, F.concat(F.lit("Unable to read PDF: "), F.coalesce("_why", F.lit("no text")))
+            ~plain, F.concat(F.lit("Unable to read PDF: "), F.coalesce("_why", "_first", F.lit("no text")))
         ).alias("error"),
     )
+    return first.unionByName(rest)
 
 
 def assemble_docx_text(structures: DataFrame, id_col: str = "doc_id") -> DataFrame:

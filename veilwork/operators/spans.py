@@ -19,26 +19,27 @@ Tagger = Callable[[DataFrame], DataFrame]
 def redact_span_array(c: Column, spans: Column, labels: Sequence[str] = patterns.NER_LABELS) -> Column:
     """``c`` with the spans of the given labels replaced by the marker.
 
-    Offsets count code points from 0, the end is exclusive. A span that starts before the end of
-    the one before it is skipped.
+    Offsets count code points from 0, the end is exclusive. Every distinct span leaves a marker;
+    where spans overlap or nest, text is kept only from the furthest end so far, so nothing that
+    lies inside any of them is left. Spans without a start or an end are passed over.
     """
     offsets = F.transform(
-        F.filter(spans, lambda s: s["label"].isin(*labels)),
+        F.filter(spans, lambda s: s["label"].isin(*labels) & s["start"].isNotNull() & s["end"].isNotNull()),
         lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")),
     )
     wanted = F.sort_array(F.array_distinct(offsets))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("last"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("last"))
 
     def step(acc, s):
-        kept = F.substring(c, acc["last"] + 1, s["start"] - acc["last"])
-        grown = F.struct(
-            F.concat(acc["out"], kept, F.lit(patterns.PII_MARKER)).alias("out"), s["end"].alias("last")
-        )
-        return F.when(s["start"] < acc["last"], acc).otherwise(grown)
+        kept = F.substring(c, acc["last"] + 1, F.greatest(s["start"] - acc["last"], F.lit(0)))
+        pieces = F.array(kept, F.lit(patterns.PII_MARKER))
+        return F.struct(F.concat(acc["out"], pieces).alias("out"), F.greatest(acc["last"], s["end"]).alias("last"))
 
-    folded = F.aggregate(
-        wanted, start, step, lambda acc: F.concat(acc["out"], F.substring(c, acc["last"] + 1, F.char_length(c)))
-    )
+    def joined(acc):
+        rest = F.substring(c, acc["last"] + 1, F.char_length(c))
+        return F.concat(F.array_join(acc["out"], ""), rest)
+
+    folded = F.aggregate(wanted, start, step, joined)
     return F.when(spans.isNull() | (F.size(spans) == 0), c).otherwise(folded)
 
 

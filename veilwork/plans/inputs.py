@@ -220,7 +220,10 @@ SQL["measured"] = """SELECT *, CASE WHEN width IS NULL THEN true ELSE NOT (width
 
 
 def spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Three spans in every text of more than 60 characters; labels turn with the document."""
+    """Spans in every text of more than 60 characters, some of which overlap, nest or repeat.
+
+    Labels turn with the document.
+    """
     i = F.col("doc_id")
     shift = (i % 7).cast("int")
     labels = F.array(*[F.lit(x) for x in ("PERSON", "ORG", "DATE")])
@@ -229,14 +232,18 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
         label = F.get(labels, ((i + n) % 3).cast("int"))
         return F.struct(start.alias("start"), end.alias("end"), label.alias("label"))
 
-    three = F.array(span(F.lit(0), F.lit(3), 0), span(shift + 5, shift + 12, 1), span(F.lit(30), F.lit(34), 2))
+    six = (
+        span(F.lit(0), F.lit(3), 0), span(shift + 5, shift + 12, 1), span(F.lit(30), F.lit(34), 2),
+        span(shift + 6, shift + 9, 0), span(shift + 10, shift + 15, 2), span(F.lit(30), F.lit(34), 1),
+    )
     docs = read_table(spark, folder, "documents").where("n_chars > 60").select("doc_id")
-    return docs.select("doc_id", F.inline(F.array(*[F.get(three, F.lit(k)) for k in range(3)])))
+    return docs.select("doc_id", F.inline(F.array(*six)))
 
 
 SQL["spans"] = """SELECT doc_id, s.a AS start_at, s.b AS end_at, (['PERSON', 'ORG', 'DATE'])[1 + (doc_id + s.n) % 3] AS label
   FROM (SELECT doc_id, unnest([{'a': 0, 'b': 3, 'n': 0}, {'a': 5 + doc_id % 7, 'b': 12 + doc_id % 7, 'n': 1},
-    {'a': 30, 'b': 34, 'n': 2}]) AS s FROM documents WHERE n_chars > 60)"""
+    {'a': 30, 'b': 34, 'n': 2}, {'a': 6 + doc_id % 7, 'b': 9 + doc_id % 7, 'n': 0}, {'a': 10 + doc_id % 7, 'b': 15 + doc_id % 7, 'n': 2},
+    {'a': 30, 'b': 34, 'n': 1}]) AS s FROM documents WHERE n_chars > 60)"""
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:

@@ -214,9 +214,12 @@ def _(spark, folder):
     "redact_spans",
     with_inputs(
         f"""SELECT doc_id, coalesce(r.out || substr(text, r.last + 1), text) AS text FROM documents LEFT JOIN (
-          SELECT doc_id, string_agg(substr(text, prev + 1, start_at - prev) || '{PII_MARKER}', '' ORDER BY start_at) AS out, max(end_at) AS last
-          FROM (SELECT s.doc_id, text, start_at, end_at, coalesce(lag(end_at) OVER (PARTITION BY s.doc_id ORDER BY start_at), 0) AS prev
-            FROM spans s JOIN documents USING (doc_id) WHERE label IN ('PERSON', 'ORG', 'GPE')) GROUP BY doc_id) r USING (doc_id)""",
+          SELECT doc_id, string_agg(substr(text, prev + 1, greatest(start_at - prev, 0)) || '{PII_MARKER}', '' ORDER BY start_at, end_at) AS out,
+            max(end_at) AS last
+          FROM (SELECT s.doc_id, text, start_at, end_at, coalesce(max(end_at) OVER (PARTITION BY s.doc_id ORDER BY start_at, end_at
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+            FROM (SELECT DISTINCT doc_id, start_at, end_at FROM spans WHERE label IN ('PERSON', 'ORG', 'GPE')) s JOIN documents USING (doc_id))
+          GROUP BY doc_id) r USING (doc_id)""",
         "spans",
     ),
 )
