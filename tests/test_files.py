@@ -162,3 +162,9 @@ def test_batch_run(spark):
         f"Error processing {n}" for n in ("z.docx", "w.csv", "v.txt", "u.pdf")
     }
     assert batch.processing_summary(done.results).count() == 3
+    limited = run_batch(uploads, RedactOptions(remove_pii=True), AS_OF, max_files=1, max_file=100)
+    assert [r.original_name for r in batch.ordered_results(limited.results).collect()] == ["x.txt"]
+    board = {r.file: r.status for r in limited.status.collect()}
+    assert len(board) == 7 and [n for n, s in board.items() if s == "Done"] == ["x.txt"]
+    why = {r.original_name: r.error for r in limited.messages.where("error IS NOT NULL").collect()}
+    assert why["t.txt"] == "File is larger than the limit" and why["y.docx"] == "More than 1 files in the batch"

@@ -58,29 +58,23 @@ def test_lookup_join_gives_the_same_on_both_ways(spark, limit):
 # --- spans --------------------------------------------------------------------------------------
 
 
-def python_redact(text, found):
-    out, last = [], 0
-    for start, end in sorted({(s, e) for s, e, label in found if label in patterns.NER_LABELS}):
-        if start < last:
-            continue
-        out += [text[last:start], patterns.PII_MARKER]
-        last = end
-    return "".join(out) + text[last:]
-
-
-def test_redact_spans(spark):
-    rnd = random.Random(5)
-    docs, found = [], []
-    for i in range(150):
-        text = "".join(rnd.choice("ab é中\U0001f600") for _ in range(rnd.randint(0, 40)))
-        docs.append((i, text))
-        for _ in range(rnd.randint(0, 6)):
-            start = rnd.randint(0, max(len(text) - 1, 0))
-            found.append((i, start, min(len(text), start + rnd.randint(1, 6)), rnd.choice(["PERSON", "ORG", "GPE", "DATE"])))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    sp = spark.createDataFrame(found, "doc_id long, start int, end int, label string")
-    got = dict(rows(spans.redact_spans(df, sp)))
-    assert got == {i: python_redact(t, [(s, e, x) for d, s, e, x in found if d == i]) for i, t in docs}
+@pytest.mark.parametrize(
+    "found, expected",
+    [
+        ([(0, 10, "PERSON"), (5, 15, "ORG")], "[PII_REMOVED][PII_REMOVED]fghij"),
+        ([(0, 10, "PERSON"), (2, 5, "ORG"), (8, 12, "GPE")], "[PII_REMOVED][PII_REMOVED][PII_REMOVED]cdefghij"),
+        ([(3, 5, "PERSON"), (3, 5, "ORG"), (3, 5, "PERSON")], "012[PII_REMOVED]56789abcdefghij"),
+        ([(3, 5, "PERSON"), (3, 7, "ORG")], "012[PII_REMOVED][PII_REMOVED]789abcdefghij"),
+        ([(3, 5, "PERSON"), (5, 7, "ORG")], "012[PII_REMOVED][PII_REMOVED]789abcdefghij"),
+        ([(18, 20, "GPE"), (0, 1, "ORG")], "[PII_REMOVED]123456789abcdefgh[PII_REMOVED]"),
+        ([(0, 4, "DATE"), (None, 4, "ORG"), (2, None, "ORG")], "0123456789abcdefghij"),
+        ([], "0123456789abcdefghij"),
+    ],
+)
+def test_redact_spans(spark, found, expected):
+    df = spark.createDataFrame([(1, "0123456789abcdefghij"), (2, "\U0001f600é"), (3, None)], "doc_id long, text string")
+    sp = spark.createDataFrame([(1, *f) for f in found] + [(2, 0, 1, "ORG"), (3, 0, 1, "ORG")], "doc_id long, start int, end int, label string")
+    assert rows(spans.redact_spans(df, sp)) == [(1, expected), (2, "[PII_REMOVED]é"), (3, None)]
 
 
 def test_tagger_as_column_and_as_rows(spark):
@@ -137,6 +131,18 @@ def test_read_with_fallback(spark):
     assert got[3].text is None and "worse" in got[3].error
 
 
+def test_read_with_fallback_keeps_every_document(spark):
+    schema = "doc_id long, text string, error string"
+    full = spark.createDataFrame([(1, None, "bad"), (2, None, None), (3, "t", None), (4, "", None)], schema)
+    plain = spark.createDataFrame([(2, None, None), (3, "p", None), (5, "p", None), (6, "p", "worse")], schema)
+    got = {r.doc_id: (r.text, r.pdf_engine, r.error) for r in pages.read_with_fallback(full, plain).collect()}
+    single, text_only = patterns.PDF_ENGINES
+    assert got == {
+        1: (None, None, "Unable to read PDF: bad"), 2: (None, None, "Unable to read PDF: no text"), 3: ("t", single, None),
+        4: ("", single, None), 5: ("p", text_only, None), 6: (None, None, "Unable to read PDF: worse"),
+    }
+
+
 def test_number_tables_skips_empty_ones(spark):
     data = [(1, 0, 0, [["a", "b"], ["c"]]), (1, 0, 1, []), (1, 5000, 2, [["x"]]), (2, 0, 0, [[]])]
     df = spark.createDataFrame(data, "doc_id long, page int, pos int, data array<array<string>>")
@@ -154,7 +160,9 @@ def test_gate_table_pages(spark):
 def test_preview_limits(spark):
     wide = [["x" * 60] + [None] * 8 for _ in range(12)]
     df = spark.createDataFrame([(1, 0, wide)], "doc_id long, table_index int, data array<array<string>>")
-    shown = output.report_table_preview(df).collect()
+    whole = output.report_table_preview(df).collect()
+    assert len(whole) == 12 and whole[11].cells == ["x" * 60] + ["None"] * 8
+    shown = output.report_table_preview(df, max_rows=10, max_cols=6, max_chars=50).collect()
     assert len(shown) == 10 and shown[0].cells == ["x" * 50] + ["None"] * 5 and shown[0].title == "Table 1:"
 
 
@@ -192,10 +200,12 @@ def test_ocr_apply(spark):
     done = images.ocr_apply(df, RedactOptions(max_images=2), read).orderBy("idx").collect()
     reasons = patterns.OCR_REASONS
     assert [(r.extracted_text, r.ocr_applied) for r in done] == [
-        ("zero", True), (reasons["no_data"], False), (reasons["unlikely"], False), ("", False), (reasons["cap"], False),
+        ("zero", True), (reasons["no_data"], False), (reasons["unlikely"], False), ("", False), ("late", True),
     ]
+    assert [r.extracted_text for r in images.ocr_apply(df, RedactOptions(max_images=2)).orderBy("idx").collect()][4] == reasons["cap"]
+    assert [r.extracted_text for r in images.ocr_apply(df).orderBy("idx").collect()][4] == ""
     off = images.ocr_apply(df, RedactOptions(ocr_enabled=False), read).collect()
-    assert {(r.extracted_text, r.ocr_applied) for r in off} == {(reasons["disabled"], False)}
+    assert {(r.extracted_text, r.ocr_applied) for r in off} == {(reasons["disabled"], False), ("zero", True), ("late", True)}
 
 
 def test_ocr_modes(spark):
@@ -324,11 +334,18 @@ def test_limits(spark):
     data = [("big", i, f"f{i}", 10 * mb) for i in range(30)] + [("one", 0, "f", 20 * mb + 1), ("edge", 0, "f", 20 * mb), ("late", 0, "f", 1)]
     data += [("late", i, "f", 30 * mb) for i in range(10, 12)] + [("late", i, "f", 1) for i in range(1, 10)]
     df = spark.createDataFrame(data, "batch_id string, ord int, filename string, size long").repartition(3)
-    assert sorted(r.ord for r in batch.limit_files(df).where("batch_id = 'big'").collect()) == list(range(10))
-    verdict = {r.batch_id: r.ok for r in batch.batch_verdict(df).collect()}
-    assert verdict == {"big": True, "one": False, "edge": True, "late": True}
-    assert {r.batch_id for r in batch.admit_documents(df).collect()} == {"big", "edge", "late"}
-    assert batch.admit_documents(df, max_batch=50 * mb).where("batch_id = 'big'").count() == 0
+    limits = (10, 20 * mb, 100 * mb)
+    assert batch.limit_files(df).count() == df.count()
+    assert sorted(r.ord for r in batch.limit_files(df, 10).where("batch_id = 'big'").collect()) == list(range(10))
+    verdict = {r.batch_id: (r.n_files, r.n_kept, r.ok) for r in batch.batch_verdict(df, *limits).collect()}
+    assert verdict == {"big": (30, 10, True), "one": (1, 1, False), "edge": (1, 1, True), "late": (12, 10, True)}
+    assert all(r.ok for r in batch.batch_verdict(df).collect())
+    judged = batch.admit_documents(df, *limits)
+    assert {r.batch_id for r in judged.where("admitted").collect()} == {"big", "edge", "late"}
+    assert judged.count() == df.count() and judged.where("admitted = (reason IS NOT NULL)").count() == 0
+    assert judged.where("admitted AND batch_id = 'big'").count() == 10
+    assert batch.admit_documents(df).where("admitted").count() == df.count()
+    assert batch.admit_documents(df, max_batch=50 * mb).where("admitted AND batch_id = 'big'").count() == 0
     assert rows(batch.oversized_files(df).where("batch_id = 'one'").select("size_mb")) == [(20.0,)]
 
 

@@ -34,16 +34,12 @@ def test_narrow_queries_do_not_shuffle(spark, name):
     assert "Exchange" not in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["limit_files", "batch_verdict", "admit_documents", "dedupe_page_images", "results_by_order"])
+@pytest.mark.parametrize("name", ["limit_files", "dedupe_page_images", "results_by_order"])
 def test_groups_are_cut_before_the_shuffle(spark, name):
     text = plan(spark, name)
     assert re.search(r"WindowGroupLimit.*Partial", text)
 
 
-def test_admission_shuffles_once(spark):
-    assert plan(spark, "admit_documents").count("Exchange hashpartitioning") == 1
-
-
 def test_scans_read_only_what_is_used(spark):
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string,source:string>", plan(spark, "pii_summary"))
     assert re.search(r"ReadSchema: struct<event_id:bigint>", plan(spark, "ops_label"))

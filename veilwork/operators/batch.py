@@ -27,12 +27,14 @@ def file_listing(df: DataFrame) -> DataFrame:
     )
 
 
-def limit_files(df: DataFrame, max_files: int = patterns.MAX_FILES) -> DataFrame:
-    """First files of each batch in upload order.
+def limit_files(df: DataFrame, max_files: int | None = None) -> DataFrame:
+    """First ``max_files`` files of each batch in upload order; all of them where no limit is given.
 
     A filtered row number: Spark keeps at most ``max_files`` rows of a batch per task before the
     shuffle, so the size of a batch does not matter.
     """
+    if max_files is None:
+        return df
     order = Window.partitionBy("batch_id").orderBy("ord")
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_files).drop("_n")
 
@@ -43,45 +45,65 @@ def oversized_files(df: DataFrame, max_bytes: int = patterns.MAX_FILE_BYTES) ->
     )
 
 
-def _totals(max_file: int, max_batch: int) -> dict[str, Column]:
-    return {
-        "n_files": F.count("*"),
-        "n_oversized": F.count_if(F.col("size") > max_file),
-        "total_bytes": F.sum("size"),
-    }
+def _placed(df: DataFrame, max_files: int | None) -> DataFrame:
+    """(batch_id, ord, size, kept): is the file among the first ``max_files`` of its batch?"""
+    slim = df.select("batch_id", "ord", "size")
+    if max_files is None:
+        return slim.withColumn("kept", F.lit(True))
+    numbered = number_rows(slim, ["batch_id"], ["ord"], "_n")
+    return numbered.withColumn("kept", F.col("_n") < max_files).drop("_n")
 
 
-def _passes(max_batch: int) -> Column:
-    return (F.col("n_oversized") == 0) & (F.col("total_bytes") <= max_batch)
+def _judged(placed: DataFrame, max_file: int | None, max_batch: int | None) -> DataFrame:
+    kept = F.col("kept")
+    large = F.lit(False) if max_file is None else kept & (F.col("size") > max_file)
+    fits = F.lit(True) if max_batch is None else F.coalesce(F.col("total_bytes") <= max_batch, F.lit(True))
+    return (
+        placed.groupBy("batch_id")
+        .agg(
+            F.count("*").alias("n_files"),
+            F.count_if(kept).alias("n_kept"),
+            F.count_if(large).alias("n_oversized"),
+            F.sum(F.when(kept, F.col("size"))).alias("total_bytes"),
+        )
+        .withColumn("ok", (F.col("n_oversized") == 0) & fits)
+    )
 
 
 def batch_verdict(
-    df: DataFrame,
-    max_files: int = patterns.MAX_FILES,
-    max_file: int = patterns.MAX_FILE_BYTES,
-    max_batch: int = patterns.MAX_BATCH_BYTES,
+    df: DataFrame, max_files: int | None = None, max_file: int | None = None, max_batch: int | None = None
 ) -> DataFrame:
-    """One row per batch: is every kept file, and their sum, within the limits?"""
-    kept = limit_files(df.select("batch_id", "ord", "size"), max_files)
-    totals = kept.groupBy("batch_id").agg(*[c.alias(n) for n, c in _totals(max_file, max_batch).items()])
-    return totals.withColumn("ok", _passes(max_batch))
+    """One row per batch: its files, and whether those it keeps, and their sum, are within the limits.
+
+    Limits are off unless they are given.
+    """
+    return _judged(_placed(df, max_files), max_file, max_batch)
 
 
 def admit_documents(
-    df: DataFrame,
-    max_files: int = patterns.MAX_FILES,
-    max_file: int = patterns.MAX_FILE_BYTES,
-    max_batch: int = patterns.MAX_BATCH_BYTES,
+    df: DataFrame, max_files: int | None = None, max_file: int | None = None, max_batch: int | None = None
 ) -> DataFrame:
-    """Kept documents of passing batches.
+    """Every row, with ``admitted`` and, where it is not, the ``reason``.
 
-    After the limit a batch has a handful of rows, so the totals are a window over the same
-    partitioning; there is no second shuffle and no join.
+    Limits are off unless they are given. Batches over a size limit are refused whole, files past
+    ``max_files`` on their own. ``ord`` is unique within a batch. Places are found on (batch_id,
+    ord, size) alone; contents move for the last join at most.
     """
-    batch = Window.partitionBy("batch_id")
-    kept = limit_files(df, max_files)
-    totals = {n: c.over(batch) for n, c in _totals(max_file, max_batch).items()}
-    return kept.withColumns(totals).where(_passes(max_batch)).drop(*totals)
+    if max_files is None and max_file is None and max_batch is None:
+        return df.withColumns({"admitted": F.lit(True), "reason": F.lit(None).cast("string")})
+    placed = _placed(df, max_files)
+    verdict = _judged(placed, max_file, max_batch).select("batch_id", "n_oversized", "ok")
+    large = F.lit(False) if max_file is None else F.col("size") > max_file
+    reason = (
+        F.when(~F.col("kept"), f"More than {max_files} files in the batch")
+        .when(~F.col("ok") & large, "File is larger than the limit")
+        .when(~F.col("ok") & (F.col("n_oversized") > 0), "Another file of the batch is larger than the limit")
+        .when(~F.col("ok"), "Batch is larger than the limit")
+    )
+    refused = placed.join(verdict, "batch_id").select("batch_id", "ord", reason.alias("reason")).where("reason IS NOT NULL")
+    return df.join(refused, ["batch_id", "ord"], "left").select(
+        *df.columns, F.col("reason").isNull().alias("admitted"), "reason"
+    )
 
 
 def ordered_results(results: DataFrame) -> DataFrame:
@@ -127,14 +149,16 @@ def processing_summary(results: DataFrame, partial: bool = False) -> DataFrame:
 def results_by_order(status: DataFrame, results: DataFrame) -> DataFrame:
     """Status board with the result of every finished file; the last result for a place wins.
 
+    Of results of the same time the one with the highest ``seq`` (order of arrival) is the last.
     Results are cut to one row per place before the join, and their content stays behind.
     """
     slim = results.select(
         "batch_id", F.col("ord").alias("idx"), "name", "file_extension", "processed_time",
+        F.col("seq") if "seq" in results.columns else F.lit(0).alias("seq"),
         _content_size().cast("long").alias("size"),
     )
-    last = Window.partitionBy("batch_id", "idx").orderBy(F.desc("processed_time"))
-    latest = slim.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "processed_time")
+    last = Window.partitionBy("batch_id", "idx").orderBy(F.desc("processed_time"), F.desc("seq"))
+    latest = slim.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "processed_time", "seq")
     done = F.col("status") == "Done"
     found = status.join(latest, ["batch_id", "idx"], "left")
     return found.select(
@@ -178,7 +202,7 @@ def processing_metadata(
         F.lit(patterns.OCR_ENGINE if opts.ocr_available else "unavailable").alias("engine"),
         F.coalesce("images_processed", F.lit(0)).cast("int").alias("images_processed"),
         F.coalesce("images_skipped", F.lit(0)).cast("int").alias("images_skipped"),
-        F.lit(opts.max_images).alias("max_images_per_doc"),
+        F.lit(opts.max_images).cast("int").alias("max_images_per_doc"),
         F.lit(opts.ocr_enabled and not opts.throughput).alias("enabled"),
     )
     metadata = F.struct(

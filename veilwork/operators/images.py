@@ -88,22 +88,22 @@ def ocr_mode_reason(opts: RedactOptions) -> Column:
 def ocr_gate(images: DataFrame, opts: RedactOptions = RedactOptions(), id_col: str = "doc_id") -> DataFrame:
     """Add ``eligible`` and ``extracted_text`` (the reason, for images that are skipped).
 
-    Needs (id, idx, has_data, likely). Only earlier eligible images count towards the cap, and the
-    cap is tested first; an image past the cap is never eligible, so counting earlier readable ones
-    gives the same answer.
+    Needs (id, idx, has_data, likely). Without ``max_images`` there is no cap. Only earlier eligible
+    images count towards one, and it is tested first; an image past the cap is never eligible, so
+    counting earlier readable ones gives the same answer.
     """
     mode = ocr_mode_reason(opts)
     if opts.throughput or not opts.ocr_enabled or not opts.ocr_available:
         return images.withColumn("eligible", F.lit(False)).withColumn("extracted_text", mode)
-    readable = (F.col("has_data") & F.col("likely")).cast("int")
-    counted = running_before(images, [id_col], ["idx"], readable, "_before", bucket=IMAGE_BUCKET)
-    reason = (
-        F.when(F.col("_before") >= opts.max_images, patterns.OCR_REASONS["cap"])
-        .when(~F.col("has_data"), patterns.OCR_REASONS["no_data"])
-        .when(~F.col("likely"), patterns.OCR_REASONS["unlikely"])
+    reason = F.when(~F.col("has_data"), patterns.OCR_REASONS["no_data"]).when(
+        ~F.col("likely"), patterns.OCR_REASONS["unlikely"]
     )
+    if opts.max_images is not None:
+        readable = (F.col("has_data") & F.col("likely")).cast("int")
+        images = running_before(images, [id_col], ["idx"], readable, "_before", bucket=IMAGE_BUCKET)
+        reason = F.when(F.col("_before") >= opts.max_images, patterns.OCR_REASONS["cap"]).otherwise(reason)
     return (
-        counted.withColumn("extracted_text", reason)
+        images.withColumn("extracted_text", reason)
         .withColumn("eligible", F.col("extracted_text").isNull())
         .drop("_before")
     )
@@ -114,8 +114,9 @@ def ocr_apply(
 ) -> DataFrame:
     """Images with the text read from them, or the reason why none was.
 
-    ``recognised`` holds (id, idx, extracted_text) for images a recogniser was given. Only places and
-    flags are numbered by the gate; payloads travel in the last join if they are used after it.
+    ``recognised`` holds (id, idx, extracted_text) for images a recogniser was given; a text that is
+    there is kept whatever the gate says. Only places and flags go through the gate; payloads travel
+    in the last join if they are used after it.
     """
     likely = F.coalesce("likely", F.lit(True)) if "likely" in images.columns else F.lit(True)
     flags = images.select(
@@ -130,8 +131,8 @@ def ocr_apply(
     return (
         images.drop("extracted_text", "ocr_applied")
         .join(read, [id_col, "idx"], "left")
-        .withColumn("extracted_text", F.coalesce("_reason", "_read", F.lit("")))
-        .withColumn("ocr_applied", F.col("eligible") & F.col("_read").isNotNull())
+        .withColumn("extracted_text", F.coalesce("_read", "_reason", F.lit("")))
+        .withColumn("ocr_applied", F.col("_read").isNotNull())
         .drop("_reason", "_read", "eligible")
     )
 
@@ -156,7 +157,7 @@ def ocr_counters(gated: DataFrame, opts: RedactOptions = RedactOptions(), id_col
     return gated.groupBy(id_col).agg(
         F.count_if("eligible").alias("images_processed"),
         F.count_if(~F.col("eligible")).alias("images_skipped"),
-        F.lit(opts.max_images).alias("max_images_per_doc"),
+        F.lit(opts.max_images).cast("int").alias("max_images_per_doc"),
         F.lit(opts.ocr_enabled and not opts.throughput).alias("enabled"),
     )
 
@@ -174,10 +175,11 @@ def image_info(images: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def thumbnail_eligible(df: DataFrame, col: str = "image_data") -> DataFrame:
-    return df.withColumn(
-        "thumbnail_eligible", F.coalesce(F.octet_length(col) < patterns.THUMBNAIL_LIMIT_BYTES, F.lit(False))
-    )
+def thumbnail_eligible(df: DataFrame, limit: int | None = None, col: str = "image_data") -> DataFrame:
+    """Images with bytes, below ``limit`` bytes where one is given."""
+    size = F.octet_length(col)
+    small = size.isNotNull() if limit is None else size < limit
+    return df.withColumn("thumbnail_eligible", F.coalesce(small, F.lit(False)))
 
 
 def mentioned_images(c: Column) -> Column:

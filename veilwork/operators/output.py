@@ -13,6 +13,8 @@ from veilwork.functions.scale import number_rows
 from veilwork.operators.images import IMAGE_BUCKET, drop_logo_images, fit_image_width, image_info, mentioned_images
 from veilwork.options import RedactOptions
 
+# Places of a batch that are written to one file.
+BUNDLE_RUN = 10_000
 _TABLE_FIELDS = ("table_index", "data", "rows", "cols", "page", "extraction_method")
 _TABLE_TYPE = (
     "array<struct<table_index:int,data:array<array<string>>,rows:int,cols:int,page:int,extraction_method:string>>"
@@ -161,18 +163,28 @@ def report_rows(df: DataFrame, as_of: datetime, id_col: str = "doc_id") -> DataF
     return df.select(id_col, F.posexplode(rows).alias("seq", "_r")).select(id_col, "seq", "_r.kind", "_r.text")
 
 
-def report_table_preview(tables: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, table_index, title, row_idx, cells): the corner of each table that a report shows."""
-    width = F.least(F.lit(patterns.PREVIEW_COLS), F.size(F.get("data", F.lit(0))))
+def report_table_preview(
+    tables: DataFrame,
+    id_col: str = "doc_id",
+    max_rows: int | None = None,
+    max_cols: int | None = None,
+    max_chars: int | None = None,
+) -> DataFrame:
+    """(id, table_index, title, row_idx, cells): each table as a report shows it.
+
+    The whole table, as wide as its first row; limits cut a corner of it where they are given.
+    """
+    width = F.size(F.get("data", F.lit(0)))
+    width = width if max_cols is None else F.least(F.lit(max_cols), width)
     places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
 
     def cell(row: Column, at: Column) -> Column:
-        inside = F.left(F.coalesce(F.get(row, at), F.lit("None")), F.lit(patterns.PREVIEW_CELL))
+        inside = F.coalesce(F.get(row, at), F.lit("None"))
+        inside = inside if max_chars is None else F.left(inside, F.lit(max_chars))
         return F.when(at < F.size(row), inside).otherwise(F.lit(""))
 
-    shown = F.transform(
-        F.slice("data", 1, patterns.PREVIEW_ROWS), lambda row: F.transform(places, lambda at: cell(row, at))
-    )
+    rows = F.col("data") if max_rows is None else F.slice("data", 1, max_rows)
+    shown = F.transform(rows, lambda row: F.transform(places, lambda at: cell(row, at)))
     return tables.select(
         id_col,
         "table_index",
@@ -203,7 +215,12 @@ def bundle_manifest(results: DataFrame) -> DataFrame:
 
 
 def bundle_outputs(results: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """Write every output below ``batch_id=...`` and return the manifest; no batch is gathered."""
+    """Write every output below ``batch_id=...`` and return the manifest; no batch is gathered.
+
+    Outputs of a batch are written by runs of ``BUNDLE_RUN`` places, so a batch has a file for each
+    run and not for each task. Of a name all versions are kept, each with its ``ord``.
+    """
     columns = ("batch_id", "ord", "name", "content")
-    results.select(*columns).write.mode(mode).partitionBy("batch_id").parquet(path)
+    run = F.floor(F.col("ord") / F.lit(BUNDLE_RUN))
+    results.select(*columns).repartition("batch_id", run).write.mode(mode).partitionBy("batch_id").parquet(path)
     return bundle_manifest(results)

@@ -25,8 +25,8 @@ def table_indicators(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def votes_column(c: Column) -> Column:
-    """Table-like lines among the first 50; the rest of the text is never split."""
-    lines = F.slice(F.split(c, "\n", patterns.VOTE_LINES + 1), 1, patterns.VOTE_LINES)
+    """Table-like lines of the whole text."""
+    lines = F.split(c, "\n", -1)
 
     def votes(line: Column) -> Column:
         pipes = F.char_length(line) - F.char_length(F.replace(line, F.lit("|"), F.lit("")))

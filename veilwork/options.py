@@ -19,7 +19,7 @@ class RedactOptions:
     throughput: bool = False
     ocr_enabled: bool = True
     ocr_available: bool = True
-    max_images: int = patterns.MAX_IMAGES_PER_DOC
+    max_images: int | None = None
     header_ratio: float = patterns.HEADER_RATIO
     scope: str = "text"
 

@@ -33,15 +33,13 @@ OCR_ENGINE = "paddle"
 LOGO_TEXTS = ("stc", "sic")
 
 HEADER_RATIO = 0.08
-MAX_IMAGES_PER_DOC = 10
 MAX_FILES = 10
 MAX_FILE_BYTES = 20 * 1024 * 1024
 MAX_BATCH_BYTES = 100 * 1024 * 1024
 THUMBNAIL_LIMIT_BYTES = 10000
 REPORT_IMAGE_WIDTH = 400
 REPORT_IMAGE_HEIGHT = 300
-PREVIEW_ROWS, PREVIEW_COLS, PREVIEW_CELL = 10, 6, 50
-VOTE_LINES, VOTES_NEEDED = 50, 3
+VOTES_NEEDED = 3
 
 OCR_REASONS = {
     "throughput": "[OCR disabled in throughput mode]",

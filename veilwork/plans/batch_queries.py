@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from veilwork import patterns
 from veilwork.operators import batch, images, output, status
 from veilwork.plans import inputs
 from veilwork.plans.batch_run import run_batch
@@ -42,18 +43,21 @@ def _(spark, folder):
     return batch.file_listing(inputs.uploads(spark, folder))
 
 
-_KEPT = "kept AS (SELECT * FROM uploads QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY ord) <= 10)"
-_VERDICT = """verdict AS (SELECT batch_id, count(*) AS n_files, count(*) FILTER (WHERE size > 20971520) AS n_oversized,
-  CAST(sum(size) AS bigint) AS total_bytes, count(*) FILTER (WHERE size > 20971520) = 0 AND sum(size) <= 104857600 AS ok FROM kept GROUP BY batch_id)"""
+_LIMITS = (patterns.MAX_FILES, patterns.MAX_FILE_BYTES, patterns.MAX_BATCH_BYTES)
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ord) <= 10 AS kept FROM uploads)"
+_VERDICT = """verdict AS (SELECT batch_id, count(*) AS n_files, count(*) FILTER (WHERE kept) AS n_kept,
+  count(*) FILTER (WHERE kept AND size > 20971520) AS n_oversized, CAST(sum(size) FILTER (WHERE kept) AS bigint) AS total_bytes,
+  count(*) FILTER (WHERE kept AND size > 20971520) = 0 AND coalesce(sum(size) FILTER (WHERE kept) <= 104857600, true) AS ok
+  FROM placed GROUP BY batch_id)"""
 
 
 def _with_verdict(select: str) -> str:
-    return with_inputs("", "uploads").strip() + f", {_KEPT}, {_VERDICT} {select}"
+    return with_inputs("", "uploads").strip() + f", {_PLACED}, {_VERDICT} {select}"
 
 
-@query("limit_files", _with_verdict("SELECT batch_id, ord, filename, size FROM kept"))
+@query("limit_files", _with_verdict("SELECT batch_id, ord, filename, size FROM placed WHERE kept"))
 def _(spark, folder):
-    return batch.limit_files(inputs.uploads(spark, folder)).select("batch_id", "ord", "filename", "size")
+    return batch.limit_files(inputs.uploads(spark, folder), patterns.MAX_FILES).select("batch_id", "ord", "filename", "size")
 
 
 @query(
@@ -69,15 +73,23 @@ def _(spark, folder):
 
 @query("batch_verdict", _with_verdict("SELECT * FROM verdict"))
 def _(spark, folder):
-    return batch.batch_verdict(inputs.uploads(spark, folder))
+    return batch.batch_verdict(inputs.uploads(spark, folder), *_LIMITS)
 
 
 @query(
     "admit_documents",
-    _with_verdict("SELECT batch_id, ord, filename, size FROM kept SEMI JOIN (SELECT batch_id FROM verdict WHERE ok) v USING (batch_id)"),
+    _with_verdict(
+        """SELECT batch_id, ord, filename, size, reason IS NULL AS admitted, reason FROM (
+             SELECT batch_id, ord, filename, size, CASE WHEN NOT kept THEN 'More than 10 files in the batch'
+               WHEN NOT ok AND size > 20971520 THEN 'File is larger than the limit'
+               WHEN NOT ok AND n_oversized > 0 THEN 'Another file of the batch is larger than the limit'
+               WHEN NOT ok THEN 'Batch is larger than the limit' END AS reason FROM placed JOIN verdict USING (batch_id))"""
+    ),
 )
 def _(spark, folder):
-    return batch.admit_documents(inputs.uploads(spark, folder)).select("batch_id", "ord", "filename", "size")
+    return batch.admit_documents(inputs.uploads(spark, folder), *_LIMITS).select(
+        "batch_id", "ord", "filename", "size", "admitted", "reason"
+    )
 
 
 # --- status --------------------------------------------------------------------------------------
@@ -178,7 +190,7 @@ def _(spark, folder):
     with_inputs(
         """SELECT s.batch_id, s.idx, s.file, s.status, s.progress, CASE WHEN s.status = 'Done' THEN r.name END AS name,
              CASE WHEN s.status = 'Done' THEN r.file_extension END AS file_extension, CASE WHEN s.status = 'Done' THEN r.size END AS size
-           FROM status s LEFT JOIN (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY batch_id, ord ORDER BY processed_time DESC) = 1) r
+           FROM status s LEFT JOIN (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY batch_id, ord ORDER BY processed_time DESC, seq DESC) = 1) r
              ON s.batch_id = r.batch_id AND s.idx = r.ord""",
         "status", "results",
     ),
@@ -252,14 +264,11 @@ def _uploaded(spark, folder):
     )
 
 
-_BATCH = """upload AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10)"""
-
-
 @query(
     "batch_results",
     with_inputs("", "docs").strip()
-    + f""", {_BATCH} SELECT source AS batch_id, doc_id AS ord, 'doc_' || doc_id || '_processed.pdf' AS name, filename AS original_name,
-        '.pdf' AS file_extension, {sql_remove(sql_anonymize('text'))} AS content FROM upload WHERE filename LIKE '%.txt'""",
+    + f""" SELECT source AS batch_id, doc_id AS ord, 'doc_' || doc_id || '_processed.pdf' AS name, filename AS original_name,
+        '.pdf' AS file_extension, {sql_remove(sql_anonymize('text'))} AS content FROM docs WHERE filename LIKE '%.txt'""",
 )
 def _(spark, folder):
     results = run_batch(_uploaded(spark, folder), OPTS, AS_OF).results
@@ -269,8 +278,8 @@ def _(spark, folder):
 @query(
     "batch_status",
     with_inputs("", "docs").strip()
-    + f""", {_BATCH} SELECT source AS batch_id, doc_id AS idx, filename AS file, CASE WHEN filename LIKE '%.txt' THEN 'Done' ELSE 'Error' END AS status,
-        CASE WHEN filename LIKE '%.txt' THEN 100 ELSE 0 END AS progress FROM upload""",
+    + """ SELECT source AS batch_id, doc_id AS idx, filename AS file, CASE WHEN filename LIKE '%.txt' THEN 'Done' ELSE 'Error' END AS status,
+        CASE WHEN filename LIKE '%.txt' THEN 100 ELSE 0 END AS progress FROM docs""",
 )
 def _(spark, folder):
     return run_batch(_uploaded(spark, folder), OPTS, AS_OF).status
@@ -299,8 +308,8 @@ def _(spark, folder):
     f"SELECT DISTINCT sha256(props || {_literal(OPTS.as_json())}) AS fp FROM events",
 )
 def _(spark, folder):
-    rows = stream_table(spark, folder, "events").select(F.col("ts").alias("arrived"), F.col("props").alias("text"))
-    once = jobs.stream_process_once(rows, OPTS, horizon="3650 days")
+    rows = stream_table(spark, folder, "events").select("event_id", F.col("props").alias("text"))
+    once = jobs.stream_process_once(rows, OPTS)
     return _drained(spark, once.select("fp"), "once")
 
 

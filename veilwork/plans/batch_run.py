@@ -19,7 +19,7 @@ _NO_BYTES = "Page files are taken as rows of page text, not as bytes"
 
 @dataclass(frozen=True)
 class BatchRun:
-    """``results`` has one row per processed file, ``messages`` one per admitted file."""
+    """``results`` has one row per processed file, ``messages`` and ``status`` one per uploaded file."""
 
     results: DataFrame
     messages: DataFrame
@@ -34,17 +34,27 @@ def _content(done: Processed) -> DataFrame:
 
 
 def run_batch(
-    uploads: DataFrame, opts: RedactOptions, as_of: datetime, tagger: spans.Tagger | None = None
+    uploads: DataFrame,
+    opts: RedactOptions,
+    as_of: datetime,
+    tagger: spans.Tagger | None = None,
+    max_files: int | None = None,
+    max_file: int | None = None,
+    max_batch: int | None = None,
 ) -> BatchRun:
     """Process (batch_id, ord, doc_id, filename, content) rows; ``doc_id`` is unique over all batches.
 
-    Batches over their limits are refused whole. A file that fails is an error of its own and the
+    Limits are off unless they are given; what is refused is an error with its reason on the board.
+    A file that fails is an error of its own and the
     others go on. Text files are decoded, redacted and turned into records; office files go through
     the office reader. What is written for a page-like output is its processed text: rendering is
     the caller's, from ``report_rows``.
     """
     validate_options(opts)
-    admitted = batch.admit_documents(uploads.withColumn("size", F.octet_length("content").cast("long")))
+    sized = uploads.withColumn("size", F.octet_length("content").cast("long"))
+    judged = batch.admit_documents(sized, max_files, max_file, max_batch)
+    admitted = judged.where("admitted").drop("admitted", "reason")
+    refused = judged.where("NOT admitted").select("batch_id", "ord", "filename", F.col("reason").alias("error"))
     office = F.lower(F.substring_index("filename", ".", -1)) == "docx"
     pages = F.lower(F.substring_index("filename", ".", -1)) == "pdf"
     texts = decode_text(admitted.where(~office)).drop("content")
@@ -74,7 +84,8 @@ def run_batch(
         ops.alias("operations"),
     )
     failed = F.col("error").isNotNull()
-    messages = finished.select(
+    ended = finished.select("batch_id", "ord", "filename", "error").unionByName(refused)
+    messages = ended.select(
         "batch_id",
         F.col("ord").alias("idx"),
         F.lit(1).cast("long").alias("seq"),
@@ -82,5 +93,5 @@ def run_batch(
         F.col("filename").alias("original_name"),
         "error",
     )
-    files = admitted.select("batch_id", F.col("ord").alias("idx"), F.col("filename").alias("file"))
+    files = uploads.select("batch_id", F.col("ord").alias("idx"), F.col("filename").alias("file"))
     return BatchRun(results, messages, status.status_fold(messages, files))

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from veilwork import patterns
 from veilwork.operators import images, output, pages, tables
 from veilwork.options import RedactOptions
 from veilwork.plans import inputs
@@ -65,14 +66,17 @@ def _(spark, folder):
     "read_with_fallback",
     """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text WHEN doc_id % 6 <> 0 THEN 'plain ' || text END AS text,
          CASE WHEN doc_id % 3 <> 0 THEN 'pymupdf_single_pass' WHEN doc_id % 6 <> 0 THEN 'pymupdf_text_only' END AS pdf_engine,
-         CASE WHEN doc_id % 6 = 0 THEN 'Unable to read PDF: broken' END AS error FROM documents""",
+         CASE WHEN doc_id % 6 = 0 THEN 'Unable to read PDF: ' || CASE WHEN doc_id % 12 = 0 THEN 'broken' ELSE 'unreadable' END END AS error
+       FROM documents""",
 )
 def _(spark, folder):
+    """Some documents have no first read, some no second one."""
     docs = inputs.documents(spark, folder)
     i = F.col("doc_id")
-    failed = F.lit("broken")
-    full = docs.select("doc_id", "text", F.when(i % 3 == 0, failed).alias("error"))
-    plain = docs.select("doc_id", F.concat(F.lit("plain "), "text").alias("text"), F.when(i % 6 == 0, failed).alias("error"))
+    full = docs.where((i % 9 != 3) | (i % 12 == 0)).select("doc_id", "text", F.when(i % 3 == 0, F.lit("broken")).alias("error"))
+    plain = docs.where(i % 12 != 0).select(
+        "doc_id", F.concat(F.lit("plain "), "text").alias("text"), F.when(i % 6 == 0, F.lit("unreadable")).alias("error")
+    )
     return pages.read_with_fallback(full, plain)
 
 
@@ -140,7 +144,7 @@ def _sql_signs(c: str) -> dict[str, str]:
 
 
 def _sql_votes(c: str) -> str:
-    return rf"""CAST(len(list_filter(list_transform(string_split({c}, chr(10))[1:50], lambda x: trim(x, {STRIP})),
+    return rf"""CAST(len(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x, {STRIP})),
       lambda l: l <> '' AND (length(l) - length(replace(l, '|', '')) >= 2 OR len(string_split_regex(l, '\s{{3,}}')) >= 3
         OR regexp_matches(l, '\d+[,\d]*\s+\d+[,\d]*')))) AS integer)"""
 
@@ -295,7 +299,7 @@ def _(spark, folder):
     with_inputs("SELECT doc_id, idx, coalesce(n_bytes < 10000, false) AS thumbnail_eligible FROM images", "images"),
 )
 def _(spark, folder):
-    return images.thumbnail_eligible(inputs.images(spark, folder)).select("doc_id", "idx", "thumbnail_eligible")
+    return images.thumbnail_eligible(inputs.images(spark, folder), patterns.THUMBNAIL_LIMIT_BYTES).select("doc_id", "idx", "thumbnail_eligible")
 
 
 _REFS = r"""refs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS integer) AS pos, description
@@ -471,8 +475,8 @@ def _(spark, folder):
     "report_table_preview",
     with_inputs(
         """SELECT doc_id, table_index, 'Table ' || (table_index + 1) || ':' AS title, CAST(place - 1 AS integer) AS row_idx,
-             array_to_string(list_transform(range(1, 1 + least(6, cols)), lambda k: CASE WHEN k <= len(r) THEN left(r[k], 50) ELSE '' END), '|') AS cells
-           FROM (SELECT doc_id, table_index, cols, unnest(data[1:10]) AS r, generate_subscripts(data[1:10], 1) AS place FROM tables)""",
+             array_to_string(list_transform(range(1, 1 + cols), lambda k: CASE WHEN k <= len(r) THEN coalesce(r[k], 'None') ELSE '' END), '|') AS cells
+           FROM (SELECT doc_id, table_index, cols, unnest(data) AS r, generate_subscripts(data, 1) AS place FROM tables)""",
         "tables",
     ),
 )

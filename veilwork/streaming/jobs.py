@@ -24,26 +24,27 @@ def stream_redact(documents: DataFrame, opts: RedactOptions, tagger: Tagger | No
 def stream_process_once(
     documents: DataFrame,
     opts: RedactOptions,
-    arrived: str = "arrived",
     horizon: str = "1 hour",
     content: str = "text",
     salts: int = 64,
 ) -> DataFrame:
     """Drop content seen before within ``horizon``; state is one fingerprint per content in it.
 
-    A content that floods the stream is first reduced in ``salts`` places and only then in one, so
-    no task gets all its copies. Rows without a content are no repeats of each other and all pass.
+    The horizon is time of processing, not a time in the rows, so a new document is kept however
+    late it comes. A content that floods the stream is first reduced in ``salts`` places and only
+    then in one, so no task gets all its copies. Rows without a content are no repeats of each
+    other and all pass.
     """
     others = [c for c in documents.columns if c != content]
-    timed = documents.withColumn(arrived, F.col(arrived).cast("timestamp"))
     keyed = (
-        fingerprint(timed, opts, content)
+        fingerprint(documents, opts, content)
         .withColumn("_key", F.coalesce("fp", F.expr("uuid()")))
         .withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
-        .withWatermark(arrived, horizon)
+        .withColumn("_seen", F.current_timestamp())
+        .withWatermark("_seen", horizon)
     )
     spread = keyed.dropDuplicatesWithinWatermark(["_key", "_salt"])
-    return spread.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_salt")
+    return spread.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_salt", "_seen")
 
 
 def stream_status(messages: DataFrame) -> DataFrame:
