@@ -57,12 +57,24 @@ def python_remove(t: str) -> str:
     return t
 
 
-def python_votes(t: str) -> int:
-    votes = 0
-    for line in map(str.strip, t.split("\n")):
-        wide = len(re.split(r"\s{3,}", line)) >= 3
-        votes += bool(line) and (line.count("|") >= 2 or wide or bool(re.search(r"\d+[,\d]*\s+\d+[,\d]*", line)))
-    return votes
+VOTES = {
+    "a|b|c": 1,
+    "a|b": 0,
+    "||": 1,
+    "a   b   c": 1,
+    "a   b": 0,
+    "   a   b   ": 0,
+    "a \t b\xa0\xa0\xa0c": 1,
+    "12 34": 1,
+    "1,, 2": 1,
+    "1,5": 0,
+    "x 1\x1c2": 1,
+    "٣ ٣": 1,
+    "1\n2": 0,
+    "1 2\n\n3 4\n|x|": 3,
+    "": 0,
+    "plain words\nand more": 0,
+}
 
 
 def test_edge_strings(spark):
@@ -111,8 +123,12 @@ def test_table_signs_match_python(mixed):
         t = texts[row.doc_id]
         found = {n: bool(re.search(p, t, re.IGNORECASE)) for n, p in patterns.TABLE_INDICATORS.items()}
         assert {n: row[n] for n in found} == found, t
-        assert row.votes == python_votes(t), t
-        assert row.has_table == (any(found.values()) or python_votes(t) >= 3)
+        assert row.has_table == (any(found.values()) or row.votes >= 3)
+
+
+def test_votes(spark):
+    df = spark.createDataFrame([(t,) for t in VOTES], "text string")
+    assert {r.text: r.votes for r in tables.table_line_votes(df).collect()} == VOTES
 
 
 def test_null_and_empty_text(spark):
@@ -137,6 +153,20 @@ def test_grouped_alternation_is_the_plain_one(listed, sample):
     assert grouped.sub("<>", sample) == plain.sub("<>", sample)
 
 
+def test_alternation_of_many_nested_terms():
+    nested = ["a" * n for n in range(300, 0, -1)]
+    pattern = re.compile(regex.alternation(nested).replace("(?iu)", "(?i)"))
+    assert pattern.sub(lambda m: f"<{len(m.group())}>", "A" * 250 + "b" + "a" * 301) == "<250>b<300><1>"
+    assert regex.alternation(nested[::-1]) == "(?iu)(?=[a])(?:a)"
+
+
+def test_column_form_is_the_list_form(spark):
+    lists = [["ab", "abc", "Abd", "b"], ["x", "Xy", ".|", "$"], ["é", "ÉA", "ß", "ss"], ["the", "then", "they", "t"]]
+    rows = [(k, pos, t) for k, own in enumerate(lists) for pos, t in enumerate(own)]
+    made = terms.group_patterns(spark.createDataFrame(rows, "k long, pos int, term string"), "k").collect()
+    assert {r.k: r._pattern for r in made} == {k: regex.alternation(own) for k, own in enumerate(lists)}
+
+
 def test_terms_match_python(mixed):
     texts, df = mixed
     listed = ["tab", "TABLE", "a b", "1", "é", "a+b (x)", "|", "+-", "$5", "\\d", "K", "x.y", "T", "中"]
@@ -153,24 +183,27 @@ def test_first_listed_term_wins_and_empty_replacement_is_a_space(spark):
     assert terms.anonymize(df, ["", None]).first().text == "john doe"
 
 
-def python_terms(raw: str) -> list[str]:
-    seen, out = set(), []
-    for line in raw.splitlines():
-        for part in map(str.strip, line.split(",")):
-            if part and part.lower() not in seen:
-                seen.add(part.lower())
-                out.append(part)
-    return out
+PARSED = {
+    "Acme, Bob\nacme": ["Acme", "Bob"],
+    " a b ,,\tc\x1f": ["a b", "c"],
+    "a\r\nb\rc\x0bd\x0ce": ["a", "b", "c", "d", "e"],
+    "x\x1cy\x1dz\x1ew": ["x", "y", "z", "w"],
+    "p\x85q\u2028r\u2029s": ["p", "q", "r", "s"],
+    "\u00c9, \u00e9, e": ["\u00c9", "e"],
+    "\xa0b\xa0, B, a, b": ["b", "a"],
+    "one\x1ftwo": ["one\x1ftwo"],
+    ", \n ,": [],
+    "": [],
+}
 
 
 def test_parse_and_normalize_terms(spark):
-    rnd = random.Random(3)
-    raws = ["".join(rnd.choice(list("abAB é,\n\r\x0b\x0c\x1c\x1e\x1f\x85 ")) for _ in range(40)) for _ in range(300)]
-    df = spark.createDataFrame(list(enumerate(raws)), "id long, raw string")
-    got = {}
+    df = spark.createDataFrame([(raw, raw) for raw in PARSED], "id string, raw string")
+    got = {raw: [] for raw in PARSED}
     for row in terms.parse_terms(df, "raw").orderBy("id", "pos").collect():
-        got.setdefault(row.id, []).append((row.pos, row.term))
-    assert got == {i: list(enumerate(python_terms(r))) for i, r in enumerate(raws) if python_terms(r)}
+        assert row.pos == len(got[row.id])
+        got[row.id].append(row.term)
+    assert got == PARSED
     arrays = spark.createDataFrame([(1, [" a", None, "A ", "b", "", "\t"])], "id long, t array<string>")
     assert [tuple(r) for r in terms.normalize_terms(arrays, "t").collect()] == [(1, 0, "a"), (1, 1, "b")]
 

@@ -5,9 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as registry
+from veilwork.plans.catalog import CATALOG
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = [n for n in registry.queries() if not n.startswith("stream")]
+BATCH = [n for n in CATALOG if not n.startswith("stream")]
 # Queries that only project, filter or explode rows where they lie.
 NARROW = (
     "remove_pii_pages", "ner_mode", "image_format", "image_text_likelihood", "ocr_mode_reason", "image_info",

@@ -95,17 +95,48 @@ def _case_key(char: str) -> str:
     return (upper if len(upper) == 1 else char).lower()[0]
 
 
-def alternation(terms) -> str:
-    """Case-insensitive pattern: the first listed term that fits wins, no word boundaries.
+# Splits on one path through a list of terms; what is longer is listed plainly from there on.
+_DEEPEST = 40
+
+
+def _by_first(terms) -> tuple[list[list[str]], bool]:
+    """Terms in groups that start alike, and whether the list ends in an empty one.
 
-    Terms are grouped by their first character. Terms of different groups never fit at the same
-    place, so only the order within a group matters and that is kept; a place in the text is tried
-    against the one group that can fit instead of every term.
+    An empty rest fits wherever it is tried, so what is listed after it never wins.
     """
     groups: dict[str, list[str]] = {}
     for term in terms:
+        if not term:
+            return list(groups.values()), True
         groups.setdefault(_case_key(term[0]), []).append(term)
-    firsts = [re.escape(group[0][0]) for group in groups.values()]
-    bodies = ["|".join(re.escape(term[1:]) for term in group) for group in groups.values()]
-    branches = "|".join(f"{first}(?:{body})" for first, body in zip(firsts, bodies))
-    return f"(?iu)(?=[{''.join(firsts)}])(?:{branches})"
+    return list(groups.values()), False
+
+
+def _branch(group: list[str], depth: int) -> str:
+    """What all terms of a group start with, then their rests."""
+    keys = [list(map(_case_key, term)) for term in group]
+    shared = 0
+    for column in zip(*keys):
+        if len(set(column)) > 1:
+            break
+        shared += 1
+    rest = _tree([term[shared:] for term in group], depth + 1)
+    return re.escape(group[0][:shared]) + (f"(?:{rest})" if rest else "")
+
+
+def _tree(terms, depth: int = 0) -> str:
+    if depth == _DEEPEST:
+        return "|".join(map(re.escape, terms))
+    groups, ended = _by_first(terms)
+    return "|".join([_branch(group, depth) for group in groups] + [""] * ended)
+
+
+def alternation(terms) -> str:
+    """Case-insensitive pattern: the first listed term that fits wins, no word boundaries.
+
+    Terms become a tree of shared beginnings. Terms that differ in a character never fit at the
+    same place, so only the order within a branch matters and that is kept; a place in the text is
+    tried against the one branch that can fit instead of every term.
+    """
+    firsts = "".join(re.escape(group[0][0]) for group in _by_first(terms)[0])
+    return f"(?iu)(?=[{firsts}])(?:{_tree(terms)})"

@@ -44,11 +44,6 @@ def literal_replacement_column(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
 
-def escape_pattern_column(c: Column) -> Column:
-    """Term column as a pattern that matches the term literally."""
-    return F.regexp_replace(c, r"([^\p{L}\p{N}_])", r"\\$1")
-
-
 def joined_labels(sep: str, empty: str, *parts: tuple[Column, str]) -> Column:
     """Labels of the true conditions joined by ``sep``; ``empty`` if none holds."""
     text = F.concat_ws(sep, *[F.when(cond, F.lit(label)) for cond, label in parts])

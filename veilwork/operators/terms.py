@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from veilwork.functions import regex, text
 from veilwork.functions.scale import lookup_join
 from veilwork.options import normalize_term_list
 
+_alternation = regex.alternation
+# Tasks get the functions themselves, so executors need no copy of this package.
+for _module in (regex, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 
 def _first_spellings(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """(id, pos, term): non-blank trimmed terms, the first of each lower-cased form, in order.
@@ -60,36 +69,19 @@ def anonymize(df: DataFrame, terms: Sequence[str], replacement: str = "", col: s
     return df.withColumn(col, anonymize_column(F.col(col), terms, replacement))
 
 
-def _alternation_column(terms: Column) -> Column:
-    """``regex.alternation`` for a column that holds an array of terms."""
-
-    def key(term: Column) -> Column:
-        first = F.left(term, F.lit(1))
-        upper = F.upper(first)
-        return F.left(F.lower(F.when(F.char_length(upper) == 1, upper).otherwise(first)), F.lit(1))
-
-    def group(k: Column) -> Column:
-        return F.filter(terms, lambda t: key(t) == k)
-
-    def first(k: Column) -> Column:
-        return text.escape_pattern_column(F.left(F.get(group(k), F.lit(0)), F.lit(1)))
-
-    def branch(k: Column) -> Column:
-        rests = F.transform(group(k), lambda t: text.escape_pattern_column(F.substr(t, F.lit(2))))
-        return F.concat(first(k), F.lit("(?:"), F.array_join(rests, "|"), F.lit(")"))
-
-    keys = F.array_distinct(F.transform(terms, key))
-    start = F.array_join(F.transform(keys, first), "")
-    return F.concat(
-        F.lit("(?iu)(?=["), start, F.lit("])(?:"), F.array_join(F.transform(keys, branch), "|"), F.lit(")")
-    )
+def _with_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the pattern of each row's list of terms; a list has one row."""
+    for batch in batches:
+        patterns = [_alternation(terms) for terms in batch.column("_terms").to_pylist()]
+        yield batch.drop_columns(["_terms"]).append_column("_pattern", pa.array(patterns, pa.string()))
 
 
 def group_patterns(terms_df: DataFrame, key: str) -> DataFrame:
     """One pattern and replacement per key from (key, pos, term[, replacement]) rows.
 
     Repeats of a term are merged before its list is gathered (combined map-side), so what meets
-    in one cell is the distinct list, which is what the pattern has to hold anyway.
+    in one cell is the distinct list, which is what the pattern has to hold anyway. Patterns are
+    made in the tasks that hold the lists, one for each key; texts never go there.
     """
     if "replacement" not in terms_df.columns:
         terms_df = terms_df.withColumn("replacement", F.lit(""))
@@ -101,11 +93,13 @@ def group_patterns(terms_df: DataFrame, key: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("_terms"),
         F.min_by("replacement", "pos").alias("_replacement"),
     )
-    pattern = _alternation_column(F.transform("_terms", lambda t: t["term"]))
     replacement = F.when(F.coalesce("_replacement", F.lit("")) == "", F.lit(" ")).otherwise(F.col("_replacement"))
-    return listed.select(
-        key, pattern.alias("_pattern"), text.literal_replacement_column(replacement).alias("_replacement")
+    rows = listed.select(
+        key, text.literal_replacement_column(replacement).alias("_replacement"),
+        F.transform("_terms", lambda t: t["term"]).alias("_terms"),
     )
+    schema = StructType([*rows.drop("_terms").schema.fields, StructField("_pattern", StringType())])
+    return rows.mapInArrow(_with_patterns, schema)
 
 
 def anonymize_by_group(

@@ -173,10 +173,10 @@ def _(spark, folder):
 
 @query(
     "gate_table_pages",
-    with_inputs(f"SELECT doc_id, CAST(pos AS integer) AS pos FROM blocks WHERE {_sql_gate('text')}", "doc_lines", "blocks"),
+    with_inputs(f"SELECT doc_id, page FROM page_texts WHERE {_sql_gate('text')}", "page_texts"),
 )
 def _(spark, folder):
-    return tables.gate_table_pages(inputs.blocks(spark, folder)).select("doc_id", "pos")
+    return tables.gate_table_pages(inputs.page_texts(spark, folder)).select("doc_id", "page")
 
 
 @query(

@@ -86,6 +86,17 @@ SQL["blocks"] = """SELECT doc_id, pos, CAST(pos // 5 AS integer) AS page, CAST(2
   CAST(CASE WHEN pos % 11 = 10 THEN 0 ELSE 100 END AS double) AS page_height, line AS text FROM doc_lines"""
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole pages of five lines."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    return blocks(spark, folder).groupBy("doc_id", "page").agg(
+        F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("text")
+    )
+
+
+SQL["page_texts"] = "SELECT doc_id, page, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks GROUP BY doc_id, page"
+
+
 def raw_tables(spark: SparkSession, folder: str) -> DataFrame:
     """A table per line: sentences are rows, words are cells; every seventh came out empty."""
     rows = F.transform(F.split("line", r"\. ", -1), lambda r: F.split(r, " ", -1))
