@@ -14,7 +14,7 @@ from veilwork import patterns
 from veilwork.functions import scale
 from veilwork.operators import batch, dedup, fragments, images, output, pages, pii, spans, status, tables
 from veilwork.options import RedactOptions, validate_options
-from veilwork.plans.process import process_documents, redact_document
+from veilwork.plans.process import process_documents, process_pages, redact_document
 from veilwork.sources.files import route_format
 
 AS_OF = datetime(2024, 5, 6, 7, 8, 9)
@@ -304,6 +304,47 @@ def test_json_record_round_trip(spark):
     assert record["content"]["images"][0]["extracted_text"] == "[PII_REMOVED]"
 
 
+def test_process_pages(spark):
+    docs = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf"), (3, "c.pdf"), (4, "d.pdf")], "doc_id long, filename string")
+    block = lambda d, page, pos, y, t: (d, page, pos, y, y + 5.0, 0.0, 100.0, t)
+    blocks = spark.createDataFrame(
+        [block(1, 0, 0, 0.0, "head"), block(1, 0, 1, 50.0, "| a | b |"), block(1, 1, 0, 50.0, "a@b.co"), block(1, 1, 1, 95.0, "foot"), block(4, 0, 0, 0.0, "head")],
+        "doc_id long, page int, pos int, y0 double, y1 double, page_y0 double, page_height double, text string",
+    )
+    found = spark.createDataFrame(
+        [(1, 0, 0, []), (1, 0, 1, [["a@b.co"]]), (1, 1, 0, [["x"]]), (2, 0, 0, [["y"]])], "doc_id long, page int, pos int, data array<array<string>>"
+    )
+    pics = spark.createDataFrame(
+        [(1, 0, 7, 0, 0, b"x"), (1, 0, 7, 1, 1, b"x"), (1, 1, 7, 2, 2, b""), (1, 1, 8, 3, 3, b"x"), (2, 0, 1, 0, 0, b"x")],
+        "doc_id long, page int, xref int, img_idx int, idx int, image_data binary",
+    )
+    plain = spark.createDataFrame([(1, "no", None), (2, "plain", None)], "doc_id long, text string, error string")
+    read = spark.createDataFrame([(1, 3, "call 555-123-4567")], "doc_id long, idx int, extracted_text string")
+
+    def run(**options):
+        opts = RedactOptions(remove_pii=True, extract_json=True, **options)
+        done = process_pages(docs, blocks, opts, AS_OF, found, pics, plain, read)
+        texts = {r.doc_id: (r.text, r.pdf_engine, r.error) for r in done.documents.collect()}
+        return texts, {r.doc_id: json.loads(r.json)["content"] for r in done.records.collect()}
+
+    texts, records = run()
+    single, text_only = patterns.PDF_ENGINES
+    assert texts == {
+        1: ("| a | b |\n[PII_REMOVED]", single, None), 2: ("plain", text_only, None),
+        3: (None, None, "Unable to read PDF: no text"), 4: ("", single, None),
+    }
+    assert set(records) == {1, 2, 4} and records[2]["tables"] == records[2]["images"] == []
+    assert [(t["table_index"], t["page"], t["data"]) for t in records[1]["tables"]] == [(0, 1, [["a@b.co"]])]
+    assert [(i["extracted_text"], i["ocr_applied"]) for i in records[1]["images"]] == [
+        ("", False), (patterns.OCR_REASONS["no_data"], False), ("call 555-123-4567", True),
+    ]
+    _, fast = run(throughput=True)
+    assert fast[1]["tables"] == [] and fast[1]["images"][0]["extracted_text"] == patterns.OCR_REASONS["throughput"]
+    _, every = run(scope="all")
+    assert every[1]["tables"][0]["data"] == [["[PII_REMOVED]"]] and every[1]["images"][2]["extracted_text"] == "call[PII_REMOVED]"
+    assert run(header_ratio=0.0)[0][1][0] == "head\n| a | b |\n[PII_REMOVED]\nfoot"
+
+
 def test_write_json_records(spark, tmp_path):
     records = spark.createDataFrame([(1, '{"a":"é"}'), (2, None)], "doc_id long, json string")
     output.write_json_records(records, str(tmp_path / "out"))

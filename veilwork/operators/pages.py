@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork import patterns
 from veilwork.functions import text
 
 
-def clip_margins(blocks: DataFrame, ratio: float = patterns.HEADER_RATIO) -> DataFrame:
-    """Blocks that reach into the page between its top and bottom margins.
+def inside_margins(ratio: float = patterns.HEADER_RATIO) -> Column:
+    """Does a block reach into the page between its top and bottom margins?
 
     Pages without height, and ratios that would leave nothing, are not clipped.
     """
     top = F.col("page_y0") + F.col("page_height") * F.lit(ratio)
     bottom = F.col("page_y0") + F.col("page_height") * F.lit(1 - ratio)
     if 1 - ratio <= ratio:
-        return blocks
-    return blocks.where((F.col("page_height") <= 0) | ((F.col("y1") > top) & (F.col("y0") < bottom)))
+        return F.lit(True)
+    return (F.col("page_height") <= 0) | ((F.col("y1") > top) & (F.col("y0") < bottom))
+
+
+def clip_margins(blocks: DataFrame, ratio: float = patterns.HEADER_RATIO) -> DataFrame:
+    return blocks.where(inside_margins(ratio))
+
+
+def page_texts(blocks: DataFrame, ratio: float = patterns.HEADER_RATIO, id_col: str = "doc_id") -> DataFrame:
+    """(id, page, text): the blocks inside the margins of each page, in order; empty pages stay.
+
+    Rows are dealt by document, so that the text of the document needs no further shuffle.
+    """
+    inside = blocks.withColumn("text", F.when(inside_margins(ratio), F.col("text"))).select(id_col, "page", "pos", "text")
+    block = F.when(F.coalesce("text", F.lit("")) != "", F.struct("pos", "text"))
+    ordered = F.sort_array(F.collect_list(block))
+    joined = F.array_join(F.transform(ordered, lambda b: b["text"]), "\n")
+    return inside.repartition(id_col).groupBy(id_col, "page").agg(joined.alias("text"))
 
 
 def assemble_pages(pages: DataFrame, id_col: str = "doc_id", order: str = "page") -> DataFrame:

@@ -12,7 +12,7 @@ from veilwork.operators import images, output, pages, tables
 from veilwork.options import RedactOptions
 from veilwork.plans import inputs
 from veilwork.plans.inputs import with_inputs
-from veilwork.plans.process import process_documents
+from veilwork.plans.process import process_documents, process_pages
 from veilwork.session import checkpoint_dir
 from veilwork.plans.redaction_queries import OPTS, REPLACEMENT, STRIP, TERMS, sql_anonymize, sql_remove
 
@@ -391,6 +391,56 @@ def _(spark, folder):
     return process_documents(inputs.documents(spark, folder), JSON_OPTS, AS_OF).records
 
 
+_FLAGS = '{"anonymized":true,"pii_removed":true,"extracted_to_json":true}'
+_PAGE_SQL = f"""clipped AS (SELECT doc_id, page, pos, CASE WHEN page_height <= 0 OR (y1 > page_y0 + page_height * CAST(0.08 AS double)
+      AND y0 < page_y0 + page_height * CAST(0.92 AS double)) THEN nullif(text, '') END AS text FROM blocks WHERE doc_id % 9 <> 4),
+  page_parts AS (SELECT doc_id, page, coalesce(string_agg(text, chr(10) ORDER BY pos), '') AS text FROM clipped GROUP BY doc_id, page),
+  whole AS (SELECT doc_id, coalesce(string_agg(nullif(text, ''), chr(10) ORDER BY page), '') AS text FROM page_parts GROUP BY doc_id),
+  reads AS (SELECT doc_id, 'doc_' || doc_id || '.pdf' AS filename, coalesce(whole.text, CASE WHEN doc_id % 18 = 4 THEN 'plain ' || d.text END) AS text,
+      CASE WHEN whole.text IS NOT NULL THEN 'pymupdf_single_pass' WHEN doc_id % 18 = 4 THEN 'pymupdf_text_only' END AS engine
+    FROM documents d LEFT JOIN whole USING (doc_id)),
+  signed AS (SELECT doc_id, page FROM page_parts WHERE {_sql_gate('text')}),
+  numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1 AS table_index, page + 1 AS page, data
+    FROM raw_tables SEMI JOIN signed USING (doc_id, page) WHERE len(data) > 0),
+  t AS (SELECT doc_id, string_agg(CAST(to_json({{'table_index': table_index, 'data': data, 'rows': len(data), 'cols': len(data[1]), 'page': page}})
+    AS varchar), ',' ORDER BY table_index) AS js FROM numbered GROUP BY doc_id),
+  pics AS (SELECT m.*, CASE WHEN NOT has_data THEN '[OCR skipped: no image data]' WHEN NOT likely THEN '[OCR skipped: low-text likelihood]'
+      ELSE '' END AS reason FROM measured m SEMI JOIN whole USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id, page, xref ORDER BY img_idx) = 1),
+  i AS (SELECT doc_id, string_agg(CAST(to_json({{'type': coalesce(type, 'unknown'), 'description': coalesce(description, ''), 'extracted_text': reason,
+    'ocr_applied': false, 'image_format': 'unknown'}}) AS varchar), ',' ORDER BY idx) AS js FROM pics GROUP BY doc_id)"""
+
+
+def _page_request(spark, folder, opts):
+    """Pages of five lines; every ninth document has no blocks, half of those no other text either."""
+    i = F.col("doc_id")
+    named = inputs.documents(spark, folder).withColumn("filename", F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")))
+    plain = named.where(i % 18 == 4).select("doc_id", F.concat(F.lit("plain "), "text").alias("text"), F.lit(None).cast("string").alias("error"))
+    return process_pages(
+        named.select("doc_id", "filename"), inputs.blocks(spark, folder).where(i % 9 != 4), opts, AS_OF,
+        inputs.raw_tables(spark, folder), inputs.measured_images(spark, folder), plain,
+    )
+
+
+@query(
+    "page_records",
+    with_inputs("", "blocks", "raw_tables", "measured").strip()
+    + f""", {_PAGE_SQL} SELECT doc_id, {_sql_record("done", "text", _FLAGS, "coalesce(t.js, '')", "coalesce(i.js, '')")}
+      FROM (SELECT *, {sql_remove(sql_anonymize('text'))} AS done FROM reads WHERE text IS NOT NULL) LEFT JOIN t USING (doc_id) LEFT JOIN i USING (doc_id)""",
+)
+def _(spark, folder):
+    return _page_request(spark, folder, JSON_OPTS).records
+
+
+@query(
+    "page_documents",
+    with_inputs("", "blocks", "raw_tables", "measured").strip()
+    + f""", {_PAGE_SQL} SELECT doc_id, 'doc_' || doc_id || '_processed.pdf' AS output_name, {sql_remove(sql_anonymize('text'))} AS text,
+      engine AS pdf_engine, CASE WHEN text IS NULL THEN 'Unable to read PDF: no text' END AS error FROM reads""",
+)
+def _(spark, folder):
+    return _page_request(spark, folder, OPTS).documents.select("doc_id", "output_name", "text", "pdf_engine", "error")
+
+
 _DOCUMENT_RECORDS = with_inputs(
     "SELECT "
     + _sql_record("done", "text", '{"anonymized":true,"pii_removed":true,"extracted_to_json":true}')

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import fragments as frag
 from veilwork.operators import output, pages, pii, spans, terms
-from veilwork.operators.images import ocr_apply
+from veilwork.operators.images import dedupe_page_images, ocr_apply
+from veilwork.operators.tables import gate_table_pages, number_tables
 from veilwork.options import RedactOptions, validate_options
 from veilwork.sources import docx
 from veilwork.sources.files import route_format
@@ -79,6 +80,43 @@ def process_documents(
     return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, images))
 
 
+def process_pages(
+    docs: DataFrame,
+    blocks: DataFrame,
+    opts: RedactOptions,
+    as_of: datetime,
+    tables: DataFrame | None = None,
+    images: DataFrame | None = None,
+    plain: DataFrame | None = None,
+    recognised: DataFrame | None = None,
+    tagger: spans.Tagger | None = None,
+) -> Processed:
+    """Page documents from the rows their pages hold: clip, assemble, fall back, gate, number, redact, record.
+
+    ``docs`` has (doc_id, filename), ``blocks`` the text blocks of pages (see ``clip_margins``) with
+    ``page`` and ``pos``. A document without blocks could not be read in full: it takes its text from
+    ``plain`` (doc_id, text, error) and has no tables and images then. Of ``tables`` (doc_id, page, pos,
+    data) those on pages with a sign of a table are numbered, in throughput mode none. Of ``images``
+    (doc_id, page, xref, img_idx, idx, image_data, ...) the first of each page and xref goes through the
+    gate; ``recognised`` holds the texts read from them. ``pdf_engine`` tells which read was used.
+    """
+    validate_options(opts)
+    texts = pages.page_texts(blocks, opts.header_ratio)
+    full = pages.assemble_pages(texts).withColumn("error", F.lit(None).cast("string"))
+    ids = docs.select("doc_id")
+    second = ids.join(plain.select("doc_id", "text", "error"), "doc_id", "left") if plain is not None else ids.withColumns(
+        {"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
+    )
+    read = docs.drop("text", "error").join(pages.read_with_fallback(full, second), "doc_id", "left")
+    if tables is not None:
+        signs = gate_table_pages(texts, opts.throughput).select("doc_id", "page")
+        tables = number_tables(tables.join(signs, ["doc_id", "page"], "left_semi"))
+    if images is not None:
+        first = dedupe_page_images(images).join(blocks.select("doc_id"), "doc_id", "left_semi")
+        images = ocr_apply(first, opts, recognised)
+    return process_documents(read, opts, as_of, tables, images, tagger)
+
+
 def redact_structures(structures: DataFrame, opts: RedactOptions) -> DataFrame:
     """Office text pieces redacted in place, each run of text on its own."""
     return structures.withColumn(
