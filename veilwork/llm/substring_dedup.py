@@ -9,7 +9,8 @@ starts in a document with a smaller doc_id. Windows are judged on the input.
 2. Partition sketches are merged by ranges of cells; what is kept is whether a cell was hit twice or more, and
    whether it was hit so often that windows under it are spread over salts.
 3. A second pass groups the windows whose cells all were hit twice, under 80 bits of their words, by a window
-   function that finds the smallest doc_id; a group has no more rows than its cell has hits. Windows under very
+   function that finds the smallest doc_id; a group has no more rows than its cell has hits, except where equal
+   windows follow each other (one word over and over), which is one hit for the whole stretch. Windows under very
    often hit cells are aggregated instead, and the result is joined back over salts. Windows that occur in two
    documents are never lost.
 
