@@ -171,3 +171,42 @@ def test_the_model_beats_one_bit_a_bit_and_learns_case_blind(small_model):
     seen = lm_mixing.plain([(rows()[11][1] or "").encode()])
     assert lm_mixing.plain([b"A  b\nC "]) == [b"a b c\n"]
     assert lm_mixing.log_chances(seen, small_model)[0] > -len(seen[0]) * 4.5 * math.log10(2)
+
+
+def mixing_rows():
+    """6,000 sure words, each followed by one other word: far more contexts than 2**22 slots tell apart."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    return [(i, " ".join(word() for _ in range(60))) for i in range(40)]
+
+
+def test_every_training_text_is_in_the_counts_and_no_contexts_share_them(spark):
+    given = mixing_rows()
+    given += [(1000 + i, given[0][1]) for i in range(100)]  # a group of copies
+    _, table = lm_mixing.fit(spark.createDataFrame(given, "doc_id long, text string"))
+    expected = collections.Counter()
+    for _, text in given:
+        line = text.encode() + b"\n"
+        for at, byte in enumerate(line):
+            start = max(line.rfind(b" ", 0, at), line.rfind(b"\n", 0, at)) + 1
+            for k in range(lm_mixing.PREDICTORS):
+                low = max(0, at - lm_mixing.ORDERS[k]) if k < len(lm_mixing.ORDERS) else start
+                expected[k, line[low:at], byte] += 1
+    got = [x for r in table.collect() for x in r.seen]
+    assert sorted(x >> 8 for x in got) == sorted(expected.values())
+    assert sum(x >> 8 for r in table.collect() for x in r.before) < sum(expected.values())
+    # The mixing part is picked by row: some copies train weights, others do not.
+    copies = spark.createDataFrame(given[40:], "doc_id long, text string")
+    _, table = lm_mixing.fit(copies)
+    row = table.selectExpr("sum(aggregate(before, 0L, (s, x) -> s + (x div 256))) AS before", "sum(aggregate(seen, 0L, (s, x) -> s + (x div 256))) AS seen").first()
+    assert 0 < row.before < row.seen
+
+
+def test_tables_of_one_chunk_score_as_the_whole_model(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "LOOKUP", 2_000)  # many chunks
+    given = mixing_rows()
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    model = lm_mixing.learn(table.where(~lm_mixing.held_out(5, 1)).select("doc_id", "text"))
+    got = {r.doc_id: r.score for r in lm_mixing.score(table).collect()}
+    expected = lm_mixing.log_chances(lm_mixing.plain([t.encode() for _, t in given]), model)
+    assert np.allclose([got[i] for i, _ in given], expected, rtol=1e-4)

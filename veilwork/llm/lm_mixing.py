@@ -1,16 +1,16 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+"""Language-model scores by online logistic mixing of context bit predictors.
 
 A text is its words in lower case (A-Z) with one space between them and a line end after the last. Its bytes are
 bits of a Huffman code for the training text, four or five for a usual byte; the text's probability is the product
 over all bits.
 
-1. Training documents count, for each context (the last 1, 2, 3, 4 or 6 bytes, or the word so far) and the bits
-   of the byte before, how often a 0 and a 1 came. Contexts are hashed to slots; every task counts all its text
-   and the counts are summed by ranges of slots. Slots grow with the training text up to 2**``MOST_BITS`` of
-   each predictor, which bounds the model to 24 MB.
+1. Training documents count, for each context (the last 1, 2, 3, 4 or 6 bytes, or the word so far), how often each
+   byte followed; the zeros and ones of the bits of that byte are sums of these. Contexts are told apart by 64-bit
+   hashes, and their counts are a Spark table with a row for each, which grows with the training text. Texts go in
+   chunks of ``LOOKUP`` bytes; each asks the table once for every context it has.
 2. A bit's prediction is the weighted sum of the predictors' log odds. Weights come in sets, gated by how much
-   the two longest predictors have seen. A part of the training documents, left out of the counts, trains them
-   online; tasks' weights are averaged by use.
+   the two longest predictors have seen. A part of the training documents trains them online, against the
+   counts of all others; chunks' weights are averaged by use. Scores use the counts of all training documents.
 3. The mix is refined adaptively: each document shifts the weights by its own errors, from block to block, and a
    table of how often predictions of each strength came true corrects the outcome.
 
@@ -19,18 +19,20 @@ all others are joined.
 
 Defined cases: null and empty texts are one line end, and a token, the end; equal rows are documents of their own;
 null ids are training documents; without training documents every bit costs one bit; other columns are not read.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes as well.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,12 @@ from veilwork.llm.words import Words, chunks, int64, mix, powers, prefix
 
 ORDERS = (1, 2, 3, 4, 6)
 PREDICTORS = len(ORDERS) + 1  # and the word so far
-MOST_BITS = (16, 18, 20, 21, 22, 22)  # of each predictor
-RANGE_BITS = 14
 CHUNK = 1 << 18
+LOOKUP = 1 << 21  # bytes of text that ask for their contexts at once
 BLOCK = 256
 GATES = 64
 FREQUENT = 200_000
-MIXING_PART = 20  # one in so many training documents trains weights instead of counts
+MIXING_PART = 20  # one in so many training documents trains weights
 LIMIT = 12.0
 PRIOR = 0.02
 SCALE = 340.0
@@ -54,7 +55,7 @@ OWN_RATE = 2.0
 LEVELS = 49
 _DRAW = np.random.default_rng(2)
 _BYTE = _DRAW.integers(1, 1 << 63, 256, dtype=np.uint64)
-_NODE = _DRAW.integers(0, 1 << max(MOST_BITS), 256, dtype=np.int64).astype(np.int32)
+_NEXT = _DRAW.integers(1, 1 << 63, 256, dtype=np.int64)
 _SEEDS = _DRAW.integers(1, 1 << 63, PREDICTORS, dtype=np.uint64)
 _END = -1  # stands for the hash of the end token
 
@@ -96,34 +97,61 @@ class Code:
         return cls(at, np.array([n - 256 for n, _ in steps]), np.array([b for _, b in steps], np.int8))
 
 
-class Bits:
-    """Slots of all predictors for all bits of some texts; bits of byte i are ``bit_at[i]..bit_at[i + 1]``."""
-
-    def __init__(self, texts: list[bytes], bits: tuple[int, ...], code: Code, order: bool = False):
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        n, place = len(buf), np.arange(len(buf))
-        begin = np.repeat(at[:-1], np.diff(at))
-        sums, back = prefix(_BYTE[buf], 0), powers(0, True, n + 1)
-        word = np.zeros(n, np.int64)
-        word[1:] = np.maximum.accumulate(np.where((buf == 32) | (buf == 10), place + 1, 0))[:-1]
+    def paths(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bits of each of some bytes begin, and for each bit its place in the code."""
+        size = (self.at[1:] - self.at[:-1])[value]
+        bit_at = np.concatenate([[0], np.cumsum(size)])
+        return bit_at, np.repeat(self.at[value] - bit_at[:-1], size) + np.arange(bit_at[-1])
+
+
+class Contexts:
+    """Hash of each context of each byte of some texts."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buf = buf = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        n, self.place = len(buf), np.arange(len(buf))
+        self.begin = np.repeat(at[:-1], np.diff(at))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        self.step = (place - begin) // BLOCK
-        turn = np.argsort(self.step, kind="stable") if order else slice(None)
-        self.doc, self.step = self.doc[turn], self.step[turn]
-        value = buf[turn]
-        size = (code.at[1:] - code.at[:-1])[value]
-        self.bit_at = np.concatenate([[0], np.cumsum(size)])
-        path = np.repeat(code.at[value] - self.bit_at[:-1], size) + np.arange(self.bit_at[-1])
-        self.bit, spread = code.bit[path], _NODE[code.node[path]]
-        self.slots = []
+        self.sums, self.back = prefix(_BYTE[buf], 0), powers(0, True, n + 1)
+        self.word = np.zeros(n, np.int64)
+        self.word[1:] = np.maximum.accumulate(np.where((buf == 32) | (buf == 10), self.place + 1, 0))[:-1]
+        self.word = np.maximum(self.word, self.begin)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
         for k, seed in enumerate(_SEEDS):
-            low = np.maximum(place - ORDERS[k], begin) if k < len(ORDERS) else word
-            context = mix((sums[place] - sums[low]) * back[low] + seed) >> np.uint64(64 - bits[k])
-            self.slots.append(np.repeat(context.astype(np.int32)[turn], size) ^ (spread & np.int32((1 << bits[k]) - 1)))
+            low = np.maximum(self.place - ORDERS[k], self.begin) if k < len(ORDERS) else self.word
+            yield mix((self.sums[self.place] - self.sums[low]) * self.back[low] + seed).view(np.int64)
 
 
-RANGE = 1 << RANGE_BITS
+def _pairs(context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the pair of context and byte at each place, and the first place of each pair."""
+    which, pairs = pd.factorize(context ^ _NEXT[value])
+    first = np.empty(len(pairs), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return which, first
+
+
+class Bits:
+    """Contexts and bits of some texts; bits of byte i are ``bit_at[i]..bit_at[i + 1]``."""
+
+    def __init__(self, texts: list[bytes], code: Code, order: bool = False):
+        own = Contexts(texts)
+        self.step = (own.place - own.begin) // BLOCK
+        turn = np.argsort(self.step, kind="stable") if order else slice(None)
+        self.doc, self.step, self.value = own.doc[turn], self.step[turn], own.buf[turn]
+        self.contexts = [context[turn] for context in own]
+        self.bit_at, path = code.paths(self.value)
+        self.bit = code.bit[path]
+
+    def found(self, tables: Tables, code: Code) -> list[np.ndarray]:
+        """What the tables have for each bit, by predictor."""
+        size, along, out = np.diff(self.bit_at), np.arange(self.bit_at[-1]), []
+        for context in self.contexts:
+            which, first = _pairs(context, self.value)
+            at, values = tables.of(context[first], self.value[first], code)
+            out.append(values[np.repeat(at[which] - self.bit_at[:-1], size) + along])
+        return out
 
 
 def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,34 +162,40 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
 
-def _count(bits: tuple[int, ...], code: Code):
-    """Task: zeros and ones by slot for each predictor, in compressed ranges."""
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: how often each byte followed each context, within chunks; in all documents and in those that train weights."""
+    for batch, texts in chunks(batches, LOOKUP):
+        own = Contexts(plain(texts))
+        mixing = np.asarray(batch.column("mixing"), bool)[own.doc]
+        for context in own:
+            which, first = _pairs(context, own.buf)
+            yield pa.RecordBatch.from_pydict({
+                "context": context[first], "byte": own.buf[first].astype(np.int64), "n": np.bincount(which, minlength=len(first)),
+                "mixing": np.bincount(which[mixing], minlength=len(first)),
+            })
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 << b, np.uint32) for b in bits]
-        for _, texts in chunks(batches, CHUNK):
-            own = Bits(plain(texts), bits, code)
-            for sums, slots in zip(counts, own.slots):
-                np.add.at(sums, slots * 2 + own.bit, np.uint32(1))
-        for k, sums in enumerate(counts):
-            ranges = sums.reshape(-1, 2 * RANGE)
-            some = np.flatnonzero(ranges.any(axis=1))
-            data = [zlib.compress(ranges[r].tobytes(), 1) for r in some]
-            yield pa.RecordBatch.from_arrays([pa.array((k << 16 | some).astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
 
-    return task
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: its rows with the chunk they are in; the first row of a chunk has the distinct contexts of all its texts."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch, texts in chunks(batches, LOOKUP):
+        asked = np.concatenate([pd.unique(context) for context in Contexts(plain(texts))])
+        ends = np.full(len(texts) + 1, len(asked), np.int32)
+        ends[0] = 0
+        out = batch.append_column("chunk", pa.array(np.full(len(texts), chunk)))
+        yield out.append_column("contexts", pa.ListArray.from_arrays(pa.array(ends), pa.array(asked)))
+        chunk += 1
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: for each range of slots it is dealt, log odds and how much they rest on, in 16 bits."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-            held.setdefault(part, np.zeros(2 * RANGE, np.int64))
-            held[part] += np.frombuffer(zlib.decompress(data), np.uint32)
-    for part, sums in held.items():
-        table = table_of(sums[0::2], sums[1::2])
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["part", "data"])
+def in_chunks(rows: DataFrame) -> DataFrame:
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return written(rows.mapInArrow(_chunked, f"{schema}, chunk long, contexts array<bigint>"), "chunks")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, seen: str) -> DataFrame:
+    """(asking, context, seen): what the table has for the contexts of each chunk."""
+    asked = rows.select(F.col("chunk").alias("asking"), F.explode("contexts").alias("context"))
+    return asked.join(table.select("context", F.col(seen).alias("seen")), "context").select("asking", "context", "seen")
 
 
 def table_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -170,17 +204,59 @@ def table_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.rint(odds * SCALE).astype(np.int16) * np.int16(8) + seen
 
 
+@dataclass
+class Tables:
+    """Log odds and how much they rest on, in 16 bits, for each node of each context; 0 for what was never seen."""
+
+    context: np.ndarray  # sorted
+    node: np.ndarray  # place of the context * 256 + node, sorted
+    value: np.ndarray
+
+    @classmethod
+    def from_seen(cls, found: pa.Table, code: Code) -> Tables:
+        """From contexts and what followed each, as times * 256 + byte."""
+        context = found.column("context").to_numpy()
+        times = found.column("seen").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(times), np.int64))])
+        seen = np.asarray(times.flatten(), np.int64)
+        place = np.empty(len(context), np.int64)
+        order = np.argsort(context)
+        place[order] = np.arange(len(context))
+        bit_at, path = code.paths(seen & 255)
+        node = np.repeat(np.repeat(place, np.diff(ends)), np.diff(bit_at)) * 256 + code.node[path]
+        n, bit = np.repeat(seen >> 8, np.diff(bit_at)), code.bit[path]
+        turn = np.argsort(node)
+        node, n, bit = node[turn], n[turn], bit[turn]
+        first = np.flatnonzero(np.diff(node, prepend=-1))
+        if not len(first):
+            return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))
+        return cls(context[order], node[first], table_of(np.add.reduceat(n * (bit == 0), first), np.add.reduceat(n * bit, first)))
+
+    def of(self, context: np.ndarray, value: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of context and byte: where the bits of each begin, and what there is for each bit."""
+        bit_at, path = code.paths(value)
+        if not len(self.node):
+            return bit_at[:-1], np.zeros(bit_at[-1], np.int16)
+        place = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        place = np.where(self.context[place] == context, place, len(self.context))
+        node = np.repeat(place, np.diff(bit_at)) * 256 + code.node[path]
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        return bit_at[:-1], np.where(self.node[at] == node, self.value[at], np.int16(0))
+
+
 @dataclass
 class Model:
-    bits: tuple[int, ...]
     code: Code
-    tables: list[np.ndarray]  # of each predictor, by slot
     weights: np.ndarray  # predictor, gate
     refined: np.ndarray  # what predictions of each strength came to, or the strength itself
+    tables: Tables | None = None  # of the contexts that are asked for
+
+    def of(self, found: pa.Table) -> Model:
+        return Model(self.code, self.weights, self.refined, Tables.from_seen(found, self.code))
 
     def inputs(self, own: Bits) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds of each predictor for each bit, and the gate of each bit."""
-        found = [table[slots] for table, slots in zip(self.tables, own.slots)]
+        found = own.found(self.tables, self.code)
         gate = (found[-2] & 7) * 8 + (found[-1] & 7)
         return [(f >> 3).astype(np.float32) / np.float32(SCALE) for f in found], gate
 
@@ -197,14 +273,14 @@ def _chance(mixed: np.ndarray) -> np.ndarray:
 
 
 def _train_weights(model):
-    """Task: online steps over its documents; weights times their use, and their use."""
+    """Chunk: online steps over its documents; weights times their use, and their use."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(**vars(model.value))
+    def task(rows: pa.Table, found: pa.Table) -> pa.Table:
+        own = model.value.of(found)
         own.weights = own.weights.copy()
         squares, use = np.full(own.weights.shape, 1e-4), np.zeros(GATES)
-        for _, texts in chunks(batches, CHUNK // 8):
-            bits = Bits(plain(texts), own.bits, own.code)
+        for _, texts in chunks(iter(rows.to_batches()), CHUNK // 8):
+            bits = Bits(plain(texts), own.code)
             odds, gate = own.inputs(bits)
             for a in range(0, len(gate), 4096):
                 cut = slice(a, a + 4096)
@@ -217,7 +293,7 @@ def _train_weights(model):
                     squares[k] += slope**2
                     own.weights[k] += RATE * slope / np.sqrt(squares[k])
         gates = np.tile(np.arange(GATES), PREDICTORS)
-        yield pa.RecordBatch.from_pydict({
+        return pa.Table.from_pydict({
             "k": np.repeat(np.arange(PREDICTORS), GATES), "gate": gates, "total": (own.weights * use).ravel(), "use": np.tile(use, PREDICTORS),
         })
 
@@ -225,53 +301,58 @@ def _train_weights(model):
 
 
 def _strengths(model):
-    """Task: predictions of each strength, and how many came true."""
+    """Chunk: predictions of each strength, and how many came true."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, ones = model.value, np.zeros(LEVELS), np.zeros(LEVELS)
-        for _, texts in chunks(batches, CHUNK):
-            bits = Bits(plain(texts), own.bits, own.code)
+    def task(rows: pa.Table, found: pa.Table) -> pa.Table:
+        own, n, ones = model.value.of(found), np.zeros(LEVELS), np.zeros(LEVELS)
+        for _, texts in chunks(iter(rows.to_batches()), CHUNK):
+            bits = Bits(plain(texts), own.code)
             level = _level(own.mixed(*own.inputs(bits)))
             n += np.bincount(level, minlength=LEVELS)
             ones += np.bincount(level, weights=bits.bit, minlength=LEVELS)
-        yield pa.RecordBatch.from_pydict({"level": np.arange(LEVELS), "n": n, "ones": ones})
+        return pa.Table.from_pydict({"level": np.arange(LEVELS), "n": n, "ones": ones})
 
     return task
 
 
-def learn(train: DataFrame, most_bits: tuple[int, ...] = MOST_BITS) -> Model:
-    """Model of the texts of ``train``; what comes to the driver is bounded by ``most_bits``."""
+def fit(train: DataFrame) -> tuple[Model, DataFrame]:
+    """Model of the texts of ``train`` but for its tables, and (context, seen, before): how often each byte followed
+    each context in all of them, and in those that do not train weights."""
     spark = train.sparkSession
-    seen = np.zeros(256)
-    for row in train.mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        seen[row["byte"]] = row["n"]
-    size, code = int(seen.sum()), Code.of(seen)
-    bits = tuple(min(b, max(RANGE_BITS, size.bit_length())) for b in most_bits)
-    mixing = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(MIXING_PART)) == 0, F.lit(False))
-    merged = (
-        train.where(~mixing).select("text").mapInArrow(_count(bits, code), "part int, data binary")
-        .repartition("part").mapInArrow(_tables, "part int, data binary").collect()
-    )
-    tables = [np.zeros(1 << b, np.int16) for b in bits]
-    for part, data in merged:
-        tables[part >> 16].reshape(-1, RANGE)[part & 0xFFFF] = np.frombuffer(zlib.decompress(data), np.int16)
+    times = np.zeros(256)
+    for row in train.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        times[row["byte"]] = row["n"]
+    mixing = F.pmod(F.xxhash64(*train.columns), F.lit(MIXING_PART)) == 0
+    counts = train.select("text", mixing.alias("mixing")).mapInArrow(_seen, "context long, byte long, n long, mixing long").repartition("context")
+    counts = counts.groupBy("context", "byte").agg(F.sum("n").alias("n"), F.sum("mixing").alias("mixing"))
+    table = written(counts.groupBy("context").agg(
+        F.collect_list(F.expr("n * 256 + byte")).alias("seen"), F.collect_list(F.expr("CASE WHEN n > mixing THEN (n - mixing) * 256 + byte END")).alias("before"),
+    ), "contexts")
     even = np.full((PREDICTORS, GATES), 1.5 / PREDICTORS)
-    model = Model(bits, code, tables, even, _chance((np.arange(LEVELS) - LEVELS // 2) / 2))
-    part = train.where(mixing).select("text")
-    sums = part.mapInArrow(_train_weights(spark.sparkContext.broadcast(model)), "k long, gate long, total double, use double")
+    model = Model(Code.of(times), even, _chance((np.arange(LEVELS) - LEVELS // 2) / 2))
+    part = in_chunks(train.where(mixing).select("text"))
+    found = written(looked_up(part, table, "before"), "found").groupBy("asking")
+    part = part.select("chunk", "text").groupBy("chunk")
+    sums = part.cogroup(found).applyInArrow(_train_weights(spark.sparkContext.broadcast(model)), "k long, gate long, total double, use double")
     for row in sums.groupBy("k", "gate").agg(F.sum("total").alias("total"), F.sum("use").alias("use")).collect():
         if row["use"] > 0:
             model.weights[row["k"], row["gate"]] = row["total"] / row["use"]
-    levels = part.mapInArrow(_strengths(spark.sparkContext.broadcast(model)), "level long, n double, ones double")
+    levels = part.cogroup(found).applyInArrow(_strengths(spark.sparkContext.broadcast(model)), "level long, n double, ones double")
     for row in levels.groupBy("level").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():
         before = model.refined[row["level"]]
         model.refined[row["level"]] = (row["ones"] + 64 * before) / (row["n"] + 64)
-    return model
+    return model, table
+
+
+def learn(train: DataFrame) -> Model:
+    """Model of a small ``train`` with all its tables, which come to the driver whole; ``score`` leaves them in Spark."""
+    model, table = fit(train)
+    return model.of(table.select("context", "seen").toArrow())
 
 
 def log_chances(texts: list[bytes], model: Model) -> np.ndarray:
     """log10 of the probability of each text in its plain form."""
-    bits = Bits(texts, model.bits, model.code, order=True)
+    bits = Bits(texts, model.code, order=True)
     odds, gate = model.inputs(bits)
     base = model.mixed(odds, gate)
     shift = np.zeros((PREDICTORS, len(texts)), np.float32)
@@ -304,11 +385,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(model, frequent):
-    """Task: score of each text; base sums over frequent tokens, and the hashes of the others."""
+    """Chunk: score of each text; base sums over frequent tokens, and the hashes of the others."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(rows: pa.Table, found: pa.Table) -> pa.Table:
+        own, out = model.value.of(found), []
         words_known, counts = frequent.value
-        for batch, texts in chunks(batches, CHUNK):
+        for batch, texts in chunks(iter(rows.to_batches()), CHUNK):
             words = Words(texts, fold=True)
             distinct, which = np.unique(words.hashes(), return_inverse=True)
             distinct = distinct.view(np.int64)
@@ -321,13 +403,14 @@ def _score(model, frequent):
             others = int64(distinct[which][~known])
             ends = pa.array(np.concatenate([[0], np.cumsum(~known)])[words.first].astype(np.int32))
             end = counts[words_known == _END].sum()
-            yield pa.RecordBatch.from_arrays(
+            out.append(pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "version", "held_out")), pa.array(words.counts + 1), pa.array(np.diff(n_known) + int(end > 0)),
-                    pa.array(np.diff(sums) + np.log10(end + 0.5)), pa.array(log_chances(plain(texts), model.value)), pa.ListArray.from_arrays(ends, others),
+                    pa.array(np.diff(sums) + np.log10(end + 0.5)), pa.array(log_chances(plain(texts), own)), pa.ListArray.from_arrays(ends, others),
                 ],
                 names=["doc_id", "version", "held_out", "n_tokens", "n_known", "base", "score", "others"],
-            )
+            ))
+        return pa.Table.from_batches(out)
 
     return task
 
@@ -336,15 +419,18 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, frequent: int =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), held_out(modulus, remainder).alias("held_out"), "text")
-    train = rows.where(~F.col("held_out")).select("text")
-    counts = written(train.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    train = rows.where(~F.col("held_out")).select("doc_id", "text")
+    counts = written(train.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("word") != _END).orderBy(F.desc("n"), "word").limit(frequent).union(counts.where(F.col("word") == _END)).toPandas()  # FREQUENT + 1 rows
     top = top.sort_values("word") if len(top) else top.reindex([0]).fillna({"word": _END, "n": 0})
     sent = (top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
-    model = spark.sparkContext.broadcast(learn(train))
+    model, table = fit(train)
+    rows = in_chunks(rows)
     schema = "doc_id long, version long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<bigint>"
-    scored = written(rows.mapInArrow(_score(model, spark.sparkContext.broadcast(sent)), schema), "scored")
+    task = _score(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(sent))
+    found = looked_up(rows, table, "seen").groupBy("asking")
+    scored = written(rows.drop("contexts").groupBy("chunk").cogroup(found).applyInArrow(task, schema), "scored")
 
     others = scored.select("doc_id", "version", F.posexplode("others").alias("pos", "word")).join(counts, "word", "left")
     # Equal rows have equal others: their sums are divided by how many there are.
