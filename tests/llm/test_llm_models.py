@@ -82,6 +82,29 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.digest(table.limit(0), marks).count() == 0
 
 
+def test_misspelled_words_under_a_stem_are_found(spark):
+    counts = [(w, 20, 0) for w in ("idiot", "idiots", "idiotic")] + [("oaf", 9, 0), ("-", 9, 0), ("the", 90, 900)]
+    words, stems = toxicity.lexicon(spark.createDataFrame(counts, "word string, toxic long, clean long"), 100, 1000)
+    assert stems == ["idio"] and words == ["idiot", "idiotic", "idiots", "oaf"]
+    text = "idjot idot idiocy oaf oafs the idiott"
+    hits = toxicity.find_hits([text], toxicity.build_automaton(words, stems))
+    assert [(hits.text([text], 0, int(w)), int(k)) for w, k in zip(hits.word, hits.kind)] == [("idjot", 2), ("idot", 2), ("idiocy", 1), ("oaf", 1), ("idiott", 1)]
+
+
+def test_a_stem_that_is_a_word_takes_what_begins_with_it():
+    hits = toxicity.find_hits(["idiots idiotically idjot"], toxicity.build_automaton(["idiot"], ["idiot"]))
+    assert list(hits.kind) == [1, 1, 2]
+
+
+def test_the_lexicon_keeps_all_telling_words(spark):
+    rng = random.Random(4)
+    many = sorted({"".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(9)) for _ in range(600)})
+    words, _ = toxicity.lexicon(spark.createDataFrame([(w, 5, 0) for w in many], "word string, toxic long, clean long"), 100, 1000)
+    assert words == many
+    hits = toxicity.find_hits([" ".join(many)], toxicity.build_automaton(words, []))
+    assert len(hits.word) == len(many) and set(hits.kind) == {1}
+
+
 def test_toxicity_without_labels_scores_all_alike(spark):
     table = spark.createDataFrame(toxic_rows(30)[0], "doc_id long, text string, s string")
     out = toxicity.digest(table, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()

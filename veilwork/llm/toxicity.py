@@ -2,7 +2,8 @@
 
 1. Labelled documents outside the held-out fold, at most ``max_labelled`` of them by hash of their id, give for
    each word the toxic and the clean documents that hold it. Words and stems (shared beginnings of several
-   words) that are far more common in toxic ones are the lexicon, ``max_terms`` of them.
+   words) that are far more common in toxic ones are the lexicon, all of them. Words under a stem stay in it, so
+   that their misspellings are found too.
 2. The trie of the lexicon is run against the Levenshtein automaton of every word at once: states of both are
    paired and made deterministic, so that a word is one walk over a table. Terms of ``FUZZY_FROM`` letters may
    differ by one letter after the first; stems must fit. Words of clean documents that would be caught by such
@@ -34,7 +35,6 @@ from pyspark.sql import types as T
 from veilwork.llm.tables import held_out, written
 
 MAX_LABELLED = 40_000
-MAX_TERMS = 200
 MAX_EXCEPTIONS = 20_000
 MAX_CONTEXTS = 4_096
 LEAST_DOCS = 4
@@ -70,7 +70,8 @@ class Model:
 def build_automaton(words: list[str], stems: list[str], fuzzy_from: int = FUZZY_FROM) -> Automaton:
     """Pairs of trie node and differences so far, as sets, are the states of the table."""
     children: list[dict[str, int]] = [{}]
-    allowed, ends = [0], [None]  # differences that some term below a node may have; what ends there
+    allowed, ends = [0], [-1]  # differences that some term below a node may have, and that the term ending there may have
+    whole: set[int] = set()  # nodes where a stem ends
     for term, kind in [(w, "word") for w in words] + [(s, "stem") for s in stems]:
         most = int(kind == "word" and len(term) >= fuzzy_from)
         node = 0
@@ -79,10 +80,12 @@ def build_automaton(words: list[str], stems: list[str], fuzzy_from: int = FUZZY_
                 children[node][letter] = len(children)
                 children.append({})
                 allowed.append(0)
-                ends.append(None)
+                ends.append(-1)
             node = children[node][letter]
             allowed[node] = max(allowed[node], most)
-        ends[node] = ends[node] or (kind, most)
+        ends[node] = max(ends[node], most)
+        if kind == "stem":
+            whole.add(node)
     letters = sorted({letter for node in children for letter in node})
     number = {letter: _OTHER + 1 + i for i, letter in enumerate(letters)}
 
@@ -107,29 +110,32 @@ def build_automaton(words: list[str], stems: list[str], fuzzy_from: int = FUZZY_
 
     start = frozenset({(0, 0)})
     states, todo, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
+    def number_of(target: frozenset[tuple[int, int]]) -> int:
+        if target not in states:
+            states[target] = len(todo)
+            todo.append(target)
+        return states[target]
+
     for state in todo:
         row = np.zeros(_OTHER + 1 + len(letters), np.int32)
-        absorbing = any(wrong == 0 and ends[node] and ends[node][0] == "stem" for node, wrong in state)
-        for symbol in range(_MARK, len(row)):
-            letter = letters[symbol - _OTHER - 1] if symbol > _OTHER else None
-            after = set(state) if absorbing else set()
-            for node, wrong in state if not absorbing else ():
-                if letter in children[node]:
-                    after.add((children[node][letter], wrong))
+        if any(wrong == 0 and node in whole for node, wrong in state):
+            row[_MARK:] = states[state]
+        else:
+            wrongly: set[tuple[int, int]] = set()  # after any letter
+            for node, wrong in state:
                 if node and wrong == 0:
-                    after.update((child, 1) for child in children[node].values() if allowed[child])
+                    wrongly.update((child, 1) for child in children[node].values() if allowed[child])
                     if allowed[node]:
-                        after.add((node, 1))
-            target = frozenset(after) if absorbing else closed(after)
-            if target not in states:
-                states[target] = len(todo)
-                todo.append(target)
-            row[symbol] = states[target]
+                        wrongly.add((node, 1))
+            row[_MARK:] = number_of(closed(set(wrongly)))
+            for letter in {letter for node, _ in state for letter in children[node]}:
+                after = {(children[node][letter], wrong) for node, wrong in state if letter in children[node]}
+                row[number[letter]] = number_of(closed(after | wrongly))
         rows.append(row)
     accepts = np.zeros(len(todo), np.uint8)
     for state, at in states.items():
         for node, wrong in state:
-            if ends[node] and wrong <= ends[node][1]:
+            if wrong <= ends[node]:
                 accepts[at] = 1 if wrong == 0 or accepts[at] == 1 else 2
     return Automaton(classes, np.stack(rows), accepts)
 
@@ -276,23 +282,23 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def lexicon(counts: DataFrame, n_toxic: int, n_clean: int, max_terms: int = MAX_TERMS) -> tuple[list[str], list[str]]:
-    """Words and stems from (word, toxic, clean): those far more common in toxic documents."""
+def lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
+    """Words and stems from (word, toxic, clean): those far more common in toxic documents. The labelled sample bounds them."""
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    telling = (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_RATIO) & (F.length("word") >= min(STEMS))
-    words = counts.where(telling).orderBy(F.desc("toxic"), "word").limit(max_terms)
+    telling = (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_RATIO)
+    # Short words are letters only: a mark on its own is no term.
+    words = counts.where(telling & ((F.length("word") >= min(STEMS)) | F.col("word").rlike(r"^\p{L}+$")))
     cut = F.explode(F.array(*map(F.lit, STEMS))).alias("letters")
     stems = (
         counts.select("*", cut).where("length(word) > letters").select(F.expr("substring(word, 1, letters)").alias("word"), "toxic", "clean")
         .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("words"))
         .where(telling & (F.col("words") >= 3) & (F.col("toxic") >= 2 * LEAST_DOCS))
-        .orderBy(F.desc("toxic"), "word").limit(max_terms)
     )
     kept: list[str] = []
     for stem in sorted((r["word"] for r in stems.collect()), key=lambda s: (len(s), s)):
         if not any(stem.startswith(k) for k in kept):
             kept.append(stem)
-    return [r["word"] for r in words.collect() if not r["word"].startswith(tuple(kept))], kept
+    return sorted(r["word"] for r in words.collect()), kept
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
