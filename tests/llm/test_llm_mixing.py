@@ -111,3 +111,12 @@ def test_common_lines_go_and_depleted_documents_too(spark):
     cleaned = {r.doc_id: r.text for r in line_quality.clean(table).select("doc_id", "text").collect()}
     assert 102 not in cleaned and "Subscribe" not in cleaned[3] and "Subscribe" in cleaned[200]
     assert line_quality.judge(empty(spark)).count() == 0 and line_quality.clean(empty(spark)).count() == 0
+
+
+def test_copies_count_once_and_different_texts_each(spark):
+    copies = [(i, "a page repeated as it is " + " ".join(word(4, k) for k in range(60)), "h") for i in range(80)]
+    judged = line_quality.judge(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect()
+    assert all(r.words_removed == 0 and r.kept for r in judged)
+    varied = [(i, f"a line of all\n{word(5, i)} {text}", host) for i, text, host in copies]
+    judged = line_quality.judge(spark.createDataFrame(varied, "doc_id long, text string, source string")).collect()
+    assert all(r.words_removed == 4 for r in judged)
