@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, lm_mixing, packing, source_mixing, substring_dedup, toxicity, wavelet
-from veilwork.llm.tables import documents, embeddings, labels
+from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, lm_mixing, packing, prefix_trie, source_mixing, substring_dedup, toxicity, wavelet
+from veilwork.llm.tables import conversations, documents, embeddings, labels
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
     "op9_wavelet_tokens": lambda spark, folder: wavelet.digest(documents(spark, folder)),
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
+    "op11_prefix_trie": lambda spark, folder: prefix_trie.digest(conversations(spark, folder)),
 }
 
 SQL = {
@@ -55,4 +56,25 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
   FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32)) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS z
+  FROM (SELECT DISTINCT conv_id FROM t)),
+ h AS (SELECT conv_id, base, xor(z, 4294967295) % 9 AS h FROM c),
+ r AS (SELECT h.conv_id, t.i, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.i <= h.h
+  UNION ALL SELECT h.conv_id, t.i, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.i > h.h),
+ s AS (SELECT conv_id, list(sha256(concat(strlen(role), ':', role, text)) ORDER BY i) AS p, list(strlen(text) ORDER BY i) AS b FROM r GROUP BY conv_id),
+ f AS (SELECT h.conv_id, coalesce(p, []) AS p, coalesce(b, []) AS b FROM h LEFT JOIN s USING (conv_id)),
+ m AS (SELECT conv_id, d, len(p) AS n, array_to_string(p[1:d], '') AS k, array_to_string(p[1:d - 1], '') AS up, b[d] AS size FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM f)),
+ g AS (SELECT k, d, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(min(size), 0) AS size,
+   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends FROM m GROUP BY k, d),
+ kids AS (SELECT up AS k, count(*) AS n FROM g WHERE d > 0 GROUP BY up),
+ q AS (SELECT g.*, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN kids USING (k)),
+ sub AS (SELECT substr(k, 1, CAST(64 * a AS BIGINT)) AS k, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM q) GROUP BY 1)
+SELECT q.conv_id, CAST(q.d AS BIGINT) AS depth, CASE WHEN q.d > 0 THEN v.conv_id END AS parent_conv_id, q.n_convs, q.n_children, n_leaves, saved_tokens, q.ends AS ends_sha256
+FROM q JOIN sub USING (k) JOIN g v ON v.k = q.up""",
 }
