@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, lm_mixing, packing, prefix_trie, source_mixing, substring_dedup, toxicity, wavelet
-from veilwork.llm.tables import conversations, documents, embeddings, labels
+from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, lm_mixing, packing, prefix_trie, source_mixing, substring_dedup, toxicity, url_cascade, wavelet
+from veilwork.llm.tables import conversations, documents, embeddings, labels, pages
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, folder: substring_dedup.digest(documents(spark, folder)),
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_wavelet_tokens": lambda spark, folder: wavelet.digest(documents(spark, folder)),
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
     "op11_prefix_trie": lambda spark, folder: prefix_trie.digest(conversations(spark, folder)),
+    "op12_url_cascade": lambda spark, folder: url_cascade.digest_rows(pages(spark, folder)),
 }
 
 SQL = {
@@ -77,4 +78,11 @@ WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS tex
   FROM (SELECT *, unnest(range(d + 1)) AS a FROM q) GROUP BY 1)
 SELECT q.conv_id, CAST(q.d AS BIGINT) AS depth, CASE WHEN q.d > 0 THEN v.conv_id END AS parent_conv_id, q.n_convs, q.n_children, n_leaves, saved_tokens, q.ends AS ends_sha256
 FROM q JOIN sub USING (k) JOIN g v ON v.k = q.up""",
+    "op12_url_cascade": r"""
+WITH r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(h, p, v)),
+ u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ c AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ f AS (SELECT c.*, h, p, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC) AS n
+  FROM c LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM f WHERE n = 1""",
 }
