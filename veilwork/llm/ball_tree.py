@@ -162,12 +162,12 @@ def _shared_floor(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, -k, axis=1)[:, -k]
 
 
-def usable(vectors: DataFrame, column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): whole-number components of the vectors that take part."""
+def usable(vectors: DataFrame, column: str = "embedding", scale: int = SCALE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, v) and columns to keep: whole-number components of the vectors that take part."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     wide = F.transform(column, lambda x: x.cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & F.forall(wide, finite))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(scale * x).cast("long")).alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(scale * x).cast("long")).alias("v"), *keep)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, shard: int = SHARD, leaf: int = LEAF, column: str = "embedding") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import ball_tree, jaccard_join, language_id, line_quality, lm_mixing, packing, prefix_trie, source_mixing, substring_dedup, toxicity, url_cascade, wavelet
+from veilwork.llm import ball_tree, hard_negatives, jaccard_join, language_id, line_quality, lm_mixing, packing, prefix_trie, source_mixing, substring_dedup, toxicity, url_cascade, wavelet
 from veilwork.llm.tables import conversations, documents, embeddings, labels, pages
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_jaccard_join": lambda spark, folder: jaccard_join.jaccard_join(documents(spark, folder)),
     "op11_prefix_trie": lambda spark, folder: prefix_trie.digest(conversations(spark, folder)),
     "op12_url_cascade": lambda spark, folder: url_cascade.digest_rows(pages(spark, folder)),
+    "op13_hard_negatives": lambda spark, folder: hard_negatives.every_nth(embeddings(spark, folder)),
 }
 
 SQL = {
@@ -85,4 +86,14 @@ WITH r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/',
  f AS (SELECT c.*, h, p, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC) AS n
   FROM c LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM f WHERE n = 1""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a, v c WHERE a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+   CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
