@@ -352,8 +352,10 @@ class Miner:
         asked = packed(near, place, columns, 256).withColumn("cluster", F.floor(F.col("place") / self.groups).cast("int")).withColumn("group", F.pmod("place", F.lit(self.groups)))
         asked = asked.withColumn("shard", every(self.shards))
         names = ["dim", "shard", "group", "cluster", *_NAMES]
-        tiles = candidates.select(*names).union(asked.select(*names)).repartition("dim", "shard", "group").sortWithinPartitions("dim", "shard", "group", "cluster")
-        return tiles.mapInArrow(_walk(self.centres, self.widths, k, band), _FOUND)
+        rows = candidates.select(*names).union(asked.select(*names))
+        # The number is given: tiles are small in bytes and long in work, and must not be put together by their bytes.
+        tiles = rows.repartition(2 * self.shards * self.groups, "dim", "shard", "group")
+        return tiles.sortWithinPartitions("dim", "shard", "group", "cluster").mapInArrow(_walk(self.centres, self.widths, k, band), _FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
