@@ -3,9 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+from veilwork.operators import dedup
+from veilwork.options import RedactOptions
 from veilwork.plans.catalog import CATALOG
+from veilwork.sources.tables import read_table
 
 FOLDER = "/root/testdata/sf0.001"
 BATCH = [n for n in CATALOG if not n.startswith("stream")]
@@ -45,3 +49,24 @@ def test_scans_read_only_what_is_used(spark):
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string,source:string>", plan(spark, "pii_summary"))
     assert re.search(r"ReadSchema: struct<event_id:bigint>", plan(spark, "ops_label"))
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,60)" in plan(spark, "redact_spans")
+
+
+def test_process_once_sends_no_text_of_single_contents(spark):
+    """The branch of contents without copies has no exchange but the lookup; before it only fingerprints move."""
+    docs = read_table(spark, FOLDER, "documents").select("doc_id", "text")
+    node = dedup.process_once(docs, lambda u: u, RedactOptions(remove_pii=True))._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Union":
+        node = node.children().head()
+    alone = node.children().head().toString()
+    assert "Aggregate" not in alone and "Repartition" not in alone
+    assert alone.count("Join") == alone.count("strategy=broadcast") == 1
+
+
+def test_process_once_beyond_the_broadcast_limit(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 7 if i % 3 else 0}") for i in range(90)], "doc_id long, text string")
+    opts, double = RedactOptions(remove_pii=True), lambda u: u.withColumn("text", F.concat("text", "text"))
+    small, large = (dedup.process_once(docs, double, opts, limit=n) for n in (1 << 20, 0))
+    assert "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(small.collect()) == sorted(large.collect())
+    assert sum(not r.cache_hit for r in small.collect()) == 7

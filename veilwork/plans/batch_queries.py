@@ -12,10 +12,11 @@ from veilwork.plans import inputs
 from veilwork.plans.batch_run import run_batch
 from veilwork.plans.document_queries import _CAPPED, _GATE, AS_OF
 from veilwork.plans.inputs import with_inputs
+from veilwork.plans.process import redact_document
 from veilwork.plans.redaction_queries import OPTS, _literal, sql_anonymize, sql_remove
 from veilwork.session import checkpoint_dir
 from veilwork.sources.tables import read_table, stream_table
-from veilwork.streaming import jobs
+from veilwork.streaming import board, jobs, once
 
 QUERIES = {}
 
@@ -297,20 +298,22 @@ def _drained(spark, df, name: str):
 
 @query("stream_redact", f"SELECT doc_id, {sql_remove(sql_anonymize('text'))} AS text FROM documents")
 def _(spark, folder):
-    # The given table is one small file; a folder of many would need no spreading.
     docs = stream_table(spark, folder, "documents").select("doc_id", "text")
-    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return _drained(spark, jobs.stream_redact(docs, OPTS), "redact")
 
 
 @query(
     "stream_process_once",
-    f"SELECT DISTINCT sha256(props || {_literal(OPTS.as_json())}) AS fp FROM events",
+    f"""SELECT event_id, sha256(props || {_literal(OPTS.as_json())}) AS fp, {sql_remove(sql_anonymize('props'))} AS text,
+        row_number() OVER (PARTITION BY props ORDER BY event_id) > 1 AS cache_hit FROM events""",
 )
 def _(spark, folder):
     rows = stream_table(spark, folder, "events").select("event_id", F.col("props").alias("text"))
-    once = jobs.stream_process_once(rows, OPTS)
-    return _drained(spark, once.select("fp"), "once")
+    run = f"once_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/outputs/{run}"
+    redact = lambda fresh: redact_document(fresh, OPTS)
+    once.write_processed_once(rows, redact, OPTS, path, run, order="event_id").awaitTermination()
+    return once.read_processed_once(spark, path)
 
 
 @query(
@@ -323,4 +326,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     messages = inputs.messages_from(stream_table(spark, folder, "events")).where("idx IS NOT NULL")
-    return jobs.drain_latest(jobs.stream_status(messages), "status")
+    run = f"status_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/outputs/{run}"
+    board.write_status(messages, path, run).awaitTermination()
+    return board.StatusBoard(spark, path).read()

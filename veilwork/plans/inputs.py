@@ -17,6 +17,11 @@ from veilwork.sources.tables import load_documents, read_table, spread
 SQL: dict[str, str] = {}
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A given table may be one small file with fewer splits than cores; its rows are dealt out then."""
+    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else spread(df, key)
+
+
 def filename() -> Column:
     kinds = F.array(*[F.lit(e) for e in (".txt", ".PDF", ".docx", ".csv")])
     return F.concat(F.lit("doc_"), F.col("doc_id"), F.get(kinds, (F.col("doc_id") % 4).cast("int")))
@@ -26,7 +31,7 @@ FILENAME_SQL = "concat('doc_', doc_id, (['.txt', '.PDF', '.docx', '.csv'])[1 + d
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return load_documents(spark, folder, filename(), ("lang", "source", "n_chars"))
+    return dealt(load_documents(spark, folder, filename(), ("lang", "source", "n_chars")), "doc_id")
 
 
 SQL["docs"] = f"SELECT doc_id, {FILENAME_SQL} AS filename, text, lang, source, n_chars FROM documents"
@@ -331,7 +336,7 @@ def fragments(spark: SparkSession, folder: str) -> DataFrame:
         F.col("turn").cast("int").alias("seq"),
         F.concat(F.col("text"), F.lit(" call 555-"), F.lpad((F.col("turn") % 1000).cast("string"), 3, "0"), F.lit("-4567")).alias("text"),
     )
-    return spread(turns, "doc_id")
+    return dealt(turns, "doc_id")
 
 
 SQL["fragments"] = """SELECT conv_id AS doc_id, (['word/document.xml', 'word/header1.xml', 'word/footnotes.xml',

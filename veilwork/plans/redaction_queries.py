@@ -13,7 +13,7 @@ from veilwork.plans import inputs
 from veilwork.plans.inputs import with_inputs
 from veilwork.plans.process import redact_docx_fragments, redact_document
 from veilwork.sources import docx, files
-from veilwork.sources.tables import read_table
+from veilwork.sources.tables import load_documents, read_table
 
 TERMS = ("John", "John Doe", "the", "The", " the ", "a+b (x)", "C#", "$5", r"\d", "né", "et le", "le", "und", "", None)
 REPLACEMENT = r"<$1\x>"
@@ -54,7 +54,7 @@ def query(name: str, sql: str | None = None):
 
 @query("load_documents", with_inputs("SELECT doc_id, filename, text FROM docs", "docs"))
 def _(spark, folder):
-    return inputs.documents(spark, folder).select("doc_id", "filename", "text")
+    return load_documents(spark, folder, inputs.filename())
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "veilwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +48,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="veilwork-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialized(df: DataFrame, name: str = "table") -> DataFrame:
+    """The same rows from a table in the shared folder: computed once, removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{name}_{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

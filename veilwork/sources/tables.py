@@ -20,15 +20,11 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when the source has fewer splits than there are cores.
+    """Rows dealt over all cores by ``key``, for a caller who knows that the source is a few small files.
 
-    A large table has far more splits than cores and is returned as it is, so text is not
-    shuffled there; only a source of a few small files is hashed out.
+    It moves every row once. Tables of many files need no such thing, and no reader asks for it by itself.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def load_documents(
@@ -36,5 +32,4 @@ def load_documents(
 ) -> DataFrame:
     """``documents`` as (doc_id, filename, text, ...); the scan reads only what is asked for."""
     name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")) if filename is None else filename
-    df = read_table(spark, folder, "documents").select("doc_id", name.alias("filename"), "text", *columns)
-    return spread(df, "doc_id")
+    return read_table(spark, folder, "documents").select("doc_id", name.alias("filename"), "text", *columns)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilwork.operators.dedup import fingerprint
 from veilwork.operators.spans import Tagger
 from veilwork.operators.status import status_columns, status_state
 from veilwork.options import RedactOptions
@@ -21,34 +17,8 @@ def stream_redact(documents: DataFrame, opts: RedactOptions, tagger: Tagger | No
     return redact_document(documents, opts, tagger)
 
 
-def stream_process_once(
-    documents: DataFrame,
-    opts: RedactOptions,
-    horizon: str = "1 hour",
-    content: str = "text",
-    salts: int = 64,
-) -> DataFrame:
-    """Drop content seen before within ``horizon``; state is one fingerprint per content in it.
-
-    The horizon is time of processing, not a time in the rows, so a new document is kept however
-    late it comes. A content that floods the stream is first reduced in ``salts`` places and only
-    then in one, so no task gets all its copies. Rows without a content are no repeats of each
-    other and all pass.
-    """
-    others = [c for c in documents.columns if c != content]
-    keyed = (
-        fingerprint(documents, opts, content)
-        .withColumn("_key", F.coalesce("fp", F.expr("uuid()")))
-        .withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
-        .withColumn("_seen", F.current_timestamp())
-        .withWatermark("_seen", horizon)
-    )
-    spread = keyed.dropDuplicatesWithinWatermark(["_key", "_salt"])
-    return spread.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_salt", "_seen")
-
-
 def stream_status(messages: DataFrame) -> DataFrame:
-    """Live status of every file that has sent a message; write in update or complete mode."""
+    """Live status of every file that has sent a message, in update or complete mode; ``board`` keeps it on files."""
     return status_columns(status_state(messages)).select("batch_id", "idx", "status", "progress")
 
 
@@ -63,29 +33,3 @@ def write_stream(
         .queryName(name)
     )
     return (writer.trigger(availableNow=True) if drain else writer).start(path)
-
-
-def drain_latest(df: DataFrame, name: str) -> DataFrame:
-    """Run an aggregating stream over what has arrived and return its last state.
-
-    Every micro-batch writes the whole state to a folder of its own, so a batch that is repeated
-    after a failure overwrites only itself.
-    """
-    spark = df.sparkSession
-    run = f"{name}_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark)}/outputs/{run}"
-    last = {}
-
-    def write(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(f"{path}/{batch}")
-        last["path"] = f"{path}/{batch}"
-
-    (
-        df.writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{checkpoint_dir(spark)}/streams/{run}")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.schema(df.schema).parquet(last["path"]) if last else spark.createDataFrame([], df.schema)
