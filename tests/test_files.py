@@ -8,7 +8,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork import patterns
 from veilwork.operators import batch, fragments, pages, spans, status
+from veilwork.operators.images import ocr_apply, ocr_entries
 from veilwork.options import RedactOptions
 from veilwork.plans.batch_run import run_batch
 from veilwork.plans.process import process_docx, process_documents, redact_docx_fragments
@@ -168,3 +170,80 @@ def test_batch_run(spark):
     assert len(board) == 7 and [n for n, s in board.items() if s == "Done"] == ["x.txt"]
     why = {r.original_name: r.error for r in limited.messages.where("error IS NOT NULL").collect()}
     assert why["t.txt"] == "File is larger than the limit" and why["y.docx"] == "More than 1 files in the batch"
+
+
+def test_office_requests_open_each_file_once(office):
+    done = process_docx(office, RedactOptions(anonymize=True, remove_pii=True, extract_json=True, terms=("Ann",)), AS_OF)
+    for df in (done.documents, done.records):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_office_text_in_one_row_is_that_of_the_long_rows(office):
+    parts = docx.docx_parts(office)
+    rows = docx.structure_text(docx.structure_rows(parts))
+    texts = {r.doc_id: r.text for r in pages.assemble_docx_text(rows).where("error IS NULL").collect()}
+    whole = {r.doc_id: r.text for r in parts.where("error IS NULL").select("doc_id", docx.body_text(F.col("paragraphs"), F.col("tables")).alias("text")).collect()}
+    assert whole == {**texts, 5: ""}
+    tables = {(r.doc_id, r.table_index): (r.data, r.rows, r.cols) for r in pages.docx_tables(rows).collect()}
+    entries = parts.select("doc_id", F.inline(docx.table_entries(F.col("tables"))))
+    assert {(r.doc_id, r.table_index): (r.data, r.rows, r.cols) for r in entries.collect()} == tables
+
+
+def test_batches_process_equal_content_once(spark):
+    """Copies of a content, over batches and names of their kind, are hits; metadata and counts tell of them."""
+    same, other = package(), package(body=paragraph("Bob a@b.co"))
+    data = [("a", 0, 1, "x.txt", b"Ann a@b.co"), ("a", 1, 2, "y.docx", same), ("b", 0, 3, "z.TXT", b"Ann a@b.co"), ("b", 1, 4, "w.Docx", same),
+            ("b", 2, 5, "v.docx", other), ("b", 3, 6, "u.docx", b"Ann a@b.co"), ("b", 4, 7, "t.docx", b"Ann a@b.co"), ("c", 0, 8, "s.txt", None), ("c", 1, 9, "no_end", b"x")]
+    uploads = spark.createDataFrame(data, "batch_id string, ord long, doc_id long, filename string, content binary")
+    opts = RedactOptions(remove_pii=True, extract_json=True, max_images=5)
+    done = run_batch(uploads, opts, AS_OF)
+    got = {r.original_name: r for r in done.results.collect()}
+    assert {n: r.cache_hit for n, r in got.items()} == {"x.txt": False, "y.docx": False, "z.TXT": True, "w.Docx": True, "v.docx": False}
+    records = {n: json.loads(r.content) for n, r in got.items()}
+    assert records["y.docx"]["content"] == records["w.Docx"]["content"] and records["w.Docx"]["document_metadata"]["filename"] == "w.Docx"
+    assert records["v.docx"]["content"]["text"] == "Bob [PII_REMOVED]"
+    m = got["w.Docx"].metadata
+    assert (m.cache_hit, m.ner_mode, m.throughput_mode, m.timing) == (True, "regex_only", False, {})
+    assert (m.ocr.images_processed, m.ocr.images_skipped, m.ocr.max_images_per_doc, m.ocr.enabled) == (1, 1, 5, True)
+    assert done.counts.get == {"files": 9, "failed": 4, "copies": 3, "images_processed": 3, "images_skipped": 3}
+    why = {r.original_name: r.error for r in done.messages.where("error IS NOT NULL").collect()}
+    assert set(why) == {"u.docx", "t.docx", "s.txt", "no_end"} and why["s.txt"] == "The upload has no content"
+    quick = run_batch(uploads, RedactOptions(remove_pii=True, extract_json=True, throughput=True), AS_OF).results.where("original_name = 'y.docx'").first()
+    assert {i["extracted_text"] for i in json.loads(quick.content)["content"]["images"]} == {patterns.OCR_REASONS["throughput"]}
+    assert (quick.metadata.ocr.images_processed, quick.metadata.ocr.images_skipped) == (0, 2)
+    assert [r.cache for r in batch.processing_summary(done.results).orderBy("batch_id", "ord").collect()] == ["No", "No", "Yes", "Yes", "No"]
+
+
+def test_batches_with_a_tagger(spark):
+    data = [("a", 0, 1, "x.txt", b"Ann a@b.co"), ("a", 1, 2, "y.docx", package()), ("b", 0, 3, "z.txt", b"Ann a@b.co")]
+    uploads = spark.createDataFrame(data, "batch_id string, ord long, doc_id long, filename string, content binary")
+    done = run_batch(uploads, RedactOptions(remove_pii=True), AS_OF, spans.dictionary_tagger({"ann": "PERSON"}))
+    got = {r.original_name: r for r in done.results.collect()}
+    assert bytes(got["x.txt"].content) == bytes(got["z.txt"].content) == b"[PII_REMOVED] [PII_REMOVED]"
+    assert bytes(got["y.docx"].content).startswith(b"[PII_REMOVED] wrote [PII_REMOVED]\n")
+    assert got["z.txt"].metadata.ner_mode == "spacy_batch"
+
+
+@pytest.mark.parametrize("opts", [RedactOptions(max_images=2), RedactOptions(), RedactOptions(throughput=True), RedactOptions(ocr_enabled=False)])
+def test_the_gate_on_entries_is_the_gate_on_rows(spark, opts):
+    rows = [(d, i, None if (d + i) % 3 == 0 else b"x" * (i % 2)) for d in range(4) for i in range(7)]
+    images = spark.createDataFrame(rows, "doc_id long, idx int, image_data binary").withColumns({"extracted_text": F.lit("old"), "ocr_applied": F.lit(False)})
+    read = spark.createDataFrame([(1, 3, "seen"), (2, 0, "read")], "doc_id long, idx int, extracted_text string")
+    by_row = ocr_apply(images, opts, read).select("doc_id", "idx", "extracted_text", "ocr_applied")
+    texts = read.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "extracted_text"))).alias("m"))
+    listed = images.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "image_data", "extracted_text", "ocr_applied"))).alias("i"))
+    by_entry = listed.join(texts, "doc_id", "left").select("doc_id", F.inline(ocr_entries(F.col("i"), opts, F.col("m"))))
+    assert sorted(by_row.collect()) == sorted(by_entry.select("doc_id", "idx", "extracted_text", "ocr_applied").collect())
+
+
+def test_images_of_text_documents_go_through_the_gate(spark):
+    docs = spark.createDataFrame([(1, "a.txt", "t")], "doc_id long, filename string, text string")
+    images = spark.createDataFrame([(1, i, b"x", "") for i in range(3)], "doc_id long, idx int, image_data binary, extracted_text string")
+    read = spark.createDataFrame([(1, 0, "seen")], "doc_id long, idx int, extracted_text string")
+    shown = lambda opts: [i["extracted_text"] for i in json.loads(process_documents(docs, opts, AS_OF, images=images, recognised=read).records.first().json)["content"]["images"]]
+    assert shown(RedactOptions(extract_json=True, max_images=2)) == ["seen", "", patterns.OCR_REASONS["cap"]]
+    assert shown(RedactOptions(extract_json=True, throughput=True))[1:] == [patterns.OCR_REASONS["throughput"]] * 2
+    before = images.drop("image_data").withColumn("extracted_text", F.lit("before"))
+    record = process_documents(docs, RedactOptions(extract_json=True), AS_OF, images=before).records.first().json
+    assert {i["extracted_text"] for i in json.loads(record)["content"]["images"]} == {"before"}

@@ -178,6 +178,26 @@ def timing_rollup(steps: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def metadata_column(
+    opts: RedactOptions, tagger: Tagger | None, timing: Column, hit: Column, processed: Column, skipped: Column
+) -> Column:
+    """What a result says about how it was made: seconds by step, modes, copies and image counts."""
+    ocr = F.struct(
+        F.lit(patterns.OCR_ENGINE if opts.ocr_available else "unavailable").alias("engine"),
+        F.coalesce(processed, F.lit(0)).cast("int").alias("images_processed"),
+        F.coalesce(skipped, F.lit(0)).cast("int").alias("images_skipped"),
+        F.lit(opts.max_images).cast("int").alias("max_images_per_doc"),
+        F.lit(opts.ocr_enabled and not opts.throughput).alias("enabled"),
+    )
+    return F.struct(
+        F.coalesce(timing, F.create_map().cast("map<string,double>")).alias("timing"),
+        F.lit(opts.throughput).alias("throughput_mode"),
+        F.coalesce(hit, F.lit(False)).alias("cache_hit"),
+        F.lit("regex_only" if opts.throughput or tagger is None else "spacy_batch").alias("ner_mode"),
+        ocr.alias("ocr"),
+    )
+
+
 def processing_metadata(
     docs: DataFrame,
     steps: DataFrame,
@@ -193,21 +213,7 @@ def processing_metadata(
     summed = steps.groupBy(id_col, "step").agg(F.sum("seconds").alias("seconds"))
     timing = summed.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("step", "seconds")))).alias("_timing"))
     counts = ocr_counts.select(id_col, "images_processed", "images_skipped")
-    hit = F.coalesce("cache_hit", F.lit(False)) if "cache_hit" in docs.columns else F.lit(False)
+    hit = F.col("cache_hit") if "cache_hit" in docs.columns else F.lit(False)
     keyed = docs.select(id_col, hit.alias("_hit"))
-    mode = "regex_only" if opts.throughput or tagger is None else "spacy_batch"
-    ocr = F.struct(
-        F.lit(patterns.OCR_ENGINE if opts.ocr_available else "unavailable").alias("engine"),
-        F.coalesce("images_processed", F.lit(0)).cast("int").alias("images_processed"),
-        F.coalesce("images_skipped", F.lit(0)).cast("int").alias("images_skipped"),
-        F.lit(opts.max_images).cast("int").alias("max_images_per_doc"),
-        F.lit(opts.ocr_enabled and not opts.throughput).alias("enabled"),
-    )
-    metadata = F.struct(
-        F.coalesce("_timing", F.create_map().cast("map<string,double>")).alias("timing"),
-        F.lit(opts.throughput).alias("throughput_mode"),
-        F.col("_hit").alias("cache_hit"),
-        F.lit(mode).alias("ner_mode"),
-        ocr.alias("ocr"),
-    )
+    metadata = metadata_column(opts, tagger, F.col("_timing"), F.col("_hit"), F.col("images_processed"), F.col("images_skipped"))
     return keyed.join(timing, id_col, "left").join(counts, id_col, "left").select(id_col, metadata.alias("metadata"))

@@ -85,6 +85,16 @@ def ocr_mode_reason(opts: RedactOptions) -> Column:
     return F.lit(None).cast("string")
 
 
+def ocr_reason(opts: RedactOptions, has_data: Column, likely: Column, earlier: Column | None) -> Column:
+    """Why one image is not read, or NULL; ``earlier`` counts readable images of its document before it."""
+    if opts.throughput or not opts.ocr_enabled or not opts.ocr_available:
+        return ocr_mode_reason(opts)
+    reason = F.when(~has_data, patterns.OCR_REASONS["no_data"]).when(~likely, patterns.OCR_REASONS["unlikely"])
+    if opts.max_images is None:
+        return reason
+    return F.when(earlier >= opts.max_images, patterns.OCR_REASONS["cap"]).otherwise(reason)
+
+
 def ocr_gate(images: DataFrame, opts: RedactOptions = RedactOptions(), id_col: str = "doc_id") -> DataFrame:
     """Add ``eligible`` and ``extracted_text`` (the reason, for images that are skipped).
 
@@ -92,21 +102,36 @@ def ocr_gate(images: DataFrame, opts: RedactOptions = RedactOptions(), id_col: s
     images count towards one, and it is tested first; an image past the cap is never eligible, so
     counting earlier readable ones gives the same answer.
     """
-    mode = ocr_mode_reason(opts)
-    if opts.throughput or not opts.ocr_enabled or not opts.ocr_available:
-        return images.withColumn("eligible", F.lit(False)).withColumn("extracted_text", mode)
-    reason = F.when(~F.col("has_data"), patterns.OCR_REASONS["no_data"]).when(
-        ~F.col("likely"), patterns.OCR_REASONS["unlikely"]
-    )
-    if opts.max_images is not None:
+    if opts.max_images is not None and ocr_runs(opts):
         readable = (F.col("has_data") & F.col("likely")).cast("int")
         images = running_before(images, [id_col], ["idx"], readable, "_before", bucket=IMAGE_BUCKET)
-        reason = F.when(F.col("_before") >= opts.max_images, patterns.OCR_REASONS["cap"]).otherwise(reason)
-    return (
-        images.withColumn("extracted_text", reason)
-        .withColumn("eligible", F.col("extracted_text").isNull())
-        .drop("_before")
-    )
+    earlier = F.col("_before") if "_before" in images.columns else None
+    gated = images.withColumn("extracted_text", ocr_reason(opts, F.col("has_data"), F.col("likely"), earlier))
+    return gated.withColumn("eligible", F.col("extracted_text").isNull()).drop("_before")
+
+
+def ocr_runs(opts: RedactOptions) -> bool:
+    return opts.ocr_enabled and opts.ocr_available and not opts.throughput
+
+
+def ocr_entries(images: Column, opts: RedactOptions, read: Column | None = None) -> Column:
+    """Image entries of one document, in order, through the gate: the same as ``ocr_apply`` on rows.
+
+    ``read`` maps places to the texts a recogniser found; ``eligible`` stays for counting.
+    """
+    has_data = lambda i: F.coalesce(F.octet_length(i["image_data"]), F.lit(0)) > 0
+
+    def entry(image: Column, at: Column) -> Column:
+        earlier = F.size(F.filter(F.slice(images, F.lit(1), at.cast("int")), has_data)) if opts.max_images is not None else None
+        reason = ocr_reason(opts, has_data(image), F.lit(True), earlier)
+        text_of = F.try_element_at(read, image["idx"]) if read is not None else F.lit(None).cast("string")
+        return (
+            image.withField("extracted_text", F.coalesce(text_of, reason, F.lit("")))
+            .withField("ocr_applied", text_of.isNotNull())
+            .withField("eligible", reason.isNull())
+        )
+
+    return F.transform(images, entry)
 
 
 def ocr_apply(
@@ -119,9 +144,8 @@ def ocr_apply(
     in the last join if they are used after it.
     """
     likely = F.coalesce("likely", F.lit(True)) if "likely" in images.columns else F.lit(True)
-    flags = images.select(
-        id_col, "idx", (F.coalesce(F.octet_length("image_data"), F.lit(0)) > 0).alias("has_data"), likely.alias("likely")
-    )
+    has_data = F.coalesce(F.octet_length("image_data"), F.lit(0)) > 0 if "image_data" in images.columns else F.lit(True)
+    flags = images.select(id_col, "idx", has_data.alias("has_data"), likely.alias("likely"))
     gated = ocr_gate(flags, opts, id_col).select(id_col, "idx", "eligible", F.col("extracted_text").alias("_reason"))
     if recognised is None:
         read = gated.withColumn("_read", F.lit(None).cast("string"))

@@ -59,18 +59,37 @@ def json_record(
     df: DataFrame,
     opts: RedactOptions,
     as_of: datetime,
-    tables: DataFrame | None = None,
-    images: DataFrame | None = None,
+    tables: DataFrame | Column | None = None,
+    images: DataFrame | Column | None = None,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """(id, json): one record per document; NULL for a document without a text.
+    """(id, json): one record per document; NULL for a document without a text. See ``with_record``."""
+    return with_record(df, opts, as_of, tables, images, id_col).select(id_col, "json")
+
+
+def _with_children(docs: DataFrame, children: DataFrame | Column | None, arrays, name: str, id_col: str) -> DataFrame:
+    if isinstance(children, DataFrame):
+        return docs.join(arrays(children, id_col), id_col, "left")
+    return docs.withColumn(name, F.lit(None) if children is None else children)
+
+
+def with_record(
+    df: DataFrame,
+    opts: RedactOptions,
+    as_of: datetime,
+    tables: DataFrame | Column | None = None,
+    images: DataFrame | Column | None = None,
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """The documents with their record in ``json``.
 
     Needs (id, filename, file_type, text, file_size); ``file_size`` is that of the input. Fields a
     table or image does not have are left out of it. Children are arrays by the time they meet the
-    text, so the text moves at most once per kind of child and not at all without children.
+    text, so the text moves at most once per kind of child and not at all without children. Where each
+    document has them in array columns already (``_TABLE_TYPE``, ``_IMAGE_TYPE``), nothing moves.
     """
-    docs = df.join(table_arrays(tables, id_col), id_col, "left") if tables is not None else df.withColumn("_tables", F.lit(None))
-    docs = docs.join(image_arrays(images, id_col), id_col, "left") if images is not None else docs.withColumn("_images", F.lit(None))
+    docs = _with_children(df, tables, table_arrays, "_tables", id_col)
+    docs = _with_children(docs, images, image_arrays, "_images", id_col)
     filled = docs.withColumns(
         {
             "_tables": F.coalesce(F.col("_tables").cast(_TABLE_TYPE), F.array().cast(_TABLE_TYPE)),
@@ -95,7 +114,13 @@ def json_record(
             F.lit(opts.extract_json).alias("extracted_to_json"),
         ).alias("processing_info"),
     )
-    return filled.select(id_col, F.when(F.col("text").isNotNull(), F.to_json(record)).alias("json"))
+    return filled.withColumn("json", F.when(F.col("text").isNotNull(), F.to_json(record))).drop("_tables", "_images")
+
+
+def image_entries(images: Column) -> Column:
+    """Image entries of one document as a record holds them; payload bytes stay behind."""
+    fields = ("type", "description", "extracted_text", "ocr_applied", "image_format")
+    return F.transform(images, lambda i: F.struct(*[i[f].alias(f) for f in fields]))
 
 
 def write_json_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from veilwork import patterns
 from veilwork.operators import batch, images, output, status
-from veilwork.plans import inputs
+from veilwork.plans import inputs, packing
 from veilwork.plans.batch_run import run_batch
 from veilwork.plans.document_queries import _CAPPED, _GATE, AS_OF
 from veilwork.plans.inputs import with_inputs
 from veilwork.plans.process import redact_document
 from veilwork.plans.redaction_queries import OPTS, _literal, sql_anonymize, sql_remove
-from veilwork.session import checkpoint_dir
+from veilwork.session import checkpoint_dir, materialized
 from veilwork.sources.tables import read_table, stream_table
 from veilwork.streaming import board, jobs, once
 
@@ -256,31 +256,51 @@ def _(spark, folder):
 # --- a whole batch -------------------------------------------------------------------------------
 
 
+_UPLOAD_NAME = "concat('doc_', doc_id, CASE WHEN doc_id % 23 = 7 THEN '.csv' ELSE (['.txt', '.docx', '.TXT', '.Docx'])[1 + doc_id % 4] END)"
+_UPLOADS = f"""ups AS (SELECT source AS batch_id, doc_id AS ord, doc_id, {_UPLOAD_NAME} AS filename, text, doc_id % 2 = 1 AS office,
+    doc_id % 23 <> 7 AND NOT (doc_id % 2 = 1 AND doc_id % 17 = 5) AS readable FROM documents)"""
+
+
 def _uploaded(spark, folder):
-    """Documents as uploaded bytes: those named as office files are not, so each batch has failures."""
-    docs = inputs.documents(spark, folder)
-    return docs.select(
-        F.col("source").alias("batch_id"), F.col("doc_id").alias("ord"), "doc_id", "filename",
-        F.col("text").cast("binary").alias("content"),
-    )
+    """Every document as an upload: text files, office files that hold its lines and a table, and some that cannot be read."""
+    i = F.col("doc_id")
+    ends = F.array(*[F.lit(e) for e in (".txt", ".docx", ".TXT", ".Docx")])
+    name = F.concat(F.lit("doc_"), i, F.when(i % 23 == 7, ".csv").otherwise(F.get(ends, (i % 4).cast("int"))))
+    office = (i % 2 == 1) & (i % 17 != 5) & (i % 23 != 7)
+    rows = inputs.documents(spark, folder).select(F.col("source").alias("batch_id"), i.alias("ord"), "doc_id", name.alias("filename"), "text", office.alias("office"))
+    packed = rows.mapInPandas(packing.pack_uploads, "batch_id string, ord long, doc_id long, filename string, content binary")
+    return materialized(packed, "uploads")  # as uploads lie in storage
+
+
+_REDACTED = lambda c: sql_remove(sql_anonymize(c))
 
 
 @query(
     "batch_results",
-    with_inputs("", "docs").strip()
-    + f""" SELECT source AS batch_id, doc_id AS ord, 'doc_' || doc_id || '_processed.pdf' AS name, filename AS original_name,
-        '.pdf' AS file_extension, {sql_remove(sql_anonymize('text'))} AS content FROM docs WHERE filename LIKE '%.txt'""",
+    f"""WITH {_UPLOADS}, office_lines AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM ups WHERE office)),
+      cells AS (SELECT doc_id, pos, unnest(w) AS word, generate_subscripts(w, 1) AS n FROM (SELECT doc_id, pos, string_split(line, ' ') AS w FROM office_lines WHERE pos <= 3)),
+      lined AS (SELECT doc_id, pos, string_agg({_REDACTED('word')}, ' | ' ORDER BY n) AS line FROM cells GROUP BY doc_id, pos),
+      whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY part, pos) AS text FROM (
+        SELECT doc_id, 0 AS part, pos, {_REDACTED('line')} AS line FROM office_lines UNION ALL SELECT doc_id, 1, pos, line FROM lined) GROUP BY doc_id)
+      SELECT batch_id, ord, 'doc_' || doc_id || '_processed.pdf' AS name, filename AS original_name, '.pdf' AS file_extension,
+        CASE WHEN office THEN whole.text ELSE {_REDACTED('ups.text')} END AS content,
+        row_number() OVER (PARTITION BY office, ups.text ORDER BY doc_id) > 1 AS cache_hit, 'regex_only' AS ner_mode,
+        CAST(CASE WHEN office THEN 1 ELSE 0 END AS integer) AS images_processed, CAST(CASE WHEN office THEN 1 ELSE 0 END AS integer) AS images_skipped
+      FROM ups LEFT JOIN whole USING (doc_id) WHERE readable""",
 )
 def _(spark, folder):
     results = run_batch(_uploaded(spark, folder), OPTS, AS_OF).results
-    return results.select("batch_id", "ord", "name", "original_name", "file_extension", F.col("content").cast("string").alias("content"))
+    m = F.col("metadata")
+    return results.select(
+        "batch_id", "ord", "name", "original_name", "file_extension", F.col("content").cast("string").alias("content"), "cache_hit",
+        m["ner_mode"].alias("ner_mode"), m["ocr"]["images_processed"].alias("images_processed"), m["ocr"]["images_skipped"].alias("images_skipped"),
+    )
 
 
 @query(
     "batch_status",
-    with_inputs("", "docs").strip()
-    + """ SELECT source AS batch_id, doc_id AS idx, filename AS file, CASE WHEN filename LIKE '%.txt' THEN 'Done' ELSE 'Error' END AS status,
-        CASE WHEN filename LIKE '%.txt' THEN 100 ELSE 0 END AS progress FROM docs""",
+    f"""WITH {_UPLOADS} SELECT batch_id, ord AS idx, filename AS file, CASE WHEN readable THEN 'Done' ELSE 'Error' END AS status,
+        CASE WHEN readable THEN 100 ELSE 0 END AS progress FROM ups""",
 )
 def _(spark, folder):
     return run_batch(_uploaded(spark, folder), OPTS, AS_OF).status

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -391,6 +392,22 @@ def _(spark, folder):
     return process_documents(inputs.documents(spark, folder), JSON_OPTS, AS_OF).records
 
 
+@query(
+    "document_image_records",
+    with_inputs("", "docs", "measured").strip()
+    + f""", i AS (SELECT doc_id, string_agg(CAST(to_json({{'type': coalesce(type, 'unknown'), 'description': coalesce(description, ''),
+        'extracted_text': coalesce(g.extracted_text, ''), 'ocr_applied': false, 'image_format': 'unknown'}}) AS varchar), ',' ORDER BY idx) AS js
+      FROM measured m JOIN ({_GATE}) g USING (doc_id, idx) GROUP BY doc_id)
+      SELECT doc_id, """
+    + _sql_record("done", "text", '{"anonymized":true,"pii_removed":true,"extracted_to_json":true}', images_json="coalesce(i.js, '')")
+    + f" FROM (SELECT *, {sql_remove(sql_anonymize('text'))} AS done FROM docs) LEFT JOIN i USING (doc_id) WHERE {_FILE_TYPE} IN ('.txt', '.pdf', '.docx')",
+)
+def _(spark, folder):
+    """Images of text documents go through the gate, at most three a document."""
+    pictures = inputs.measured_images(spark, folder)
+    return process_documents(inputs.documents(spark, folder), replace(JSON_OPTS, max_images=3), AS_OF, images=pictures).records
+
+
 _FLAGS = '{"anonymized":true,"pii_removed":true,"extracted_to_json":true}'
 _PAGE_SQL = f"""clipped AS (SELECT doc_id, page, pos, CASE WHEN page_height <= 0 OR (y1 > page_y0 + page_height * CAST(0.08 AS double)
       AND y0 < page_y0 + page_height * CAST(0.92 AS double)) THEN nullif(text, '') END AS text FROM blocks WHERE doc_id % 9 <> 4),

@@ -49,7 +49,7 @@ def office_file(doc_id: int, text: str) -> bytes:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for name, content in members.items():
-            archive.writestr(name, content)
+            archive.writestr(zipfile.ZipInfo(name), content, zipfile.ZIP_DEFLATED)  # no time of writing: equal texts, equal files
     return buffer.getvalue()
 
 
@@ -58,3 +58,10 @@ def pack(frames):
     for frame in frames:
         frame["content"] = [office_file(i, t) for i, t in zip(frame["doc_id"], frame["text"])]
         yield frame.drop(columns="text")
+
+
+def pack_uploads(frames):
+    """Task function: bytes of an upload, packed as an office file where ``office`` says so."""
+    for frame in frames:
+        frame["content"] = [office_file(0, t) if o else t.encode() for t, o in zip(frame["text"], frame["office"])]
+        yield frame.drop(columns=["text", "office"])

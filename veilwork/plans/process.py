@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import fragments as frag
 from veilwork.operators import output, pages, pii, spans, terms
-from veilwork.operators.images import dedupe_page_images, ocr_apply
+from veilwork.operators.images import dedupe_page_images, ocr_apply, ocr_entries
 from veilwork.operators.tables import gate_table_pages, number_tables
 from veilwork.options import RedactOptions, validate_options
 from veilwork.sources import docx
@@ -25,13 +26,13 @@ def redact_column(c: Column, opts: RedactOptions) -> Column:
 
 
 def redact_document(
-    df: DataFrame, opts: RedactOptions, tagger: spans.Tagger | None = None, col: str = "text"
+    df: DataFrame, opts: RedactOptions, tagger: spans.Tagger | None = None, col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """Anonymize, then remove personal data; each only if asked for."""
     if opts.anonymize:
         df = terms.anonymize(df, opts.terms, opts.replacement, col)
     if opts.remove_pii:
-        df = spans.remove_pii(df, tagger, opts.throughput, col=col)
+        df = spans.remove_pii(df, tagger, opts.throughput, id_col, col)
     return df
 
 
@@ -59,12 +60,23 @@ def process_documents(
     tables: DataFrame | None = None,
     images: DataFrame | None = None,
     tagger: spans.Tagger | None = None,
+    recognised: DataFrame | None = None,
 ) -> Processed:
     """Text and page documents: route, redact, name, and turn into records.
 
     ``docs`` has (doc_id, filename, text). ``file_size`` defaults to the size of the text as it
     came in. Tables and images were read before redaction; ``scope="all"`` redacts their text too.
+    Images that come with bytes, or with texts in ``recognised``, go through the gate, so throughput mode and the cap of
+    images hold here too; images that come with their texts alone were read before and stay as they are.
     """
+    if images is not None and (recognised is not None or "image_data" in images.columns):
+        images = ocr_apply(images, opts, recognised)
+    return _finished(docs, opts, as_of, tables, images, tagger)
+
+
+def _finished(
+    docs: DataFrame, opts: RedactOptions, as_of: datetime, tables: DataFrame | None, images: DataFrame | None, tagger: spans.Tagger | None
+) -> Processed:
     validate_options(opts)
     routed = route_format(docs)
     if "file_size" not in routed.columns:
@@ -114,7 +126,7 @@ def process_pages(
     if images is not None:
         first = dedupe_page_images(images).join(blocks.select("doc_id"), "doc_id", "left_semi")
         images = ocr_apply(first, opts, recognised)
-    return process_documents(read, opts, as_of, tables, images, tagger)
+    return _finished(read, opts, as_of, tables, images, tagger)
 
 
 def redact_structures(structures: DataFrame, opts: RedactOptions) -> DataFrame:
@@ -146,6 +158,47 @@ def tag_structures(structures: DataFrame, tagger: spans.Tagger) -> DataFrame:
     return rebuilt.unionByName(structures.where("kind = 'error'"), allowMissingColumns=True)
 
 
+READ_COLUMNS = ("error", "text", "tables", "images")
+
+
+def read_docx(files: DataFrame, opts: RedactOptions, keep: Sequence[str], tagger: spans.Tagger | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Office files as redacted text, tables and images in one row each: the columns to keep, and ``READ_COLUMNS``.
+
+    Pieces are redacted and put together in the task that opened the file; nothing is shuffled. Only a tagger that works
+    on rows of text needs the pieces as rows, and reads the files again for the images.
+    """
+    if opts.remove_pii and tagger is not None and not opts.throughput:
+        return _read_docx_tagged(files, opts, keep, tagger, id_col)
+    parts = docx.docx_parts(files, ("body", "images"), keep, payload=False)
+
+    def change(piece: Column) -> Column:
+        return redact_column(piece, opts)
+
+    paragraphs = F.transform("paragraphs", lambda p: F.transform(p, change))
+    changed = parts.select(*keep, "error", paragraphs.alias("paragraphs"), docx.map_pieces(F.col("tables"), change).alias("tables"), "images")
+    read = F.col("error").isNull()
+    return changed.select(
+        *keep,
+        "error",
+        F.when(read, docx.body_text(F.col("paragraphs"), F.col("tables"))).alias("text"),
+        F.when(read, docx.table_entries(F.col("tables"))).alias("tables"),
+        docx.with_format(F.col("images")).alias("images"),
+    )
+
+
+def _read_docx_tagged(files: DataFrame, opts: RedactOptions, keep: Sequence[str], tagger: spans.Tagger, id_col: str) -> DataFrame:
+    keyed = files.withColumn("doc_id", F.col(id_col))
+    pieces = tag_structures(redact_structures(docx.docx_structures(keyed), opts), tagger)
+    structures = docx.structure_text(pieces)
+    tables = output.table_arrays(pages.docx_tables(structures)).withColumnRenamed("_tables", "tables")
+    texts = pages.assemble_docx_text(structures).join(tables, "doc_id", "left").withColumnRenamed("doc_id", "_id")
+    images = docx.docx_parts(files, ("images",), keep, payload=False).withColumn("images", docx.with_format(F.col("images")))
+    read = images.join(texts, F.col(id_col) == F.col("_id"), "left")
+    # A readable file with an empty body has no structure rows; its text is ''.
+    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))
+    return read.select(*keep, "error", text.alias("text"), "tables", "images")
+
+
 def process_docx(
     files: DataFrame,
     opts: RedactOptions,
@@ -159,23 +212,26 @@ def process_docx(
     Tables are taken after redaction. A file that cannot be read keeps its error and has no text.
     """
     validate_options(opts)
-    pieces = redact_structures(docx.docx_structures(files), opts)
-    if opts.remove_pii and tagger is not None and not opts.throughput:
-        pieces = tag_structures(pieces, tagger)
-    structures = docx.structure_text(pieces)
-    named = files.withColumn("file_size", F.octet_length("content")).drop("content")
-    # A readable file with an empty body has no structure rows; its text is ''.
-    docs = named.join(pages.assemble_docx_text(structures), "doc_id", "left").withColumn(
-        "text", F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))
-    )
-    done = output.output_name(output.output_route(route_format(docs), opts), opts)
+    named = files.drop(*READ_COLUMNS).withColumn("file_size", F.octet_length("content"))
+    read = read_docx(named, opts, [c for c in named.columns if c != "content"], tagger)
+    done = output.output_name(output.output_route(route_format(read), opts), opts)
+    documents = done.drop("tables", "images")
     if not opts.extract_json:
-        return Processed(done, None)
-    tables = pages.docx_tables(structures)
-    pictures = ocr_apply(docx.docx_images(files), opts, recognised)
-    if opts.scope == "all":
-        pictures = redact_image_texts(pictures, opts)
-    return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, pictures))
+        return Processed(documents, None)
+    texts = None
+    if recognised is not None:
+        entries = F.map_from_entries(F.collect_list(F.struct("idx", "extracted_text")))
+        done, texts = done.join(recognised.groupBy("doc_id").agg(entries.alias("_read")), "doc_id", "left"), F.col("_read")
+    shown = docx_image_entries(F.col("images"), opts, texts)
+    return Processed(documents, output.json_record(done.where(F.col("error").isNull()), opts, as_of, F.col("tables"), output.image_entries(shown)))
+
+
+def docx_image_entries(images: Column, opts: RedactOptions, texts: Column | None = None) -> Column:
+    """Images of one file after the gate, their texts redacted where the request is for all."""
+    gated = ocr_entries(images, opts, texts)
+    if opts.scope != "all":
+        return gated
+    return F.transform(gated, lambda i: i.withField("extracted_text", redact_column(i["extracted_text"], opts)))
 
 
 def redact_docx_fragments(files: DataFrame, opts: RedactOptions, tagger: spans.Tagger | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Office files as input: Spark reads and spreads the files, each task opens those it was given.
 
-All three jobs take (id, content) rows and return long rows. A file or part that cannot be read
-gives one row with ``error`` set and no text; nothing of it is passed on unredacted.
+``docx_parts`` opens a file once and gives one row with all that was asked for, so a request needs no
+second look and no grouping; the other readers are projections of it to long rows. A file or part that cannot
+be read has ``error`` set and no text; nothing of it is passed on unredacted.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ import posixpath
 import sys
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from veilwork.operators.images import image_format
+from veilwork.operators.images import image_format, image_format_column
 
 # Tasks carry the functions below with them; executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,10 +31,22 @@ BODY_PART = "word/document.xml"
 RELATIONS_PART = "word/_rels/document.xml.rels"
 # --- end of fixed values ------------------------------------------------------------------------
 
-ROWS_PER_FRAME = 4096
-FRAGMENTS = "doc_id long, part string, seq int, text string, error string"
-STRUCTURES = "doc_id long, kind string, idx int, row_idx int, pieces array<array<string>>, n_cols int, error string"
-IMAGES = "doc_id long, idx int, type string, description string, image_data binary, extracted_text string, ocr_applied boolean"
+IMAGE_HEAD = 12  # bytes that tell a format
+FILES_PER_BATCH, BYTES_PER_BATCH = 512, 1 << 25
+_TEXTS = pa.list_(pa.string())
+_FRAGMENT = pa.struct([("part", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+_TABLE = pa.struct([("table_index", pa.int32()), ("n_cols", pa.int32()), ("rows", pa.list_(pa.list_(_TEXTS)))])
+_IMAGE = pa.struct([("idx", pa.int32()), ("type", pa.string()), ("description", pa.string()), ("image_data", pa.binary()), ("extracted_text", pa.string())])
+# Columns of each part: Spark's type and Arrow's.
+_PARTS = {
+    "body": {
+        "error": ("string", pa.string()),
+        "paragraphs": ("array<array<string>>", pa.list_(_TEXTS)),
+        "tables": ("array<struct<table_index:int,n_cols:int,rows:array<array<array<string>>>>>", pa.list_(_TABLE)),
+    },
+    "images": {"images": ("array<struct<idx:int,type:string,description:string,image_data:binary,extracted_text:string>>", pa.list_(_IMAGE))},
+    "fragments": {"fragments": ("array<struct<part:string,seq:int,text:string,error:string>>", pa.list_(_FRAGMENT))},
+}
 
 
 def _redactable(name: str) -> bool:
@@ -40,16 +54,15 @@ def _redactable(name: str) -> bool:
     return name == BODY_PART or side
 
 
-def _fragments(doc_id: int, content: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for name in filter(_redactable, archive.namelist()):
-            try:
-                texts = [t.text for t in ET.fromstring(archive.read(name)).iter(f"{W}t") if t.text]
-            except Exception as exc:
-                yield doc_id, name, None, None, f"Cannot read {name}: {exc}"
-                continue
-            for seq, text in enumerate(texts):
-                yield doc_id, name, seq, text, None
+def _fragments(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    for name in filter(_redactable, archive.namelist()):
+        try:
+            texts = [t.text for t in ET.fromstring(archive.read(name)).iter(f"{W}t") if t.text]
+        except Exception as exc:
+            yield name, None, None, f"Cannot read {name}: {exc}"
+            continue
+        for seq, text in enumerate(texts):
+            yield name, seq, text, None
 
 
 def _paragraph_pieces(paragraph: ET.Element) -> list[str]:
@@ -91,62 +104,98 @@ def _row_pieces(row: ET.Element, above: list[list[str]]) -> list[list[str]]:
     return cells
 
 
-def _structures(doc_id: int, content: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ET.fromstring(archive.read(BODY_PART)).find(f"{W}body")
-    for idx, paragraph in enumerate(body.findall(f"{W}p")):
-        yield doc_id, "paragraph", idx, 0, [_paragraph_pieces(paragraph)], None, None
+def _body(archive: zipfile.ZipFile) -> tuple[list, list]:
+    """Pieces of the paragraphs, and tables as (index, width of the grid, pieces of the cells of each row)."""
+    body = ET.fromstring(archive.read(BODY_PART)).find(f"{W}body")
+    paragraphs = [_paragraph_pieces(p) for p in body.findall(f"{W}p")]
+    tables = []
     for idx, table in enumerate(body.findall(f"{W}tbl")):
-        n_cols = len(table.findall(f"{W}tblGrid/{W}gridCol"))
-        above: list[list[str]] = []
-        for row_idx, row in enumerate(table.findall(f"{W}tr")):
-            above = _row_pieces(row, above)
-            yield doc_id, "table", idx, row_idx, above, n_cols, None
-
-
-def _images(doc_id: int, content: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        if RELATIONS_PART not in archive.namelist():
-            return
-        relations = [r for r in ET.fromstring(archive.read(RELATIONS_PART)) if "image" in r.get("Target", "")]
-        for idx, relation in enumerate(relations):
-            name, failure = f"Embedded image {relation.get('Id')}", None
+        rows: list[list[list[str]]] = []
+        for row in table.findall(f"{W}tr"):
+            rows.append(_row_pieces(row, rows[-1] if rows else []))
+        tables.append((idx, len(table.findall(f"{W}tblGrid/{W}gridCol")), rows))
+    return paragraphs, tables
+
+
+def _images(archive: zipfile.ZipFile, payload: bool) -> Iterator[tuple]:
+    if RELATIONS_PART not in archive.namelist():
+        return
+    relations = [r for r in ET.fromstring(archive.read(RELATIONS_PART)) if "image" in r.get("Target", "")]
+    for idx, relation in enumerate(relations):
+        name, failure = f"Embedded image {relation.get('Id')}", ""
+        try:
+            if relation.get("TargetMode") == "External":
+                raise KeyError("image is not part of the file")
+            data = archive.read(posixpath.normpath(posixpath.join("word", relation.get("Target"))).lstrip("/"))
+        except Exception as exc:
+            name, data, failure = f"{name} (extraction failed)", b"", f"[Image extraction failed: {exc}]"
+        yield idx, "docx_embedded_image", name, data if payload else data[:IMAGE_HEAD], failure
+
+
+def _parts_of(content: bytes, want: Sequence[str], payload: bool) -> dict:
+    """What was asked for of one file; each part fails alone."""
+    out = {name: None for part in want for name in _PARTS[part]}
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except Exception as exc:
+        why = f"Cannot read office file: {exc}"
+        return {**out, **({"error": why} if "body" in want else {}), **({"fragments": [(None, None, None, why)]} if "fragments" in want else {})}
+    with archive:
+        if "body" in want:
             try:
-                if relation.get("TargetMode") == "External":
-                    raise KeyError("image is not part of the file")
-                data = archive.read(posixpath.normpath(posixpath.join("word", relation.get("Target"))).lstrip("/"))
+                out["paragraphs"], out["tables"] = _body(archive)
             except Exception as exc:
-                name, data, failure = f"{name} (extraction failed)", b"", f"[Image extraction failed: {exc}]"
-            yield doc_id, idx, "docx_embedded_image", name, data, failure or "", False
-
+                out["error"] = f"Cannot read office file: {exc}"
+        if "images" in want:
+            try:
+                out["images"] = list(_images(archive, payload))
+            except Exception:
+                out["images"] = []  # the file's error comes with its text
+        if "fragments" in want:
+            try:
+                out["fragments"] = list(_fragments(archive))
+            except Exception as exc:
+                out["fragments"] = [(None, None, None, f"Cannot read office file: {exc}")]
+    return out
 
-def _per_file(read: Callable[[int, bytes], Iterator[tuple]], broken: Callable[[int, str], tuple], columns: list[str]):
-    """Task function: the rows of each file, sent on whenever enough have come together."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for frame in frames:
-            for doc_id, content in zip(frame["doc_id"], frame["content"]):
-                try:
-                    rows += list(read(doc_id, content))
-                except Exception as exc:
-                    rows.append(broken(doc_id, f"Cannot read office file: {exc}"))
-                if len(rows) >= ROWS_PER_FRAME:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-        yield pd.DataFrame(rows, columns=columns)
+def _nested(value, kind: pa.DataType):
+    """Tuples as the structs of an Arrow type."""
+    if value is None or not pa.types.is_list(kind) or not pa.types.is_struct(kind.value_type):
+        return value
+    names = [f.name for f in kind.value_type]
+    return [dict(zip(names, item)) for item in value]
 
-    return run
 
+def docx_parts(files: DataFrame, want: Sequence[str] = ("body", "images"), keep: Sequence[str] = ("doc_id",), payload: bool = True) -> DataFrame:
+    """One row for each file, opened once: the columns to keep, and those of the parts in ``want``.
 
-def _names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
+    ``body`` gives error, paragraphs and tables, in pieces that are still to be redacted; ``images`` those the body refers to (of
+    their bytes only the first few without ``payload``); ``fragments`` every non-empty text run of body, headers and footers.
+    """
+    columns = {name: kinds for part in want for name, kinds in _PARTS[part].items()}
+    given = files.select(*keep, "content")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, begin, size, rows = batch.column("content"), 0, 0, []
+            for i in range(len(contents)):
+                content = contents[i].as_py()
+                rows.append(_parts_of(content, want, payload))
+                size += len(content or b"")
+                if len(rows) == FILES_PER_BATCH or size >= BYTES_PER_BATCH or i + 1 == len(contents):
+                    made = [pa.array([_nested(r[name], kind) for r in rows], kind) for name, (_, kind) in columns.items()]
+                    kept = [batch.column(c).slice(begin, len(rows)) for c in keep]
+                    yield pa.RecordBatch.from_arrays(kept + made, names=[*keep, *columns])
+                    begin, size, rows = i + 1, 0, []
+
+    made = StructType.fromDDL(", ".join(f"{name} {kind}" for name, (kind, _) in columns.items()))
+    return given.mapInArrow(task, StructType(given.drop("content").schema.fields + made.fields))
 
 
 def docx_fragments(files: DataFrame) -> DataFrame:
     """(doc_id, part, seq, text, error): every non-empty text run of body, headers and footers."""
-    task = _per_file(_fragments, lambda i, why: (i, None, None, None, why), _names(FRAGMENTS))
-    return files.select("doc_id", "content").mapInPandas(task, FRAGMENTS)
+    return docx_parts(files, ("fragments",)).select("doc_id", F.inline("fragments"))
 
 
 def docx_structures(files: DataFrame) -> DataFrame:
@@ -154,8 +203,49 @@ def docx_structures(files: DataFrame) -> DataFrame:
 
     ``pieces`` has one list per cell (one for a paragraph); see ``structure_text``.
     """
-    task = _per_file(_structures, lambda i, why: (i, "error", None, None, None, None, why), _names(STRUCTURES))
-    return files.select("doc_id", "content").mapInPandas(task, STRUCTURES)
+    return structure_rows(docx_parts(files, ("body",)))
+
+
+def structure_rows(parts: DataFrame) -> DataFrame:
+    """(doc_id, kind, idx, row_idx, pieces, n_cols, error): a row for each paragraph, table row and unreadable file."""
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(kind, idx, row_idx, pieces, n_cols, error) -> Column:
+        named = {"kind": F.lit(kind), "idx": idx.cast("int"), "row_idx": row_idx.cast("int"), "pieces": pieces, "n_cols": n_cols.cast("int"), "error": error}
+        return F.struct(*[c.alias(n) for n, c in named.items()])
+
+    paragraphs = F.transform("paragraphs", lambda p, i: row("paragraph", i, F.lit(0), F.array(p), none("int"), none("string")))
+    of_table = lambda t: F.transform(t["rows"], lambda r, i: row("table", t["table_index"], i, r, t["n_cols"], none("string")))
+    rows = F.concat(paragraphs, F.flatten(F.transform("tables", of_table)))
+    failed = F.array(row("error", none("int"), none("int"), none("array<array<string>>"), none("int"), F.col("error")))
+    return parts.select("doc_id", F.inline(F.when(F.col("error").isNotNull(), failed).otherwise(rows)))
+
+
+def _cell_text(pieces: Column) -> Column:
+    return F.array_join(pieces, "")
+
+
+def body_text(paragraphs: Column, tables: Column) -> Column:
+    """Text of an office document: paragraphs, then every table row with its cells joined by ' | '."""
+    line = lambda row: F.concat_ws(" | ", F.transform(row, _cell_text))
+    rows = F.flatten(F.transform(tables, lambda t: F.transform(t["rows"], line)))
+    return F.array_join(F.concat(F.transform(paragraphs, _cell_text), rows), "\n")
+
+
+def table_entries(tables: Column) -> Column:
+    """Tables as a record holds them; tables without rows are left out."""
+    def entry(t: Column) -> Column:
+        data = F.transform(t["rows"], lambda row: F.transform(row, _cell_text))
+        fields = [t["table_index"].alias("table_index"), data.alias("data"), F.size(t["rows"]).alias("rows"), t["n_cols"].alias("cols")]
+        return F.struct(*fields, F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("extraction_method"))
+
+    return F.transform(F.filter(tables, lambda t: F.size(t["rows"]) > 0), entry)
+
+
+def map_pieces(tables: Column, change) -> Column:
+    """Tables with every piece of their cells changed."""
+    rows = lambda t: F.transform(t["rows"], lambda row: F.transform(row, lambda cell: F.transform(cell, change)))
+    return F.transform(tables, lambda t: F.struct(t["table_index"].alias("table_index"), t["n_cols"].alias("n_cols"), rows(t).alias("rows")))
 
 
 def structure_text(structures: DataFrame) -> DataFrame:
@@ -169,11 +259,15 @@ def structure_text(structures: DataFrame) -> DataFrame:
     )
 
 
+def with_format(images: Column) -> Column:
+    """Image entries with the format that their first bytes name."""
+    return F.transform(images, lambda i: i.withField("image_format", image_format_column(i["image_data"])))
+
+
 def docx_images(files: DataFrame) -> DataFrame:
     """Images the body refers to; one that cannot be taken out is a row without bytes.
 
     A file that cannot be opened at all gives no image rows here; its error comes with its text.
     """
-    broken = lambda i, why: (i, None, None, None, None, why, False)
-    rows = files.select("doc_id", "content").mapInPandas(_per_file(_images, broken, _names(IMAGES)), IMAGES)
-    return image_format(rows.where("idx IS NOT NULL"))
+    rows = docx_parts(files, ("images",)).select("doc_id", F.inline("images"))
+    return image_format(rows.withColumn("ocr_applied", F.lit(False)))
