@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from veilwork.operators import dedup
+from veilwork.functions.scale import running_before
+from veilwork.operators import batch, dedup
 from veilwork.options import RedactOptions
 from veilwork.plans.catalog import CATALOG
 from veilwork.sources.tables import read_table
@@ -70,3 +71,43 @@ def test_process_once_beyond_the_broadcast_limit(spark):
     assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(small.collect()) == sorted(large.collect())
     assert sum(not r.cache_hit for r in small.collect()) == 7
+
+
+def scans(spark, name):
+    """Scans and equal exchanges that ran once, in the plan that was run."""
+    df = registry.queries()[name](spark, FOLDER)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return final.count("FileScan"), final.count("ReusedExchange")
+
+
+@pytest.mark.parametrize("name", ["file_listing", "number_tables", "ocr_gate", "report_images"])
+def test_numbers_are_given_in_one_scan(spark, name):
+    assert scans(spark, name) == (1, 1)
+
+
+def test_running_sums_of_a_hot_key_with_sparse_positions(spark):
+    """A third of the rows under one key, positions far apart, null keys, and a value that is not there."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 5}" if i % 7 else None, (i * 7919) % 4001 * 1000, None if i % 11 == 0 else i, "x" * (i % 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at long, n long, wide string").repartition(5)
+    got = running_before(df, ["k"], ["at"], F.col("n"), "before", bucket=1 << 16)
+    seen, expected = {}, []
+    for k, at, n, wide in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        expected.append((k, at, n, wide, seen.get(k, 0)))
+        seen[k] = seen.get(k, 0) + (n or 0)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_contents_stay_where_they_lie_when_few_files_are_refused(spark):
+    rows = [(f"b{i % 6}", i, b"x" * (i % 50)) for i in range(120)]
+    df = spark.createDataFrame(rows, "batch_id string, ord long, content binary").withColumn("size", F.octet_length("content").cast("long"))
+    given = dict(max_files=15, max_file=48)
+    small, large = batch.admit_documents(df, **given), batch.admit_documents(df, **given, limit=0)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("strategy=broadcast") == 1 and "Aggregate" not in plan and "Repartition" not in plan
+    assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, small.collect()))
+    assert got == sorted(map(tuple, large.collect()))
+    reasons = {r[1]: r[-1] for r in got}
+    assert sum(r is None for r in reasons.values()) == 5 * 15 and reasons[119] == "More than 15 files in the batch"
+    assert reasons[49] == "File is larger than the limit" and reasons[1] == "Another file of the batch is larger than the limit"

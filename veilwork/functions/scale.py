@@ -27,26 +27,29 @@ def running_before(
 
     A plain window over ``keys`` would sort a hot key in one task. Rows are cut by their leading
     position column into buckets instead; each bucket is summed on its own, the bucket totals
-    (one small row each, combined before the shuffle) get a running sum, and both are added. The
-    wide rows are shuffled once, on ``(keys, bucket)``, and the join reuses that partitioning.
+    (one small row each) get a running sum, and both are added. The rows are read and shuffled once, by
+    keys and bucket: totals are summed behind the same exchange that the window uses, which Spark finds
+    to be equal and runs once. For that both sides have to ask for the same columns, hence ``_same``.
     Positions are numbers and unique within a key.
     """
-    at = bucket_of or order_by[0]
-    cut = df.withColumn("_bucket", F.floor(F.col(at) / F.lit(bucket)).cast("long")).withColumn("_value", value)
-    parts = [*keys, "_bucket"]
-    inner = Window.partitionBy(*parts).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_local", F.coalesce(F.sum("_value").over(inner), F.lit(0)).cast("long"))
-    outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.floor(F.col(bucket_of or order_by[0]) / F.lit(bucket)).cast("long")
+    # One struct, which is never null: rows with null keys belong together, and the join adds no filter to one side.
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], at.alias("bucket"))
+    cut = df.withColumn("_place", place).withColumn("_value", value.cast("long")).repartition("_place")
+    inner = Window.partitionBy("_place").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
+    outer = Window.partitionBy(*[f"_place.k{i}" for i in range(len(keys))]).orderBy("_place.bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*parts)
-        .agg(F.sum("_value").cast("long").alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(outer), F.lit(0)).cast("long"))
-        .drop("_total")
+        cut.groupBy("_place")
+        .agg(F.sum("_value").alias("_total"), F.max(F.xxhash64(*df.columns)).alias("_same"))
+        .where("_same IS NOT NULL")
+        .withColumn("_offset", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
+        .drop("_total", "_same")
     )
     return (
-        local.join(offsets, parts, "left")
+        local.join(offsets, "_place", "left")
         .withColumn(name, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop("_bucket", "_value", "_local", "_offset")
+        .drop("_place", "_value", "_local", "_offset")
     )
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from veilwork import patterns
 from veilwork.functions import text
-from veilwork.functions.scale import number_rows
+from veilwork.functions.scale import BROADCAST_LIMIT_BYTES, lookup_join, number_rows
 from veilwork.operators.spans import Tagger
 from veilwork.options import RedactOptions
+from veilwork.session import materialized
 
 
 def file_listing(df: DataFrame) -> DataFrame:
@@ -79,13 +80,18 @@ def batch_verdict(
 
 
 def admit_documents(
-    df: DataFrame, max_files: int | None = None, max_file: int | None = None, max_batch: int | None = None
+    df: DataFrame,
+    max_files: int | None = None,
+    max_file: int | None = None,
+    max_batch: int | None = None,
+    limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Every row, with ``admitted`` and, where it is not, the ``reason``.
 
     Limits are off unless they are given. Batches over a size limit are refused whole, files past
-    ``max_files`` on their own. ``ord`` is unique within a batch. Places are found on (batch_id,
-    ord, size) alone; contents move for the last join at most.
+    ``max_files`` on their own. ``ord`` is unique within a batch. The verdict is found on (batch_id,
+    ord, size) alone; the refused places are a lookup, broadcast where their measured size allows it, so
+    contents stay where they lie unless very many files are refused.
     """
     if max_files is None and max_file is None and max_batch is None:
         return df.withColumns({"admitted": F.lit(True), "reason": F.lit(None).cast("string")})
@@ -98,10 +104,11 @@ def admit_documents(
         .when(~F.col("ok") & (F.col("n_oversized") > 0), "Another file of the batch is larger than the limit")
         .when(~F.col("ok"), "Batch is larger than the limit")
     )
-    refused = placed.join(verdict, "batch_id").select("batch_id", "ord", reason.alias("reason")).where("reason IS NOT NULL")
-    return df.join(refused, ["batch_id", "ord"], "left").select(
-        *df.columns, F.col("reason").isNull().alias("admitted"), "reason"
-    )
+    judged = placed.join(verdict, "batch_id").select("batch_id", "ord", reason.alias("reason"))
+    refused = materialized(judged.where("reason IS NOT NULL"), "refused")
+    place = F.col("ord").cast("string").alias("_place")
+    found = lookup_join(df.withColumn("_place", place), refused, ["batch_id", "ord"], "_place", F.lit(128), limit=limit)
+    return found.select(*df.columns, F.col("reason").isNull().alias("admitted"), "reason")
 
 
 def ordered_results(results: DataFrame) -> DataFrame:

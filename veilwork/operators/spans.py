@@ -11,6 +11,10 @@ from veilwork import patterns
 from veilwork.functions import regex
 from veilwork.operators.pii import remove_pii_regex
 
+RUN = 128  # spans
+TEXT_BLOCK = 4096  # code points
+FEW = 16  # spans that are cut from the whole text
+
 # A tagger gets the regex-cleaned documents and returns either the same rows with a ``spans``
 # column, array<struct<start,end,label>> (no shuffle), or separate (id, start, end, label) rows.
 Tagger = Callable[[DataFrame], DataFrame]
@@ -27,20 +31,66 @@ def redact_span_array(c: Column, spans: Column, labels: Sequence[str] = patterns
         F.filter(spans, lambda s: s["label"].isin(*labels) & s["start"].isNotNull() & s["end"].isNotNull()),
         lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")),
     )
-    wanted = F.sort_array(F.array_distinct(offsets))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("last"))
+    redacted = _let(F.sort_array(offsets), lambda ordered: _let(_distinct(ordered), lambda wanted: _cut(c, wanted)))
+    return F.when(c.isNull() | spans.isNull() | (F.size(spans) == 0), c).otherwise(redacted)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _distinct(ordered: Column) -> Column:
+    return F.filter(ordered, lambda s, i: (i == 0) | (F.get(ordered, i - 1) != s))
+
+
+def _furthest_before(ends: Column) -> Column:
+    """For each place the largest end before it, at least 0: within its run of ``RUN`` places, and over the runs before."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / RUN).cast("int")), lambda k: F.slice(ends, k * RUN + 1, F.lit(RUN)))
+
+    def largest(values: Column, n: Column) -> Column:
+        return F.greatest(F.array_max(F.slice(values, F.lit(1), n)), F.lit(0))
+
+    def within(run: Column, before: Column) -> Column:
+        return F.transform(run, lambda _, i: F.greatest(before, largest(run, i)))
+
+    def over(held: Column) -> Column:
+        return _let(
+            F.transform(held, F.array_max),
+            lambda tops: F.flatten(F.transform(held, lambda run, k: _let(largest(tops, k), lambda before: within(run, before)))),
+        )
+
+    return F.when(F.size(ends) > 0, _let(runs, over)).otherwise(F.array().cast("array<int>"))
+
+
+def _cut(c: Column, wanted: Column) -> Column:
+    """Text between the spans, a marker for each span, as one string.
+
+    Beyond a few spans the text is held in blocks, so a piece is taken from the blocks it lies in and not counted from
+    the start. Work grows with the number of spans and the length of the text, not with their product.
+    """
+    last_block = F.floor(F.greatest(F.char_length(c) - 1, F.lit(0)) / TEXT_BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last_block), lambda k: F.substring(c, k * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)))
+
+    def between(text: Column, begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / TEXT_BLOCK).cast("int"), F.floor((end - 1) / TEXT_BLOCK).cast("int")
+        held = F.array_join(F.slice(text, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(end > begin, F.substring(held, begin - first * TEXT_BLOCK + 1, end - begin)).otherwise("")
+
+    def taken(begin: Column, end: Column) -> Column:
+        return F.when(end > begin, F.substring(c, begin + 1, end - begin)).otherwise("")
 
-    def step(acc, s):
-        kept = F.substring(c, acc["last"] + 1, F.greatest(s["start"] - acc["last"], F.lit(0)))
-        pieces = F.array(kept, F.lit(patterns.PII_MARKER))
-        return F.struct(F.concat(acc["out"], pieces).alias("out"), F.greatest(acc["last"], s["end"]).alias("last"))
+    def joined(take: Callable[[Column, Column], Column], furthest: Column) -> Column:
+        kept = F.transform(wanted, lambda s, i: take(F.get(furthest, i), F.greatest(s["start"], F.lit(0))))
+        end = F.coalesce(F.array_max(F.transform(wanted, lambda s: s["end"])), F.lit(0))
+        rest = take(F.greatest(end, F.lit(0)), F.char_length(c))
+        return F.concat(F.array_join(F.transform(kept, lambda k: F.concat(k, F.lit(patterns.PII_MARKER))), ""), rest)
 
-    def joined(acc):
-        rest = F.substring(c, acc["last"] + 1, F.char_length(c))
-        return F.concat(F.array_join(acc["out"], ""), rest)
+    def swept(furthest: Column) -> Column:
+        in_blocks = _let(blocks, lambda text: joined(lambda begin, end: between(text, begin, end), furthest))
+        return F.when(F.size(wanted) <= FEW, joined(taken, furthest)).otherwise(in_blocks)
 
-    folded = F.aggregate(wanted, start, step, joined)
-    return F.when(spans.isNull() | (F.size(spans) == 0), c).otherwise(folded)
+    return _let(_furthest_before(F.transform(wanted, lambda s: s["end"])), swept)
 
 
 def redact_spans(
