@@ -126,3 +126,17 @@ def test_word_hashes_follow_words_only():
     repeat = Words([b"p q r s p q r"])
     grams = runs(repeat.hashes(), 3)
     assert grams[0] == grams[4] and len(np.unique(grams)) == 4
+
+
+def test_words_that_differ_in_structure_only_are_different(spark):
+    """A word and its complement, which sums of powers modulo 2**64 can't tell apart, share no window."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([*(f"w{i}" for i in range(6)), middle, *(f"v{i}" for i in range(6))]) for middle in (x, y, x)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.digest(table).collect()} == {0: 0, 1: 0, 2: 13}
+    for which in (0, 1):
+        hashes = Words([x.encode(), y.encode(), b"ab ab", b"abc\0", b"abc", b"x" * 1_000_000]).hashes(which)
+        assert len(hashes) == 7 and len(set(hashes.tolist())) == 6

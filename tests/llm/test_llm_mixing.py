@@ -113,9 +113,13 @@ def test_common_lines_go_and_depleted_documents_too(spark):
     assert line_quality.judge(empty(spark)).count() == 0 and line_quality.clean(empty(spark)).count() == 0
 
 
-def test_copies_count_once_and_different_texts_each(spark):
+def test_copies_and_different_texts_count_by_document(spark):
+    """A page repeated over a host loses its lines; one repeated on fifty documents, or under one id, does not."""
     copies = [(i, "a page repeated as it is " + " ".join(word(4, k) for k in range(60)), "h") for i in range(80)]
     judged = line_quality.judge(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect()
+    assert all(r.words_removed == r.n_words and not r.kept for r in judged) and len(judged) == 80
+    few = copies[:50] + [(7, copies[0][1], "h")] * 30
+    judged = line_quality.judge(spark.createDataFrame(few, "doc_id long, text string, source string")).collect()
     assert all(r.words_removed == 0 and r.kept for r in judged)
     varied = [(i, f"a line of all\n{word(5, i)} {text}", host) for i, text, host in copies]
     judged = line_quality.judge(spark.createDataFrame(varied, "doc_id long, text string, source string")).collect()

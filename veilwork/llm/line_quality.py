@@ -49,10 +49,10 @@ def line_hashes(text: str) -> Column:
 
 
 def common_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line): hashed lines in more than ``max_docs`` distinct texts of a host."""
-    lines = docs.select(F.col(host).alias("host"), F.xxhash64("text").alias("version"), F.explode(F.array_distinct(line_hashes("text"))).alias("line"))
+    """(host, line): hashed lines in more than ``max_docs`` documents of a host; rows that share a doc_id are one."""
+    lines = docs.select(F.col(host).alias("host"), "doc_id", F.explode(F.array_distinct(line_hashes("text"))).alias("line"))
     once = lines.where("line IS NOT NULL").distinct()
-    return once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
+    return once.groupBy("host", "line").agg(F.count("doc_id").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
 def _within(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

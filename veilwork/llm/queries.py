@@ -43,7 +43,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(co
  full_ AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
    trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_ GROUP BY doc_id),
- common AS (SELECT source, norm FROM full_ GROUP BY source, norm HAVING count(DISTINCT t) > 50),
+ common AS (SELECT source, norm FROM full_ GROUP BY source, norm HAVING count(DISTINCT doc_id) > 50),
  gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS words_removed FROM full_ f WHERE EXISTS (SELECT 1 FROM common c WHERE c.norm = f.norm AND c.source IS NOT DISTINCT FROM f.source) GROUP BY doc_id),
  base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

@@ -27,16 +27,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilwork.llm.tables import held_out, written
 
 MAX_LABELLED = 40_000
-MAX_EXCEPTIONS = 20_000
-MAX_CONTEXTS = 4_096
 LEAST_DOCS = 4
 LEAST_RATIO = 20.0
 STEMS = (4, 5, 6)
@@ -141,8 +139,12 @@ def build_automaton(words: list[str], stems: list[str], fuzzy_from: int = FUZZY_
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    yield from _runs(batch.column("text").to_pylist())
+
+
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Runs of about CHUNK_CHARS characters: the first row of each, and its texts; null is empty."""
-    texts, begin, size = batch.column("text").to_pylist(), 0, 0
+    begin, size = 0, 0
     for i, text in enumerate(texts):
         texts[i] = text or ""
         if i > begin and size + len(texts[i]) > CHUNK_CHARS:
@@ -319,8 +321,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     seen = train.mapInArrow(_context_counts(shared), "word string, label int").groupBy("word").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
     )
-    seen = seen.orderBy(F.col("word").isNotNull(), F.desc(F.col("toxic") + F.col("clean")), "word").limit(MAX_CONTEXTS + 1).collect()
-    model.contexts = _context_weights({r["word"]: (r["toxic"], r["clean"]) for r in seen})
+    model.contexts = _context_weights({r["word"]: (r["toxic"], r["clean"]) for r in seen.collect()})  # words of max_labelled rows
 
     shared = spark.sparkContext.broadcast(model)
     rows = train.mapInArrow(_features(shared), "toxic int, x0 double, x1 double, x2 double, x3 double").toPandas()  # max_labelled rows
@@ -344,7 +345,7 @@ def _exceptions(counts: DataFrame, words: list[str], model: Model, n_toxic: int,
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     clean = counts.where("clean > 0").where(F.substring("word", 1, 1).isin(starts)).where(odds < LEAST_RATIO)
     near_words = clean.select("word", "clean").mapInArrow(near, "word string, clean long")
-    return frozenset(r["word"] for r in near_words.orderBy(F.desc("clean"), "word").limit(MAX_EXCEPTIONS).collect())
+    return frozenset(r["word"] for r in near_words.collect())  # words of max_labelled rows
 
 
 def _context_weights(counts: dict[str | None, tuple[int, int]]) -> dict[str, float]:
@@ -361,27 +362,32 @@ def _context_weights(counts: dict[str | None, tuple[int, int]]) -> dict[str, flo
     return out
 
 
-def _scores(model):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [features(texts, model.value) for _, texts in _texts(batch)]
-            x = np.concatenate(parts) if parts else np.zeros((0, 4))
-            w = model.value.weights
-            score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield batch.drop_columns(["text"]).append_column("_score", pa.array(score))
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(_row, _score): rows stay with Spark; a task sends each text once and gets numbers back."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    return task
+    @F.pandas_udf("double")
+    def scores(text: pd.Series) -> pd.Series:
+        parts = [features(texts, sent.value) for _, texts in _runs(text.tolist())]
+        x = np.concatenate(parts) if parts else np.zeros((0, 4))
+        w = sent.value.weights
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+
+    return docs.select(F.struct(*docs.columns).alias("_row"), scores(F.coalesce("text", F.lit(""))).alias("_score"))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs``, ``score`` and ``predicted``."""
     own = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(F.struct(*own).alias("_row"), "text")
-    schema = T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())])
-    out = rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    out = _scored(docs.select(*own), model)
     return out.select(*[F.col("_row")[c].alias(c) for c in own], F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, as they are, that score below the threshold."""
+    return _scored(docs, learn(docs, labels)).where(F.col("_score") < threshold).select("_row.*")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, learn(docs, labels))
 

@@ -1,7 +1,8 @@
 """Words of many documents at once, as arrays: bounds, 64-bit hashes and hashes of word runs.
 
-A hash of bytes i..j is a difference of prefix sums of table[byte] * P**position modulo 2**64, times
-P**-i. Sums over words are formed the same way, so every window of a document is one subtraction.
+A word's hash is a sum over its eights of bytes, each mixed with its place, so no two words are alike by their
+structure. A run of words i..j is a difference of prefix sums of hash * P**position modulo
+2**64, times P**-i, so every window of a document is one subtraction.
 """
 
 from __future__ import annotations
@@ -30,9 +31,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=2)
-def _bytes_table(which: int) -> np.ndarray:
-    return np.random.default_rng(1000 + which).integers(1, 1 << 63, 256, dtype=np.uint64)
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the bytes from each start to its end."""
+    size = np.asarray(end) - start
+    steps = np.maximum((size + 7) // 8, 1)
+    first = np.cumsum(steps) - steps
+    step = np.arange(int(steps.sum())) - np.repeat(first, steps)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    value = eights[np.repeat(start, steps) + 8 * step]
+    left = np.repeat(size, steps) - 8 * step
+    short = left < 8
+    value[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    mixed = mix(value ^ mix((step.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASES[which])))
+    sums = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
+    return mix(sums + size.astype(np.uint64) * np.uint64(_BASES[1 - which]))
 
 
 @lru_cache(maxsize=8)
@@ -84,9 +97,7 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(self.n)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        sums = prefix(_bytes_table(which)[self.buf], which)
-        raw = (sums[self.end] - sums[self.start]) * powers(which, True, len(self.buf))[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.buf, self.start, self.end, which)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
