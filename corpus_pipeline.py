@@ -11,8 +11,7 @@ from veilwork.llm.tables import documents, labels, scratch
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
-    scored = toxicity.toxicity(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"), labels(spark, sf_dir))
-    return scored.where("predicted = 0").select("doc.*")
+    return toxicity.accepted(docs, labels(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
