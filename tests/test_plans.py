@@ -31,7 +31,7 @@ def test_no_cross_join_and_python_only_for_office_files(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-    assert ("MapIn" in text) == name.startswith(("docx_", "batch_results", "batch_status"))
+    assert ("MapIn" in text) == name.startswith(("docx_", "batch_results", "batch_status", "anonymize_from_table"))
     assert "SinglePartition" not in text
 
 
