@@ -10,7 +10,7 @@ from llm_fixtures import docs, empty, rows
 from tokenizers import Tokenizer
 
 from corpus_pipeline import STAGES, run
-from veilwork.llm import ball_tree, packing, wavelet
+from veilwork.llm import ball_tree, packing, tokens, wavelet
 from veilwork.llm.tokens import public_path
 
 
@@ -20,6 +20,22 @@ def encoded(name, end):
     return [(r[0], tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [end]) for r in rows()]
 
 
+@pytest.mark.parametrize("kept", [1 << 20, 40])
+@pytest.mark.parametrize("name, end, words", [(packing.TOKENIZER, packing.END, True), (wavelet.TOKENIZER, wavelet.END, False)])
+def test_encoder_gives_the_tokenizers_ids(monkeypatch, name, end, words, kept):
+    monkeypatch.setattr(tokens, "KEPT", kept)
+    rng, own, tool = random.Random(9), Tokenizer.from_file(public_path(name)), tokens.Encoder(public_path(name), end, words)
+    own.encode_special_tokens = True
+    parts = [" ", "  ", "\n", "\t ", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "it's", "I'LL", "12", "x1", "...", "<|endoftext|>", "Äö", "e\u0301", "\u0301", "日本", "🙂", "a" * 100, "the", "\0"]
+    for n in (0, 1, 2, 30):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, n))) for _ in range(60)]
+        ids, bounds = tool.encode([t.encode() for t in texts])
+        assert len(bounds) == len(texts) + 1 and bounds[0] == 0
+        for text, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == own.encode(text, add_special_tokens=False).ids + [end], text
+    assert tool.encode([])[0].tolist() == []
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -1,22 +1,50 @@
-"""Token ids of many texts with a public tokenizer, encoding each distinct piece of text once in a worker."""
+"""Token ids of many texts with a public tokenizer, encoding each distinct piece of text once in a worker.
+
+Pieces are found and told apart as arrays, by the 64-bit hashes of ``words``: Python sees only pieces that are new.
+"""
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
+
+from veilwork.llm.words import Words, span_hashes
 
-# Distinct pieces a worker keeps; further ones are encoded again in each chunk.
-KEPT = 250_000
-_RUNS = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+# Distinct pieces a worker keeps, and bytes of the longest of them; beyond, the ones of the last chunk are kept.
+KEPT = 1 << 20
+LONGEST = 64
 # Space characters beyond ASCII in front of ASCII ones: there a cut would split a run of space.
 _MIXED = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\t-\r ]")
 
 
-def spaced_runs(text: bytes) -> list[bytes]:
-    """Words with the space before them: byte-level pre-tokenizers never join across such a cut."""
-    return [text] if _MIXED.search(text) else _RUNS.findall(text)
+def word_pieces(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words without the space between them: begin and end of each, and where each text's ones begin."""
+    return words.start, words.end, words.first
+
+
+def spaced_pieces(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with the space before them, and space after the last: byte-level pre-tokenizers never join across such a cut."""
+    begin, end, first, counts = np.empty_like(words.start), words.end, words.first[:-1], words.counts
+    begin[1:] = end[:-1]
+    held = counts > 0
+    begin[first[held]] = words.at[:-1][held]
+    close = words.at[1:] - 1
+    last = words.at[:-1].copy()
+    last[held] = end[words.first[1:][held] - 1]
+    rest = close > last
+    whole = np.fromiter((_MIXED.search(t) is not None for t in texts), bool, len(texts))
+    inner = ~np.repeat(whole, counts)
+    rest, last = rest | whole, np.where(whole, words.at[:-1], last)
+    # The piece after a text's words goes behind them.
+    place = words.first[1:][rest]
+    kept = np.concatenate([[0], np.cumsum(inner)])
+    begin, end = np.insert(begin[inner], kept[place], last[rest]), np.insert(end[inner], kept[place], close[rest])
+    return begin, end, np.concatenate([[0], np.cumsum(np.where(whole, 0, counts) + rest)])
 
 
 class Encoder:
@@ -25,47 +53,64 @@ class Encoder:
     def __init__(self, path: str, end: int, words: bool):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = bytes.split if words else spaced_runs
-        self.known: dict[bytes, int] = {}
-        self.ids = [np.array([end], np.uint32)]
-        self.flat, self.at = self.ids[0], np.array([0, 1])
-
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        self.pieces, self.end = word_pieces if words else spaced_pieces, end
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces by hash, sorted; the number of each tells where its ids begin."""
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each known piece, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], -1)
+
+    def _encode(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blob = buf.tobytes()
+        pieces = [blob[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the bounds of each text's ids."""
-        cut = [self.cut(t) for t in texts]
-        pieces = [p for own in cut for p in own]
-        new = list(set(pieces).difference(self.known))
-        flat, at, known = self.flat, self.at, self.known
-        if new:
-            ids, sizes = self._encode(new)
-            flat = np.concatenate([flat, ids])
-            at = np.concatenate([at, at[-1] + np.cumsum(sizes)])
-            numbers = dict(zip(new, range(len(self.at) - 1, len(at) - 1)))
-            if len(known) + len(new) <= KEPT:
-                known.update(numbers)
-                self.flat, self.at = flat, at
-                numbers = known
-            else:
-                numbers = numbers | {p: known[p] for p in set(pieces).intersection(known)}
-        else:
-            numbers = known
-        counts = np.fromiter(map(len, cut), np.int64, len(cut)) + 1
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        which = np.zeros(bounds[-1], np.int64)  # 0 is the end id
-        inner = np.ones(bounds[-1], bool)
-        inner[bounds[1:] - 1] = False
-        which[inner] = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
-        size = at[which + 1] - at[which]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(at[which] - upto[:-1], size) + np.arange(upto[-1])
-        return flat[take], upto[bounds]
+        words = Words(texts)
+        begin, end, first = self.pieces(words, texts)
+        which, distinct = pd.factorize(span_hashes(words.buf, begin, end))
+        at = np.empty(len(distinct), np.int64)
+        at[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the first place of each
+        number = self._find(distinct)
+        new = np.flatnonzero(number < 0)
+        ids, bounds = self.ids, self.at
+        if len(new):
+            more, sizes = self._encode(words.buf, begin[at[new]], end[at[new]])
+            number[new] = np.arange(len(new)) + len(bounds) - 1
+            ids, bounds = np.concatenate([ids, more]), np.concatenate([bounds, bounds[-1] + np.cumsum(sizes)])
+            short = (end - begin)[at[new]] <= LONGEST
+            self._remember(distinct[new][short], more[np.repeat(short, sizes)], sizes[short])
+        # The end id follows the pieces of each text.
+        number = np.append(number, len(bounds) - 1)
+        ids, bounds = np.append(ids, np.uint32(self.end)), np.append(bounds, bounds[-1] + 1)
+        turn = np.insert(which, first[1:], len(distinct))
+        size = np.diff(bounds)[number]
+        run = size[turn]
+        upto = np.concatenate([[0], np.cumsum(run)])
+        take = np.repeat(bounds[number][turn] - upto[:-1], run) + np.arange(upto[-1])
+        return ids[take], upto[first + np.arange(len(first))]
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > KEPT:
+            self._forget()
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.number = np.insert(self.hashes, place, hashes[order]), np.insert(self.number, place, order + len(self.at) - 1)
+        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
 
 @lru_cache(maxsize=4)
