@@ -15,7 +15,7 @@ from veilwork import patterns
 from veilwork.functions import scale
 from veilwork.operators import batch, dedup, fragments, images, output, pages, pii, spans, status, tables
 from veilwork.options import RedactOptions, validate_options
-from veilwork.plans.process import process_documents, process_pages, redact_document
+from veilwork.plans.process import PAGE_HELPERS, process_documents, process_pages, redact_document
 from veilwork.sources.files import route_format
 
 AS_OF = datetime(2024, 5, 6, 7, 8, 9)
@@ -346,6 +346,36 @@ def test_process_pages(spark):
     assert run(header_ratio=0.0)[0][1][0] == "head\n| a | b |\n[PII_REMOVED]\nfoot"
 
 
+def test_page_requests_with_awkward_rows(spark):
+    """Null ids, pages and places, rows of unknown documents, repeats, other columns of the documents; the cap of images."""
+    docs = spark.createDataFrame(
+        [(1, "a.pdf", "x"), (None, "n.pdf", "y"), (None, "n.pdf", "y"), (3, "c.pdf", None)], "doc_id long, filename string, _text string"
+    )
+    blocks = spark.createDataFrame(
+        [(1, 0, 0, "one"), (1, 0, 1, None), (1, 0, 1, ""), (1, None, 0, "first"), (None, 0, 0, "lost"), (9, 0, 0, "unknown")],
+        "doc_id long, page int, pos int, text string",
+    ).withColumns({"y0": F.lit(50.0), "y1": F.lit(55.0), "page_y0": F.lit(0.0), "page_height": F.lit(100.0)})
+    pics = spark.createDataFrame(
+        [(1, 0, x, x, x, x != 2, x != 3) for x in range(6)] + [(1, 0, 5, 9, 9, True, True), (1, None, None, 7, 7, True, True), (None, 0, 0, 0, 0, True, True)],
+        "doc_id long, page int, xref int, img_idx int, idx int, has_data boolean, likely boolean",
+    ).withColumn("image_data", F.when(F.col("has_data"), F.lit("x").cast("binary"))).drop("has_data")
+    plain = spark.createDataFrame([(3, None, "broken"), (None, "lost", None)], "doc_id long, text string, error string")
+    read = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, None, "z")], "doc_id long, idx int, extracted_text string")
+    opts = RedactOptions(extract_json=True, max_images=2)
+    done = process_pages(docs, blocks, opts, AS_OF, None, pics, plain, read)
+    assert done.documents.columns[:3] == ["doc_id", "filename", "_text"] and not set(PAGE_HELPERS) & set(done.documents.columns)
+    got = sorted(((r.doc_id, r.text, r.error, r["_text"]) for r in done.documents.collect()), key=str)
+    unread = "Unable to read PDF: "
+    assert got == [(1, "first\none", None, "x"), (3, None, unread + "broken", None), (None, None, unread + "no text", "y"), (None, None, unread + "no text", "y")]
+    record = json.loads(done.records.where("json IS NOT NULL").first().json)
+    cap, why = patterns.OCR_REASONS["cap"], patterns.OCR_REASONS
+    assert [i["extracted_text"] for i in record["content"]["images"]] == ["a", "", cap, cap, cap, cap, cap]
+    free = process_pages(docs, blocks, RedactOptions(extract_json=True), AS_OF, None, pics).records.where("json IS NOT NULL").first()
+    assert [i["extracted_text"] for i in json.loads(free.json)["content"]["images"]] == ["", "", why["no_data"], why["unlikely"], "", "", ""]
+    none = process_pages(docs.limit(0), blocks, opts, AS_OF, None, pics, plain, read)
+    assert none.documents.count() == none.records.count() == 0
+
+
 def test_write_json_records(spark, tmp_path):
     records = spark.createDataFrame([(1, '{"a":"é"}'), (2, None)], "doc_id long, json string")
     output.write_json_records(records, str(tmp_path / "out"))

@@ -111,3 +111,13 @@ def test_contents_stay_where_they_lie_when_few_files_are_refused(spark):
     reasons = {r[1]: r[-1] for r in got}
     assert sum(r is None for r in reasons.values()) == 5 * 15 and reasons[119] == "More than 15 files in the batch"
     assert reasons[49] == "File is larger than the limit" and reasons[1] == "Another file of the batch is larger than the limit"
+
+
+@pytest.mark.parametrize("name, scans", [("page_records", 5), ("page_documents", 3)])
+def test_page_requests_read_each_input_once(spark, name, scans):
+    """One union, one exchange by document; tables and images are not read where no record is asked for."""
+    text = plan(spark, name)
+    assert text.count("FileScan") == scans and "Join" not in text and "Window" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, _alone", text)) == 1
+    dealt = len(re.findall(r"Exchange hashpartitioning\(\w+#\d+L, \d+\), REPARTITION_BY_NUM", text))
+    assert text.count("Exchange hashpartitioning") == 1 + dealt

@@ -6,6 +6,8 @@ returns. Payload bytes are never grouped or sorted beyond what an operator needs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +116,31 @@ def ocr_runs(opts: RedactOptions) -> bool:
     return opts.ocr_enabled and opts.ocr_available and not opts.throughput
 
 
-def ocr_entries(images: Column, opts: RedactOptions, read: Column | None = None) -> Column:
+def _has_bytes(image: Column) -> Column:
+    return F.coalesce(F.octet_length(image["image_data"]), F.lit(0)) > 0
+
+
+def ocr_entries(
+    images: Column,
+    opts: RedactOptions,
+    read: Column | None = None,
+    has_data: Callable[[Column], Column] = _has_bytes,
+    likely: Callable[[Column], Column] = lambda image: F.lit(True),
+) -> Column:
     """Image entries of one document, in order, through the gate: the same as ``ocr_apply`` on rows.
 
-    ``read`` maps places to the texts a recogniser found; ``eligible`` stays for counting.
+    ``read`` maps places to the texts a recogniser found; ``eligible`` stays for counting. The cap is one
+    place, behind which no image is read, so the work is linear in the images.
     """
-    has_data = lambda i: F.coalesce(F.octet_length(i["image_data"]), F.lit(0)) > 0
-
-    def entry(image: Column, at: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(images, F.lit(1), at.cast("int")), has_data)) if opts.max_images is not None else None
-        reason = ocr_reason(opts, has_data(image), F.lit(True), earlier)
+    capped = None
+    if opts.max_images:
+        readable = F.transform(images, lambda image, at: F.when(has_data(image) & likely(image), at))
+        capped = F.get(F.filter(readable, lambda at: at.isNotNull()), F.lit(opts.max_images - 1))
+
+    def entry(pair: Column, at: Column) -> Column:
+        image = pair["image"]
+        earlier = F.lit(0) if capped is None else F.when(at > pair["capped"], opts.max_images).otherwise(0)
+        reason = ocr_reason(opts, has_data(image), likely(image), earlier)
         text_of = F.try_element_at(read, image["idx"]) if read is not None else F.lit(None).cast("string")
         return (
             image.withField("extracted_text", F.coalesce(text_of, reason, F.lit("")))
@@ -131,7 +148,17 @@ def ocr_entries(images: Column, opts: RedactOptions, read: Column | None = None)
             .withField("eligible", reason.isNull())
         )
 
-    return F.transform(images, entry)
+    # The cap is worked out once for the array and repeated beside each image.
+    caps = F.array_repeat(F.lit(None).cast("int") if capped is None else capped, F.coalesce(F.size(images), F.lit(0)))
+    return F.transform(F.zip_with(images, caps, lambda i, c: F.named_struct(F.lit("image"), i, F.lit("capped"), c)), entry)
+
+
+def first_of_runs(ordered: Column, same: Callable[[Column], Column]) -> Column:
+    """Of a sorted array the first entry of each run of entries that ``same`` maps alike."""
+    before = F.slice(F.concat(F.array(F.lit(None)), ordered), F.lit(1), F.size(ordered))
+    pairs = F.zip_with(ordered, before, lambda i, b: F.named_struct(F.lit("own"), i, F.lit("before"), b))
+    firsts = F.filter(pairs, lambda p: p["before"].isNull() | ~same(p["own"]).eqNullSafe(same(p["before"])))
+    return F.transform(firsts, lambda p: p["own"])
 
 
 def ocr_apply(

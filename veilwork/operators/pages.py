@@ -25,16 +25,20 @@ def clip_margins(blocks: DataFrame, ratio: float = patterns.HEADER_RATIO) -> Dat
     return blocks.where(inside_margins(ratio))
 
 
-def page_texts(blocks: DataFrame, ratio: float = patterns.HEADER_RATIO, id_col: str = "doc_id") -> DataFrame:
-    """(id, page, text): the blocks inside the margins of each page, in order; empty pages stay.
+def page_block(ratio: float = patterns.HEADER_RATIO) -> Column:
+    """(pos, text) of a block inside the margins that has text, else NULL."""
+    return F.when(inside_margins(ratio) & (F.coalesce("text", F.lit("")) != ""), F.struct("pos", "text"))
 
-    Rows are dealt by document, so that the text of the document needs no further shuffle.
-    """
-    inside = blocks.withColumn("text", F.when(inside_margins(ratio), F.col("text"))).select(id_col, "page", "pos", "text")
-    block = F.when(F.coalesce("text", F.lit("")) != "", F.struct("pos", "text"))
-    ordered = F.sort_array(F.collect_list(block))
-    joined = F.array_join(F.transform(ordered, lambda b: b["text"]), "\n")
-    return inside.repartition(id_col).groupBy(id_col, "page").agg(joined.alias("text"))
+
+def joined_blocks(block: str) -> Column:
+    """Aggregate: the text of a page from its ``page_block`` column, in order; '' for a page without text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda b: b["text"]), "\n")
+
+
+def joined_pages(text: str = "text", order: str = "page") -> Column:
+    """Aggregate: the text of a document from its pages, in order; empty pages are left out."""
+    page = F.when(F.coalesce(text, F.lit("")) != "", F.struct(F.col(order).alias("at"), F.col(text).alias("text")))
+    return F.array_join(F.transform(F.sort_array(F.collect_list(page)), lambda p: p["text"]), "\n")
 
 
 def assemble_pages(pages: DataFrame, id_col: str = "doc_id", order: str = "page") -> DataFrame:
@@ -44,9 +48,7 @@ def assemble_pages(pages: DataFrame, id_col: str = "doc_id", order: str = "page"
     because they become one cell; files are bounded by the admission limit, and nothing else is
     grouped.
     """
-    page = F.when(F.coalesce("text", F.lit("")) != "", F.struct(F.col(order).alias("at"), F.col("text")))
-    ordered = F.sort_array(F.collect_list(page))
-    return pages.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
+    return pages.groupBy(id_col).agg(joined_pages("text", order).alias("text"))
 
 
 def read_with_fallback(full: DataFrame, text_only: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,10 +9,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwork import patterns
 from veilwork.operators import fragments as frag
 from veilwork.operators import output, pages, pii, spans, terms
-from veilwork.operators.images import dedupe_page_images, ocr_apply, ocr_entries
-from veilwork.operators.tables import gate_table_pages, number_tables
+from veilwork.operators.images import first_of_runs, ocr_apply, ocr_entries
+from veilwork.operators.tables import has_table_column
 from veilwork.options import RedactOptions, validate_options
 from veilwork.sources import docx
 from veilwork.sources.files import route_format
@@ -75,8 +76,10 @@ def process_documents(
 
 
 def _finished(
-    docs: DataFrame, opts: RedactOptions, as_of: datetime, tables: DataFrame | None, images: DataFrame | None, tagger: spans.Tagger | None
+    docs: DataFrame, opts: RedactOptions, as_of: datetime, tables: DataFrame | Column | None, images: DataFrame | Column | None,
+    tagger: spans.Tagger | None, helpers: Sequence[str] = (),
 ) -> Processed:
+    """``helpers`` are columns of ``docs`` that tables and images are made from and the documents go without."""
     validate_options(opts)
     routed = route_format(docs)
     if "file_size" not in routed.columns:
@@ -84,12 +87,12 @@ def _finished(
     accepted = routed.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
     done = output.output_name(output.output_route(redact_document(accepted, opts, tagger), opts), opts)
     if not opts.extract_json:
-        return Processed(done, None)
+        return Processed(done.drop(*helpers), None)
     if opts.scope == "all":
-        tables = redact_tables(tables, opts) if tables is not None else None
-        images = redact_image_texts(images, opts) if images is not None else None
+        tables = redact_tables(tables, opts) if isinstance(tables, DataFrame) else tables
+        images = redact_image_texts(images, opts) if isinstance(images, DataFrame) else images
     # Only documents that were accepted; their texts are not looked at to tell.
-    return Processed(done, output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, images))
+    return Processed(done.drop(*helpers), output.json_record(done.where(F.col("error").isNull()), opts, as_of, tables, images))
 
 
 def process_pages(
@@ -113,20 +116,133 @@ def process_pages(
     gate; ``recognised`` holds the texts read from them. ``pdf_engine`` tells which read was used.
     """
     validate_options(opts)
-    texts = pages.page_texts(blocks, opts.header_ratio)
-    full = pages.assemble_pages(texts).withColumn("error", F.lit(None).cast("string"))
-    ids = docs.select("doc_id")
-    second = ids.join(plain.select("doc_id", "text", "error"), "doc_id", "left") if plain is not None else ids.withColumns(
-        {"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
+    kept = opts.extract_json
+    read = read_pages(
+        docs, blocks, opts.header_ratio, tables if kept and not opts.throughput else None, images if kept else None, plain,
+        recognised if kept and images is not None else None,
     )
-    read = docs.drop("text", "error").join(pages.read_with_fallback(full, second), "doc_id", "left")
+    found, shown = F.col("_tables_found") if kept and tables is not None and not opts.throughput else None, None
+    if found is not None and opts.scope == "all":
+        found = F.transform(found, lambda t: t.withField("data", F.transform(t["data"], lambda row: F.transform(row, lambda c: redact_column(c, opts)))))
+    if images is not None:
+        gated = ocr_entries(F.col("_images_found"), opts, F.col("_recognised"), lambda i: i["has_data"], lambda i: i["likely"])
+        shown = output.image_entries(_redacted_images(gated, opts))
+    return _finished(read, opts, as_of, found, shown, tagger, PAGE_HELPERS)
+
+
+PAGE_HELPERS = ("_tables_found", "_images_found", "_recognised")
+_IMAGE_FACTS = {"type": "unknown", "description": "", "image_format": "unknown"}
+
+
+def read_pages(
+    docs: DataFrame,
+    blocks: DataFrame,
+    ratio: float,
+    tables: DataFrame | None = None,
+    images: DataFrame | None = None,
+    plain: DataFrame | None = None,
+    recognised: DataFrame | None = None,
+) -> DataFrame:
+    """``docs`` with text, pdf_engine, error and ``PAGE_HELPERS``, all rows of a document gathered at once.
+
+    The inputs are one union, dealt by document in one exchange: each is read once, each row moves once. In it
+    blocks become the texts of pages, tables of pages with a sign of a table and the first image of each page and xref
+    are kept, and pages become the document. What meets in one task is what the document's record holds. Rows of
+    other documents, and rows without an id, tables without a page and recognised texts without a place, are left
+    out; of several plain or recognised texts of one place the smallest counts. Documents without an id have no text.
+    """
+    own = docs.drop("text", "error", "pdf_engine", *PAGE_HELPERS)
+    known = F.col("doc_id").isNotNull()
+    no_page = F.lit(None).cast(blocks.schema["page"].dataType).alias("page")
+    # Documents without an id are groups of their own.
+    rows = [
+        blocks.where(known).select("doc_id", "page", F.lit(True).alias("_is_block"), pages.page_block(ratio).alias("_block")),
+        own.select("doc_id", no_page, F.when(~known, F.xxhash64(*own.columns)).alias("_alone"), F.struct(*own.columns).alias("_doc")),
+    ]
     if tables is not None:
-        signs = gate_table_pages(texts, opts.throughput).select("doc_id", "page")
-        tables = number_tables(tables.join(signs, ["doc_id", "page"], "left_semi"))
+        filled = tables.where(known & F.col("page").isNotNull() & (F.size("data") > 0))
+        rows.append(filled.select("doc_id", "page", F.struct("pos", "data").alias("_table")))
     if images is not None:
-        first = dedupe_page_images(images).join(blocks.select("doc_id"), "doc_id", "left_semi")
-        images = ocr_apply(first, opts, recognised)
-    return _finished(read, opts, as_of, tables, images, tagger)
+        facts = {c: F.coalesce(c, F.lit(v)) if c in images.columns else F.lit(v) for c, v in _IMAGE_FACTS.items()}
+        has_data = F.coalesce(F.octet_length("image_data"), F.lit(0)) > 0 if "image_data" in images.columns else F.lit(True)
+        likely = F.coalesce("likely", F.lit(True)) if "likely" in images.columns else F.lit(True)
+        entry = F.struct("idx", *[v.alias(c) for c, v in facts.items()], has_data.alias("has_data"), likely.alias("likely"))
+        at = F.struct("page", "xref", "img_idx", entry.alias("entry")).alias("_image")
+        rows.append(images.where(known).select("doc_id", no_page, at))
+    if plain is not None:
+        rows.append(plain.where(known).select("doc_id", no_page, F.struct("text", "error").alias("_plain")))
+    if recognised is not None:
+        texts = recognised.where(known & F.col("idx").isNotNull())
+        rows.append(texts.select("doc_id", no_page, F.struct("idx", "extracted_text").alias("_read")))
+    together = rows[0]
+    for more in rows[1:]:
+        together = together.unionByName(more, allowMissingColumns=True)
+
+    listed = [c for c in ("_doc", "_image", "_plain", "_read") if c in together.columns]
+    found = F.sort_array(F.collect_list("_table")) if tables is not None else F.lit(None)
+    by_page = together.repartition("doc_id", "_alone").groupBy("doc_id", "_alone", "page").agg(
+        F.coalesce(F.bool_or("_is_block"), F.lit(False)).alias("_has_blocks"),
+        pages.joined_blocks("_block").alias("_text"),
+        found.alias("_tables"),
+        *[F.collect_list(c).alias(c) for c in listed],
+    )
+    signed = by_page
+    if tables is not None:
+        signed = by_page.withColumn("_tables", F.when(has_table_column(F.col("_text")), F.struct("page", "_tables")))
+    by_doc = signed.groupBy("doc_id", "_alone").agg(
+        F.bool_or("_has_blocks").alias("_has_blocks"),
+        pages.joined_pages("_text").alias("_text"),
+        (F.sort_array(F.collect_list("_tables")) if tables is not None else F.lit(None)).alias("_tables"),
+        *[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in listed if c != "_doc"],
+        F.flatten(F.collect_list("_doc")).alias("_doc"),
+    )
+
+    worked, second = F.col("_has_blocks"), F.get("_plain", F.lit(0)) if plain is not None else None
+    spare = F.when(second["error"].isNull(), second["text"]) if second is not None else F.lit(None).cast("string")
+    why = second["error"] if second is not None else F.lit(None).cast("string")
+    full, text_only = patterns.PDF_ENGINES
+    made = by_doc.select(
+        F.explode("_doc").alias("_doc"),
+        F.when(worked, F.col("_text")).otherwise(spare).alias("text"),
+        F.when(worked, full).when(spare.isNotNull(), text_only).alias("pdf_engine"),
+        F.when(~worked & spare.isNull(), F.concat(F.lit("Unable to read PDF: "), F.coalesce(why, F.lit("no text")))).alias("error"),
+        (_numbered(F.when(worked, F.col("_tables"))) if tables is not None else F.lit(None)).alias("_tables_found"),
+        *_images_of(worked, images is not None, recognised is not None),
+    )
+    return made.select(*[F.col("_doc")[c].alias(c) for c in own.columns], "text", "pdf_engine", "error", *PAGE_HELPERS)
+
+
+def _numbered(by_page: Column) -> Column:
+    """Tables of one document from (page, tables) in order, numbered from 0; the page goes out 1-based."""
+
+    def entry(table: Column, at: Column) -> Column:
+        data = table["data"]
+        fields = {
+            "table_index": at, "data": data, "rows": F.size(data), "cols": F.size(F.get(data, F.lit(0))), "page": (table["page"] + 1).cast("int"),
+            "extraction_method": F.lit(None).cast("string"),
+        }
+        return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+    pairs = F.flatten(F.transform(by_page, lambda p: F.transform(p["_tables"], lambda t: F.named_struct(F.lit("page"), p["page"], F.lit("data"), t["data"]))))
+    return F.transform(pairs, entry)
+
+
+def _images_of(worked: Column, images: bool, recognised: bool) -> list[Column]:
+    """The first image of each page and xref, by place, and the texts read from images."""
+    entries = F.lit(None)
+    if images:
+        firsts = first_of_runs(F.col("_image"), lambda i: F.struct(i["page"], i["xref"]))
+        entries = F.when(worked, F.sort_array(F.transform(firsts, lambda i: i["entry"])))
+    read = F.lit(None).cast("map<int,string>")
+    if recognised:
+        read = F.map_from_entries(first_of_runs(F.col("_read"), lambda r: r["idx"]))
+    return [entries.alias("_images_found"), read.alias("_recognised")]
+
+
+def _redacted_images(images: Column, opts: RedactOptions) -> Column:
+    if opts.scope != "all":
+        return images
+    return F.transform(images, lambda i: i.withField("extracted_text", redact_column(i["extracted_text"], opts)))
 
 
 def redact_structures(structures: DataFrame, opts: RedactOptions) -> DataFrame:
@@ -228,10 +344,7 @@ def process_docx(
 
 def docx_image_entries(images: Column, opts: RedactOptions, texts: Column | None = None) -> Column:
     """Images of one file after the gate, their texts redacted where the request is for all."""
-    gated = ocr_entries(images, opts, texts)
-    if opts.scope != "all":
-        return gated
-    return F.transform(gated, lambda i: i.withField("extracted_text", redact_column(i["extracted_text"], opts)))
+    return _redacted_images(ocr_entries(images, opts, texts), opts)
 
 
 def redact_docx_fragments(files: DataFrame, opts: RedactOptions, tagger: spans.Tagger | None = None) -> DataFrame:
