@@ -13,11 +13,12 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-from veilwork.llm.words import Words, span_hashes
+from veilwork.llm.words import SPACE, Words, span_hashes
 
 # Distinct pieces a worker keeps, and bytes of the longest of them; beyond, the ones of the last chunk are kept.
-KEPT = 1 << 20
+KEPT = 1 << 21
 LONGEST = 64
+END_OF_WORD = "</w>"
 # Space characters beyond ASCII in front of ASCII ones: there a cut would split a run of space.
 _MIXED = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\t-\r ]")
 
@@ -56,6 +57,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(names.values()) + 1, np.int64)  # of the text that an id stands for
+        self.bytes[list(names.values())] = [len(name.removesuffix(END_OF_WORD) if words else name) for name in names]
         self.pieces, self.end = word_pieces if words else spaced_pieces, end
         self._forget()
 
@@ -71,10 +75,43 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.number[at], -1)
 
+    def _together(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Pieces that can stand in one text: none melts into the next, and the ids tell where each ends."""
+        if self.pieces is word_pieces:  # ASCII, which no normalizer makes longer or shorter
+            high = np.concatenate([[0], np.cumsum(buf > 127)])
+            return high[begin] == high[end]
+        last, before, third = (buf[np.maximum(end - k, 0)] for k in (1, 2, 3))
+        space = (before == 0xC2) | ((third >= 0xE1) & (third <= 0xE3))  # where wide spaces are, and much else
+        return SPACE[buf[begin]] & ~SPACE[last] & ((last < 128) | ~space)
+
     def _encode(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        blob = buf.tobytes()
-        pieces = [blob[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Ids of some pieces and how many each has: most pieces as one text, the others one by one."""
+        joined = self._together(buf, begin, end)
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        n, blob = int(joined.sum()), buf.tobytes()
+        pieces = [blob[a:b] for a, b in zip(begin[order].tolist(), end[order].tolist())]
+        ids, sizes = self._one_text(pieces[:n], (end - begin)[order[:n]])
+        more = self._one_by_one(pieces[n:])
+        ids, sizes = np.concatenate([ids, more[0]]), np.concatenate([sizes, more[1]])
+        # Back into the order of the pieces.
+        turn = np.argsort(order)
+        starts = (np.cumsum(sizes) - sizes)[turn]
+        sizes = sizes[turn]
+        upto = np.cumsum(sizes)
+        return ids[np.repeat(starts - upto + sizes, sizes) + np.arange(len(ids))], sizes
+
+    def _one_text(self, pieces: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        between = b" " if self.pieces is word_pieces else b""
+        whole = self.tokenizer.encode_batch_fast([between.join(pieces).decode()], add_special_tokens=False)[0].ids
+        ids = np.array(whole, np.uint32)
+        upto, ends = np.cumsum(self.bytes[ids]), np.cumsum(lengths)
+        at = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
+        if len(ends) and (len(ids) == 0 or at[-1] != len(ids) - 1 or (upto[at] != ends).any()):
+            return self._one_by_one(pieces)  # an id that stands for less or more than its name
+        return ids, np.diff(at, prepend=-1)
+
+    def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 

@@ -52,7 +52,7 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if depth <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(depth - 1, -1, -1):
-            bits = (now >> level) & 1 == 1
+            bits = (now & now.dtype.type(1 << level)) != 0
             packed = np.packbits(bits)
             planes.append(np.pad(packed, (0, -len(packed) % (BLOCK // 8))))
             low = now[~bits]

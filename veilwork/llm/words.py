@@ -16,8 +16,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so invertible
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -81,7 +81,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.at = np.concatenate([[0], np.cumsum(lengths)])
         space = np.ones(len(self.buf) + 1, bool)
-        space[1:] = _IS_SPACE[self.buf]
+        space[1:] = SPACE[self.buf]
         edges = np.flatnonzero(space[1:] != space[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.at)
