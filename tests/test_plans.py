@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from veilwork.functions.scale import running_before
+from veilwork.functions.scale import lookup_join, running_before
 from veilwork.operators import batch, dedup
 from veilwork.options import RedactOptions
 from veilwork.plans.catalog import CATALOG
@@ -113,6 +113,20 @@ def test_contents_stay_where_they_lie_when_few_files_are_refused(spark):
     assert reasons[49] == "File is larger than the limit" and reasons[1] == "Another file of the batch is larger than the limit"
 
 
+def test_lookups_beyond_the_limit_are_not_broadcast_after_all(spark):
+    """Refused places are not repeated, and Spark does not broadcast a lookup whose file looks small."""
+    rows = [(f"b{i % 6}", i, i % 50) for i in range(120)] + [(None, 1, 1), ("b1", None, 1), ("b1", 7, 3)]
+    df = spark.createDataFrame(rows, "batch_id string, ord long, size long")
+    judged = batch.admit_documents(df, max_files=15, limit=0)
+    text = judged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text and "Generate" not in text
+    assert sorted(map(str, judged.collect())) == sorted(map(str, batch.admit_documents(df, max_files=15).collect()))
+    salted = lookup_join(df, spark.createDataFrame([("b1", 2)], "batch_id string, n long"), ["batch_id"], "ord", F.lit(8), limit=0)
+    text = salted._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    assert salted.where("n = 2").count() == 22
+
+
 @pytest.mark.parametrize("name, scans", [("page_records", 5), ("page_documents", 3)])
 def test_page_requests_read_each_input_once(spark, name, scans):
     """One union, one exchange by document; tables and images are not read where no record is asked for."""

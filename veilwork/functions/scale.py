@@ -78,10 +78,14 @@ def lookup_join(
 
     Below ``limit`` measured bytes the lookup is broadcast and the left side does not move.
     Beyond it every lookup row is repeated ``salts`` times and the left rows of a key spread over
-    the copies by ``salt_by``, so a key with a third of all rows is still ``salts`` tasks.
+    the copies by ``salt_by``, so a key with a third of all rows is still ``salts`` tasks. Where no key has
+    many left rows, one salt will do. Spark takes the size of a packed file for that of its rows and knows nothing of
+    the copies; it would broadcast what was just found too large, so the join is told to be a merge.
     """
     if fits_broadcast(right, size, limit):
         return left.join(F.broadcast(right), list(on), how)
+    if salts == 1:
+        return left.join(right.hint("merge"), list(on), how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
