@@ -398,6 +398,24 @@ def test_bundle_outputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_bundles_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Contents that pack well are cut by what they are in memory; a run of large ones has fewer places."""
+    made = spark.range(3000).select(
+        F.concat(F.lit("b"), F.col("id") % 2).alias("batch_id"), F.col("id").alias("ord"),
+        F.concat(F.lit("n"), F.col("id") % 700).alias("name"), F.repeat(F.lit("x"), 1000).cast("binary").alias("content"),
+    )
+    results = made.unionByName(made.where("id = 5").withColumns({"ord": F.lit(None).cast("long"), "content": F.lit(None).cast("binary")}))
+    monkeypatch.setattr(output, "BUNDLE_BYTES", 100_000, raising=False)
+    manifest = output.bundle_outputs(results, str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, written.select(*results.columns).collect())) == sorted(map(str, results.collect()))
+    assert rows(manifest) == rows(output.bundle_manifest(results))
+    tasks = [r.n for r in written.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0))).alias("n")).collect()]
+    assert len(tasks) > 10 and max(tasks) <= 500_000
+    monkeypatch.setattr(output, "BUNDLE_BYTES", 1 << 26)
+    assert output.bundle_outputs(results.where("ord < 0"), str(tmp_path / "none")).count() == 0
+
+
 # --- batches ------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from veilwork.options import RedactOptions
 
 # Places of a batch that are written to one file.
 BUNDLE_RUN = 10_000
+BUNDLE_BYTES = 1 << 26
 _TABLE_FIELDS = ("table_index", "data", "rows", "cols", "page", "extraction_method")
 _TABLE_TYPE = (
     "array<struct<table_index:int,data:array<array<string>>,rows:int,cols:int,page:int,extraction_method:string>>"
@@ -242,10 +243,16 @@ def bundle_manifest(results: DataFrame) -> DataFrame:
 def bundle_outputs(results: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """Write every output below ``batch_id=...`` and return the manifest; no batch is gathered.
 
-    Outputs of a batch are written by runs of ``BUNDLE_RUN`` places, so a batch has a file for each
+    Outputs of a batch are written by runs of at most ``BUNDLE_RUN`` places, so a batch has a file for each
     run and not for each task. Of a name all versions are kept, each with its ``ord``.
+
+    A task sorts what it writes by batch. Contents are summed up first, and tasks and runs are cut to about
+    ``BUNDLE_BYTES`` of them: adaptive execution would go by their packed size, which may be a hundredth of that.
     """
     columns = ("batch_id", "ord", "name", "content")
-    run = F.floor(F.col("ord") / F.lit(BUNDLE_RUN))
-    results.select(*columns).repartition("batch_id", run).write.mode(mode).partitionBy("batch_id").parquet(path)
+    n, total = results.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0))).first()
+    places = max(1, min(BUNDLE_RUN, BUNDLE_BYTES * n // max(total, 1)))
+    tasks = max(results.sparkSession.sparkContext.defaultParallelism, -(-total // BUNDLE_BYTES))
+    run = F.floor(F.col("ord") / F.lit(places))
+    results.select(*columns).repartition(tasks, "batch_id", run).write.mode(mode).partitionBy("batch_id").parquet(path)
     return bundle_manifest(results)

@@ -210,7 +210,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = inputs.results(spark, folder).select("batch_id", "name", F.col("seq").alias("ord"), "content")
+    rows = inputs.results(spark, folder, 1 << 16).select("batch_id", "name", F.col("seq").alias("ord"), "content")
     return output.bundle_outputs(rows, f"{checkpoint_dir(spark)}/outputs/bundle_{uuid.uuid4().hex}")
 
 

@@ -277,11 +277,19 @@ SQL["uploads"] = f"""SELECT source AS batch_id, doc_id AS ord, doc_id, {FILENAME
   CAST(strlen(text) AS bigint) * 3000 AS size FROM documents"""
 
 
-def results(spark: SparkSession, folder: str) -> DataFrame:
-    """A result per event: place by user, options and state by event, content from its properties."""
+def results(spark: SparkSession, folder: str, task_rows: int | None = None) -> DataFrame:
+    """A result per event: place by user, options and state by event, content from its properties.
+
+    Contents are many times their events. Where they are shuffled, ``task_rows`` deals the events out before, as a task that
+    shuffles holds its rows in memory for as long as there is some.
+    """
     i = F.col("event_id")
     exts = F.array(*[F.lit(e) for e in (".json", ".pdf", ".txt")])
-    return read_table(spark, folder, "events").select(
+    events = read_table(spark, folder, "events")
+    if task_rows is not None:
+        tasks = -(-events.count() // task_rows)
+        events = events.repartition(tasks, "event_id") if tasks > events.rdd.getNumPartitions() else events
+    return events.select(
         F.concat(F.lit("b"), F.col("user_id") % 8).alias("batch_id"),
         F.floor(F.col("user_id") / 8).cast("int").alias("ord"),
         i.alias("seq"),
