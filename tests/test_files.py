@@ -5,6 +5,7 @@ import json
 import zipfile
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from veilwork import patterns
 from veilwork.operators import batch, fragments, pages, spans, status
 from veilwork.operators.images import ocr_apply, ocr_entries
 from veilwork.options import RedactOptions
+from veilwork.plans import packing
 from veilwork.plans.batch_run import run_batch
 from veilwork.plans.process import process_docx, process_documents, redact_docx_fragments
 from veilwork.sources import docx
@@ -247,3 +249,35 @@ def test_images_of_text_documents_go_through_the_gate(spark):
     before = images.drop("image_data").withColumn("extracted_text", F.lit("before"))
     record = process_documents(docs, RedactOptions(extract_json=True), AS_OF, images=before).records.first().json
     assert {i["extracted_text"] for i in json.loads(record)["content"]["images"]} == {"before"}
+
+
+def test_packed_files_leave_a_task_in_slices():
+    """A task holds the files of a slice; what was a batch of thousands of rows comes out in its order."""
+    texts = [f"line {i} <&>\n\na  b" if i % 3 else "" for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "filename": ["f.docx"] * 500, "text": texts})
+    slices = list(packing.pack(iter([batch, batch.slice(0, 0)])))
+    assert max(s.num_rows for s in slices) <= packing.FILES_PER_SLICE < 500
+    table = pa.Table.from_batches(slices)
+    assert table.column_names == ["doc_id", "filename", "content"] and table["doc_id"].to_pylist() == list(range(500))
+    read = [docx._parts_of(c, ("body",), False) for c in table["content"].to_pylist()]
+    lines = [t.split("\n") for t in texts]
+    assert [["".join(p) for p in r["paragraphs"]] for r in read] == lines
+    assert [[["".join(c) for c in row] for row in r["tables"][0][2]] for r in read] == [[line.split(" ") for line in own[:3]] for own in lines]
+    assert [r["tables"][0][1] for r in read] == [max(line.count(" ") + 1 for line in own[:3]) for own in lines]
+    uploads = pa.RecordBatch.from_pydict({"doc_id": [1, 2, None], "text": ["é", "x y", "z"], "office": [False, True, None]})
+    made = pa.Table.from_batches(packing.pack_uploads(iter([uploads]))).to_pydict()
+    assert made["doc_id"] == [1, 2, None] and made["content"] == ["é".encode(), packing.office_file(0, "x y"), b"z"]
+
+
+def test_properties_of_cells_in_any_place():
+    w = docx.W[1:-1]
+    run = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cells = (
+        f'<w:tc>{run("a")}{run("b")}<w:tcPr/><w:tcPr><w:gridSpan w:val="2"/></w:tcPr></w:tc>',
+        f"<w:tc><w:tcPr><w:vMerge/></w:tcPr>{run('own')}</w:tc>",
+        f'<w:tc><w:tcPr><w:vMerge w:val="restart"/><w:vMerge/></w:tcPr>{run("c")}</w:tc>',
+        "<w:tc/>",
+    )
+    row = docx.ET.fromstring(f'<w:tr xmlns:w="{w}"><w:trPr/>{"".join(cells)}</w:tr>')
+    assert docx._row_pieces(row, [["1"], ["2"], ["above"]]) == [["a", "\n", "b"]] * 2 + [["above"], ["c"], []]
+    assert docx._row_pieces(row, []) == [["a", "\n", "b"]] * 2 + [["own"], ["c"], []]

@@ -268,7 +268,7 @@ def _uploaded(spark, folder):
     name = F.concat(F.lit("doc_"), i, F.when(i % 23 == 7, ".csv").otherwise(F.get(ends, (i % 4).cast("int"))))
     office = (i % 2 == 1) & (i % 17 != 5) & (i % 23 != 7)
     rows = inputs.documents(spark, folder).select(F.col("source").alias("batch_id"), i.alias("ord"), "doc_id", name.alias("filename"), "text", office.alias("office"))
-    packed = rows.mapInPandas(packing.pack_uploads, "batch_id string, ord long, doc_id long, filename string, content binary")
+    packed = rows.mapInArrow(packing.pack_uploads, "batch_id string, ord long, doc_id long, filename string, content binary")
     return materialized(packed, "uploads")  # as uploads lie in storage
 
 

@@ -332,7 +332,7 @@ def office_files(spark: SparkSession, folder: str) -> DataFrame:
     the first three lines, a header, a footnote part, and one image present and one missing."""
     docs = documents(spark, folder).select("doc_id", "filename", "text")
     named = docs.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".docx")))
-    return named.mapInPandas(packing.pack, "doc_id long, filename string, content binary")
+    return named.mapInArrow(packing.pack, "doc_id long, filename string, content binary")
 
 
 def fragments(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,10 +29,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BODY_PART = "word/document.xml"
 RELATIONS_PART = "word/_rels/document.xml.rels"
+_P, _R, _T, _HYPERLINK, _CR, _BR, _TYPE, _NO_BREAK_HYPHEN = (W + n for n in ("p", "r", "t", "hyperlink", "cr", "br", "type", "noBreakHyphen"))
+_TC, _TC_PR, _V_MERGE, _GRID_SPAN, _VAL = (W + n for n in ("tc", "tcPr", "vMerge", "gridSpan", "val"))
+_TABS = (f"{W}tab", f"{W}ptab")
 # --- end of fixed values ------------------------------------------------------------------------
 
 IMAGE_HEAD = 12  # bytes that tell a format
-FILES_PER_BATCH, BYTES_PER_BATCH = 512, 1 << 25
+# Rows of a task go out by so many files, or bytes as packed, which open to many times that.
+FILES_PER_BATCH, BYTES_PER_BATCH = 128, 1 << 22
 _TEXTS = pa.list_(pa.string())
 _FRAGMENT = pa.struct([("part", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 _TABLE = pa.struct([("table_index", pa.int32()), ("n_cols", pa.int32()), ("rows", pa.list_(pa.list_(_TEXTS)))])
@@ -69,38 +73,43 @@ def _paragraph_pieces(paragraph: ET.Element) -> list[str]:
     """Text pieces of a paragraph: each text run alone, and the characters that stand for marks."""
     pieces = []
     for child in paragraph:
-        runs = [child] if child.tag == f"{W}r" else child.findall(f"{W}r") if child.tag == f"{W}hyperlink" else []
-        for item in (item for run in runs for item in run):
-            if item.tag == f"{W}t":
-                pieces.append(item.text or "")
-            elif item.tag in (f"{W}tab", f"{W}ptab"):
-                pieces.append("\t")
-            elif item.tag == f"{W}cr" or (
-                item.tag == f"{W}br" and item.get(f"{W}type", "textWrapping") == "textWrapping"
-            ):
-                pieces.append("\n")
-            elif item.tag == f"{W}noBreakHyphen":
-                pieces.append("-")
-    return pieces
-
-
-def _cell_pieces(cell: ET.Element) -> list[str]:
-    pieces: list[str] = []
-    for n, paragraph in enumerate(cell.findall(f"{W}p")):
-        pieces += (["\n"] if n else []) + _paragraph_pieces(paragraph)
+        runs = (child,) if child.tag == _R else child.findall(_R) if child.tag == _HYPERLINK else ()
+        for run in runs:
+            for item in run:
+                tag = item.tag
+                if tag == _T:
+                    pieces.append(item.text or "")
+                elif tag in _TABS:
+                    pieces.append("\t")
+                elif tag == _CR or (tag == _BR and item.get(_TYPE, "textWrapping") == "textWrapping"):
+                    pieces.append("\n")
+                elif tag == _NO_BREAK_HYPHEN:
+                    pieces.append("-")
     return pieces
 
 
 def _row_pieces(row: ET.Element, above: list[list[str]]) -> list[list[str]]:
     """Cells on the table's grid: a wide cell is repeated, a continued one takes the text above."""
     cells: list[list[str]] = []
-    for cell in row.findall(f"{W}tc"):
-        merge = cell.find(f"{W}tcPr/{W}vMerge")
-        span = cell.find(f"{W}tcPr/{W}gridSpan")
-        continued = merge is not None and merge.get(f"{W}val", "continue") == "continue"
+    for cell in row:
+        if cell.tag != _TC:
+            continue
+        merge = span = None
+        paragraphs = []
+        for child in cell:  # one look, as tables have many cells
+            if child.tag == _P:
+                paragraphs.append(child)
+            elif child.tag == _TC_PR:
+                merge = child.find(_V_MERGE) if merge is None else merge
+                span = child.find(_GRID_SPAN) if span is None else span
         at = len(cells)
-        pieces = above[at] if continued and at < len(above) else _cell_pieces(cell)
-        cells += [pieces] * int(span.get(f"{W}val") if span is not None else 1)
+        if merge is not None and merge.get(_VAL, "continue") == "continue" and at < len(above):
+            pieces = above[at]
+        else:
+            pieces = []
+            for n, paragraph in enumerate(paragraphs):
+                pieces += (["\n"] if n else []) + _paragraph_pieces(paragraph)
+        cells += [pieces] * (int(span.get(_VAL)) if span is not None else 1)
     return cells
 
 
