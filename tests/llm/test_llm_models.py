@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -225,6 +226,45 @@ def test_every_training_text_is_in_the_counts_and_no_contexts_share_them(spark):
     assert 0 < row.before < row.seen
 
 
+def test_a_task_adds_up_its_counts_before_they_are_shuffled(monkeypatch):
+    """Each pair of context and byte leaves a task once, and not once for every run of texts it is in."""
+    monkeypatch.setattr(lm_mixing, "HASHED", 1_000)  # a run for each text or two
+    texts = [text for _, text in mixing_rows()[:3]] * 20
+    batches = [pa.RecordBatch.from_pydict({"text": texts[at : at + 7], "mixing": [at % 2 == 0] * len(texts[at : at + 7])}) for at in range(0, 60, 7)]
+
+    def counted(limit):
+        monkeypatch.setattr(lm_mixing, "HELD", limit)
+        return [(r["context"], r["byte"], r["n"], r["mixing"]) for b in lm_mixing._seen(iter(batches)) for r in b.to_pylist()]
+
+    once, often = counted(1 << 22), counted(4_000)  # the second gives up what it holds again and again
+    assert len(once) == len({r[:2] for r in once}) < len(often)
+    sums = collections.Counter()
+    for context, byte, n, mixing in often:
+        sums[context, byte, "n"] += n
+        sums[context, byte, "mixing"] += mixing
+    assert sums == {k: v for c, b, n, m in once for k, v in (((c, b, "n"), n), ((c, b, "mixing"), m))}
+    assert sum(r[2] for r in once) == lm_mixing.PREDICTORS * sum(len(t) + 1 for t in texts)
+
+
+def test_texts_hashed_in_runs_ask_for_each_context_once(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": [text for _, text in mixing_rows()[:5]] * 4 + [None, ""]})
+    whole = lm_mixing._asked(batch)
+    monkeypatch.setattr(lm_mixing, "HASHED", 700)
+    assert sorted(lm_mixing._asked(batch)) == sorted(whole) == sorted(set(whole))
+
+
+def test_tables_worked_out_in_slices_are_the_same(monkeypatch):
+    rng = np.random.default_rng(1)
+    lists = [[int(n) * 256 + b for b, n in zip(rng.choice(256, k, replace=False).tolist(), rng.integers(1, 99, k))] for k in rng.integers(0, 5, 300)]
+    found = pa.table({"context": rng.permutation(10_000)[:300] - 5_000, "seen": pa.array(lists, pa.list_(pa.int64()))})
+    code = lm_mixing.Code.of(np.arange(256))
+    whole = lm_mixing.Tables.from_seen(found, code)
+    monkeypatch.setattr(lm_mixing, "SLICE", 7)
+    part = lm_mixing.Tables.from_seen(found, code)
+    assert all((getattr(whole, name) == getattr(part, name)).all() for name in ("context", "node", "value"))
+    assert len(whole.node) and (np.diff(whole.node) > 0).all()
+
+
 def test_tables_of_one_chunk_score_as_the_whole_model(spark, monkeypatch):
     monkeypatch.setattr(lm_mixing, "LOOKUP", 2_000)  # many chunks
     given = mixing_rows()
