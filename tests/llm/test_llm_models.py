@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -273,3 +274,31 @@ def test_tables_of_one_chunk_score_as_the_whole_model(spark, monkeypatch):
     got = {r.doc_id: r.score for r in lm_mixing.score(table).collect()}
     expected = lm_mixing.log_chances(lm_mixing.plain([t.encode() for _, t in given]), model)
     assert np.allclose([got[i] for i, _ in given], expected, rtol=1e-4)
+
+
+def test_what_a_query_keeps_on_disk_is_a_small_multiple_of_its_text(spark, monkeypatch):
+    """Contexts, counts and answers are compressed arrays, and no rows with a hash for each context of each chunk."""
+    kept, write = [], lm_mixing.written
+    monkeypatch.setattr(lm_mixing, "written", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    given = mixing_rows() * 20
+    table = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(given)], "doc_id long, text string").coalesce(2)
+    assert lm_mixing.score(table).count() == len(given)
+    size = sum(os.path.getsize(path.removeprefix("file:")) for df in kept for path in df.inputFiles())
+    assert size < 4 * sum(len(text) for _, text in given)
+
+
+def test_answers_give_what_the_tables_have():
+    rng = np.random.default_rng(2)
+    code = lm_mixing.Code.of(rng.integers(0, 2, 256) * rng.integers(1, 1000, 256))
+    context = np.sort(np.repeat(rng.integers(-(1 << 62), 1 << 62, 300), rng.integers(1, 9, 300)))
+    asked = rng.integers(0, 256, len(context)).astype(np.uint8)  # some never follow
+    kinds, first = np.unique(context, return_index=True)
+    lists = [rng.choice(256, k, replace=False).astype(np.uint8) for k in rng.integers(0, 6, len(kinds))]
+    lists = [np.union1d(own, asked[at : at + 1]) if len(own) > 2 else own for own, at in zip(lists, first)]
+    times = [rng.integers(1, 99, len(own)) for own in lists]
+    found = pa.table({"context": kinds, "seen": pa.array([(n * 256 + own).tolist() for own, n in zip(lists, times)], pa.list_(pa.int64()))})
+    begin, expected = lm_mixing.Tables.from_seen(found, code).of(context, asked, code)
+    sizes, follows, n = np.array([len(own) for own in lists]), np.concatenate(lists).astype(np.uint8), np.concatenate(times).astype(np.int64)
+    packed = lm_mixing.unpacked(lm_mixing.pack(sizes.astype(np.uint16), follows, n), *lm_mixing.ANSWER)
+    at, values = lm_mixing.bit_values(context, asked, *packed, code)
+    assert (at == begin).all() and (values == expected).all() and values.any()
