@@ -302,3 +302,35 @@ def test_answers_give_what_the_tables_have():
     packed = lm_mixing.unpacked(lm_mixing.pack(sizes.astype(np.uint16), follows, n), *lm_mixing.ANSWER)
     at, values = lm_mixing.bit_values(context, asked, *packed, code)
     assert (at == begin).all() and (values == expected).all() and values.any()
+
+
+def odd_texts():
+    words = ["ab", "the", "Zebra", "q" * 8, "q" * 9, "ünï", "\x00", "a\x00b"]
+    rng = random.Random(9)
+    texts = [None, "", " \t\n ", "\x00", "x" * 3_000, "\x00" * 20 + " a", " lead\x0band\x0ctrail \r\n", "ü" * 700, "same words here " * 40]
+    texts += [rng.choice([" ", "  ", "\n", "\t "]).join(rng.choices(words, k=rng.randrange(1, 200))) for _ in range(60)]
+    return [*texts, *texts[6:12]]  # some rows come twice
+
+
+def test_chunks_of_odd_texts_score_as_the_whole_model(spark, monkeypatch):
+    """What runs in Java and the arrays of a small model give the same, for texts that end words, blocks and codes oddly."""
+    monkeypatch.setattr(lm_mixing, "LOOKUP", 3_000)
+    monkeypatch.setattr(lm_mixing, "MIXING_PART", 3)
+    given = [(None if i % 9 == 0 else i, text) for i, text in enumerate(odd_texts())]
+    table = spark.createDataFrame(given, "doc_id long, text string").coalesce(2)
+    model = lm_mixing.learn(table.where(~lm_mixing.held_out(5, 1)).select("doc_id", "text"))
+    expected = lm_mixing.log_chances(lm_mixing.plain([(text or "").encode() for _, text in given]), model)
+    got = sorted(((r.doc_id or -1), r.n_tokens, r.score) for r in lm_mixing.score(table).collect())
+    counts = [len((text or "").encode().split()) + 1 for _, text in given]
+    expected = sorted((i or -1, n, x) for (i, _), n, x in zip(given, counts, expected))
+    assert [x[:2] for x in got] == [x[:2] for x in expected]
+    assert np.allclose([x[2] for x in got], [x[2] for x in expected], rtol=1e-4)
+
+
+def test_a_chunk_is_not_sent_what_only_itself_counts(spark):
+    """Answers are as long as what other chunks add, and not as all contexts of the chunk."""
+    given = mixing_rows()
+    table = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+    _, _, _, answers = lm_mixing.fit_chunks(table.selectExpr("doc_id", "0L AS version", "false AS held_out", "text"))
+    sent = sum(len(x.answer) for r in answers.collect() for x in r.found)
+    assert 0 < sent < sum(len(text) for _, text in given) / 2
